@@ -34,7 +34,7 @@ def revenue(qty="quantity_sold", price="price") -> Column:
 
 def location_type(plant="plant_id", store="store_id") -> Column:
     """Plant if a plant id is present, else store, else Unknown."""
-    return (F.when(col(plant).isNotNull(), "plant").when(col(store).isNotNull(), "store")
+    return (F.when(col(plant).isNotNull(), "Plant").when(col(store).isNotNull(), "Store")
              .otherwise("Unknown"))
 
 
