@@ -48,7 +48,7 @@ def money_avg(c) -> Column:
     return F.avg(cents) / F.lit(100.0)
 
 
-def rnd(c, n: int = 4) -> Column:
+def rnd(c, n: int = 6) -> Column:
     return F.round(col(c), n)
 
 

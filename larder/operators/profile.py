@@ -28,20 +28,21 @@ def schema_profile(df: DataFrame, examples: int = 3) -> DataFrame:
     (column, value) projection ranked per column, so only one row per
     distinct value and column is shuffled and no column is collected whole.
     """
-"""
+    from pyspark.sql import Window
+
     cols = df.columns
     types = dict(df.dtypes)
-    n = df.count()
-    nulls = df.agg(*[F.count_if(c(x).isNull()).alias(x) for x in cols]).unpivot([], cols, "column", "nulls")
+    wide = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(c(x).isNull()).alias(x) for x in cols])
+    nulls = wide.unpivot(["__rows"], cols, "column", "nulls")
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(x).alias("column"), c(x).cast("string").alias("v")) for x in cols])).alias("kv"))
     vals = long.select("kv.column", "kv.v").where(c("v").isNotNull()).distinct()
-    from pyspark.sql import Window
     ranked = vals.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy("v")))
     ex = (ranked.where(c("_r") <= examples).groupBy("column")
                 .agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("examples")))
     spark = df.sparkSession
     t = spark.createDataFrame([(k, v) for k, v in types.items()], "column string, dtype string")
     return (t.join(nulls, "column").join(ex, "column", "left")
-             .select("column", "dtype", "nulls", F.round(c("nulls") * 100.0 / F.lit(max(n, 1)), 4).alias("null_pct"),
-                     "examples", F.lit(n).alias("rows")))
+             .select("column", "dtype", "nulls",
+                     F.round(F.try_divide(c("nulls") * 100.0, c("__rows")), 6).alias("null_pct"),
+                     "examples", c("__rows").alias("rows")))

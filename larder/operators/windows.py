@@ -25,7 +25,7 @@ def centered_moving_average(df: DataFrame, order_col: str, value: str, n: int, n
     half = n // 2
     w = Window.orderBy(order_col).rowsBetween(-half, half)
     return df.withColumn(
-        name, F.when(F.count(value).over(w) == n, F.round(F.avg(value).over(w), 4)))
+        name, F.when(F.count(value).over(w) == n, F.round(F.avg(value).over(w), 6)))
 
 
 def rolling_time_stats(df: DataFrame, key: str, ts: str, value: str, window: str,

@@ -66,10 +66,10 @@ def _delay_distribution(df, key):
 
 def _r01_sql(key):
     return _dsql(f"""
-SELECT {key}, count(dispatch_delay_minutes) AS delay_count, round(avg(dispatch_delay_minutes), 4) AS delay_mean,
-       round(median(dispatch_delay_minutes), 4) AS delay_median,
-       round(stddev_samp(dispatch_delay_minutes), 4) AS delay_std,
-       round(quantile_cont(dispatch_delay_minutes, 0.95), 4) AS delay_p95
+SELECT {key}, count(dispatch_delay_minutes) AS delay_count, round(avg(dispatch_delay_minutes), 6) AS delay_mean,
+       round(median(dispatch_delay_minutes), 6) AS delay_median,
+       round(stddev_samp(dispatch_delay_minutes), 6) AS delay_std,
+       round(quantile_cont(dispatch_delay_minutes, 0.95), 6) AS delay_p95
 FROM d WHERE {key} IS NOT NULL GROUP BY {key}""")
 
 
@@ -85,11 +85,11 @@ for _key in ("plant_id", "route_id", "vehicle_id", "sku"):
 
 # --- R02: describe of the delay (A06, exact quartiles) --------------------------------------------
 @query("r02_dispatch_delay_overall", _dsql("""
-SELECT count(dispatch_delay_minutes) AS count, round(avg(dispatch_delay_minutes), 4) AS mean,
-       round(stddev_samp(dispatch_delay_minutes), 4) AS std, min(dispatch_delay_minutes) AS min,
-       round(quantile_cont(dispatch_delay_minutes, 0.25), 4) AS p25,
-       round(quantile_cont(dispatch_delay_minutes, 0.5), 4) AS p50,
-       round(quantile_cont(dispatch_delay_minutes, 0.75), 4) AS p75, max(dispatch_delay_minutes) AS max
+SELECT count(dispatch_delay_minutes) AS count, round(avg(dispatch_delay_minutes), 6) AS mean,
+       round(stddev_samp(dispatch_delay_minutes), 6) AS std, min(dispatch_delay_minutes) AS min,
+       round(quantile_cont(dispatch_delay_minutes, 0.25), 6) AS p25,
+       round(quantile_cont(dispatch_delay_minutes, 0.5), 6) AS p50,
+       round(quantile_cont(dispatch_delay_minutes, 0.75), 6) AS p75, max(dispatch_delay_minutes) AS max
 FROM d"""))
 def r02_dispatch_delay_overall(spark, sf_dir):
     from larder.operators.stats import describe
@@ -99,11 +99,11 @@ def r02_dispatch_delay_overall(spark, sf_dir):
 # --- R03-R08 -------------------------------------------------------------------------------------
 @query("r03_dispatch_by_plant", _dsql("""
 SELECT plant_id, count(dispatch_id) AS total_dispatches, CAST(sum(qty_dispatched) AS BIGINT) AS total_qty,
-       round(avg(qty_dispatched), 4) AS mean_qty_per_dispatch,
-       round(avg(dispatch_delay_minutes), 4) AS mean_delay_min, round(median(dispatch_delay_minutes), 4) AS median_delay_min,
-       round(avg(on_time), 4) AS on_time_rate, count(DISTINCT route_id) AS unique_routes,
+       round(avg(qty_dispatched), 6) AS mean_qty_per_dispatch,
+       round(avg(dispatch_delay_minutes), 6) AS mean_delay_min, round(median(dispatch_delay_minutes), 6) AS median_delay_min,
+       round(avg(on_time), 6) AS on_time_rate, count(DISTINCT route_id) AS unique_routes,
        count(DISTINCT vehicle_id) AS unique_vehicles, count(DISTINCT retailer_id) AS unique_retailers,
-       round(avg(on_time) * 100, 4) AS on_time_pct
+       round(avg(on_time) * 100, 6) AS on_time_pct
 FROM d WHERE plant_id IS NOT NULL GROUP BY plant_id"""))
 def r03_dispatch_by_plant(spark, sf_dir):
     return report(dispatch_prepared(spark, sf_dir), "plant_id", [
@@ -122,11 +122,11 @@ def r03_dispatch_by_plant(spark, sf_dir):
 
 @query("r04_dispatch_by_route", _dsql("""
 SELECT route_id, count(dispatch_id) AS total_dispatches, CAST(sum(qty_dispatched) AS BIGINT) AS total_qty,
-       round(avg(qty_dispatched), 4) AS mean_qty,
-       round(avg(dispatch_delay_minutes), 4) AS mean_delay_min, round(median(dispatch_delay_minutes), 4) AS median_delay_min,
-       round(stddev_samp(dispatch_delay_minutes), 4) AS std_delay_min,
-       round(avg(on_time), 4) AS on_time_rate, count(DISTINCT retailer_id) AS unique_retailers,
-       round(avg(on_time) * 100, 4) AS on_time_pct
+       round(avg(qty_dispatched), 6) AS mean_qty,
+       round(avg(dispatch_delay_minutes), 6) AS mean_delay_min, round(median(dispatch_delay_minutes), 6) AS median_delay_min,
+       round(stddev_samp(dispatch_delay_minutes), 6) AS std_delay_min,
+       round(avg(on_time), 6) AS on_time_rate, count(DISTINCT retailer_id) AS unique_retailers,
+       round(avg(on_time) * 100, 6) AS on_time_pct
 FROM d WHERE route_id IS NOT NULL GROUP BY route_id"""))
 def r04_dispatch_by_route(spark, sf_dir):
     return report(dispatch_prepared(spark, sf_dir), "route_id", [
@@ -144,9 +144,9 @@ def r04_dispatch_by_route(spark, sf_dir):
 
 @query("r05_dispatch_by_vehicle", _dsql("""
 SELECT vehicle_id, count(dispatch_id) AS total_trips, CAST(sum(qty_dispatched) AS BIGINT) AS total_qty,
-       round(avg(dispatch_delay_minutes), 4) AS mean_delay_min, round(median(dispatch_delay_minutes), 4) AS median_delay_min,
-       round(avg(on_time), 4) AS on_time_rate, count(DISTINCT route_id) AS unique_routes,
-       round(avg(on_time) * 100, 4) AS on_time_pct
+       round(avg(dispatch_delay_minutes), 6) AS mean_delay_min, round(median(dispatch_delay_minutes), 6) AS median_delay_min,
+       round(avg(on_time), 6) AS on_time_rate, count(DISTINCT route_id) AS unique_routes,
+       round(avg(on_time) * 100, 6) AS on_time_pct
 FROM d WHERE vehicle_id IS NOT NULL GROUP BY vehicle_id"""))
 def r05_dispatch_by_vehicle(spark, sf_dir):
     return report(dispatch_prepared(spark, sf_dir), "vehicle_id", [
@@ -162,9 +162,9 @@ def r05_dispatch_by_vehicle(spark, sf_dir):
 
 @query("r06_dispatch_by_sku", _dsql("""
 SELECT sku, count(dispatch_id) AS total_dispatches, CAST(sum(qty_dispatched) AS BIGINT) AS total_qty,
-       round(avg(qty_dispatched), 4) AS mean_qty,
-       round(avg(dispatch_delay_minutes), 4) AS mean_delay_min, round(median(dispatch_delay_minutes), 4) AS median_delay_min,
-       round(avg(on_time), 4) AS on_time_rate, round(avg(on_time) * 100, 4) AS on_time_pct
+       round(avg(qty_dispatched), 6) AS mean_qty,
+       round(avg(dispatch_delay_minutes), 6) AS mean_delay_min, round(median(dispatch_delay_minutes), 6) AS median_delay_min,
+       round(avg(on_time), 6) AS on_time_rate, round(avg(on_time) * 100, 6) AS on_time_pct
 FROM d WHERE sku IS NOT NULL GROUP BY sku"""))
 def r06_dispatch_by_sku(spark, sf_dir):
     return report(dispatch_prepared(spark, sf_dir), "sku", [
@@ -180,8 +180,8 @@ def r06_dispatch_by_sku(spark, sf_dir):
 
 @query("r07_dispatch_by_retailer_top50", _dsql("""
 SELECT retailer_id, count(dispatch_id) AS total_deliveries, CAST(sum(qty_dispatched) AS BIGINT) AS total_qty,
-       round(avg(dispatch_delay_minutes), 4) AS mean_delay_min, round(avg(on_time), 4) AS on_time_rate,
-       round(avg(on_time) * 100, 4) AS on_time_pct
+       round(avg(dispatch_delay_minutes), 6) AS mean_delay_min, round(avg(on_time), 6) AS on_time_rate,
+       round(avg(on_time) * 100, 6) AS on_time_pct
 FROM d WHERE retailer_id IS NOT NULL GROUP BY retailer_id ORDER BY total_qty DESC, retailer_id LIMIT 50"""))
 def r07_dispatch_by_retailer_top50(spark, sf_dir):
     return report(dispatch_prepared(spark, sf_dir), "retailer_id", [
@@ -194,8 +194,8 @@ def r07_dispatch_by_retailer_top50(spark, sf_dir):
 
 
 @query("r08_dispatch_by_hour", _dsql("""
-SELECT hour, count(dispatch_id) AS dispatches, round(avg(dispatch_delay_minutes), 4) AS mean_delay_min,
-       round(avg(on_time) * 100, 4) AS on_time_pct
+SELECT hour, count(dispatch_id) AS dispatches, round(avg(dispatch_delay_minutes), 6) AS mean_delay_min,
+       round(avg(on_time) * 100, 6) AS on_time_pct
 FROM d WHERE hour IS NOT NULL GROUP BY hour"""))
 def r08_dispatch_by_hour(spark, sf_dir):
     return report(dispatch_prepared(spark, sf_dir), "hour", [
@@ -207,8 +207,8 @@ def r08_dispatch_by_hour(spark, sf_dir):
 
 # --- R09: worst routes (top 10 by mean delay) and vehicles (top 5, >= 10 trips: F09) ----------------
 @query("r09_worst_routes", _dsql("""
-SELECT route_id, count(dispatch_delay_minutes) AS trips, round(avg(dispatch_delay_minutes), 4) AS mean_delay,
-       round(median(dispatch_delay_minutes), 4) AS median_delay, round(avg(on_time) * 100, 4) AS on_time_pct
+SELECT route_id, count(dispatch_delay_minutes) AS trips, round(avg(dispatch_delay_minutes), 6) AS mean_delay,
+       round(median(dispatch_delay_minutes), 6) AS median_delay, round(avg(on_time) * 100, 6) AS on_time_pct
 FROM d WHERE route_id IS NOT NULL GROUP BY route_id
 ORDER BY avg(dispatch_delay_minutes) DESC, route_id LIMIT 10"""))
 def r09_worst_routes(spark, sf_dir):
@@ -222,8 +222,8 @@ def r09_worst_routes(spark, sf_dir):
 
 
 @query("r09_worst_vehicles", _dsql("""
-SELECT vehicle_id, count(dispatch_delay_minutes) AS trips, round(avg(dispatch_delay_minutes), 4) AS mean_delay,
-       round(avg(on_time) * 100, 4) AS on_time_pct
+SELECT vehicle_id, count(dispatch_delay_minutes) AS trips, round(avg(dispatch_delay_minutes), 6) AS mean_delay,
+       round(avg(on_time) * 100, 6) AS on_time_pct
 FROM d WHERE vehicle_id IS NOT NULL GROUP BY vehicle_id HAVING count(dispatch_delay_minutes) >= 10
 ORDER BY avg(dispatch_delay_minutes) DESC, vehicle_id LIMIT 5"""))
 def r09_worst_vehicles(spark, sf_dir):
@@ -239,7 +239,7 @@ def r09_worst_vehicles(spark, sf_dir):
 @query("r10_delay_by_weekday", _dsql("""
 , dim AS (SELECT * FROM (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'),
                                  (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday')) t(day_no, day_name)),
-g AS (SELECT day_no, round(avg(dispatch_delay_minutes), 4) AS mean_delay, count(dispatch_id) AS dispatches
+g AS (SELECT day_no, round(avg(dispatch_delay_minutes), 6) AS mean_delay, count(dispatch_id) AS dispatches
       FROM d WHERE day_no IS NOT NULL GROUP BY day_no)
 SELECT CAST(dim.day_no AS INT) AS day_no, day_name, mean_delay, dispatches FROM dim LEFT JOIN g ON g.day_no = dim.day_no"""))
 def r10_delay_by_weekday(spark, sf_dir):
@@ -258,7 +258,7 @@ def r10_delay_by_weekday(spark, sf_dir):
 g AS (SELECT delay_category, count(*) AS n FROM d WHERE delay_category IS NOT NULL GROUP BY delay_category),
 tot AS (SELECT count(*) AS rows FROM d)
 SELECT CAST(order_no AS INT) AS order_no, dim.delay_category, CAST(coalesce(n, 0) AS BIGINT) AS dispatches,
-       round(coalesce(n, 0) * 100.0 / rows, 4) AS pct
+       round(coalesce(n, 0) * 100.0 / rows, 6) AS pct
 FROM dim LEFT JOIN g ON g.delay_category = dim.delay_category CROSS JOIN tot"""))
 def r10_delay_categories(spark, sf_dir):
     df = dispatch_prepared(spark, sf_dir)
@@ -275,8 +275,8 @@ def r10_delay_categories(spark, sf_dir):
 
 @query("r10_delay_hour_extremes", _dsql("""
 , h AS (SELECT hour, avg(dispatch_delay_minutes) AS m FROM d WHERE hour IS NOT NULL GROUP BY hour)
-SELECT arg_max(hour, (m, -hour)) AS peak_hour, round(max(m), 4) AS peak_delay,
-       arg_min(hour, (m, hour)) AS best_hour, round(min(m), 4) AS best_delay FROM h"""))
+SELECT arg_max(hour, (m, -hour)) AS peak_hour, round(max(m), 6) AS peak_delay,
+       arg_min(hour, (m, hour)) AS best_hour, round(min(m), 6) AS best_delay FROM h"""))
 def r10_delay_hour_extremes(spark, sf_dir):
     h = report(dispatch_prepared(spark, sf_dir), "hour", [F.avg(DELAY).alias("m")])
     return h.agg(
@@ -289,14 +289,14 @@ def r10_delay_hour_extremes(spark, sf_dir):
 
 # --- R11: volume overview + plant shares ------------------------------------------------------------
 @query("r11_dispatch_overview", _dsql("""
-SELECT CAST(sum(qty_dispatched) AS BIGINT) AS total_qty, round(avg(qty_dispatched), 4) AS mean_qty,
+SELECT CAST(sum(qty_dispatched) AS BIGINT) AS total_qty, round(avg(qty_dispatched), 6) AS mean_qty,
        count(*) AS events, count(DISTINCT plant_id) AS plants,
-       count(DISTINCT route_id) AS routes, round(count(*) / count(DISTINCT route_id), 4) AS dispatches_per_route,
-       count(DISTINCT vehicle_id) AS vehicles, round(count(*) / count(DISTINCT vehicle_id), 4) AS dispatches_per_vehicle,
-       count(DISTINCT retailer_id) AS retailers, round(count(*) / count(DISTINCT retailer_id), 4) AS deliveries_per_retailer,
-       count(DISTINCT sku) AS skus, round(avg(dispatch_delay_minutes), 4) AS mean_delay,
-       round(median(dispatch_delay_minutes), 4) AS median_delay,
-       round(quantile_cont(dispatch_delay_minutes, 0.95), 4) AS p95_delay, round(avg(on_time) * 100, 4) AS on_time_pct,
+       count(DISTINCT route_id) AS routes, round(count(*) / count(DISTINCT route_id), 6) AS dispatches_per_route,
+       count(DISTINCT vehicle_id) AS vehicles, round(count(*) / count(DISTINCT vehicle_id), 6) AS dispatches_per_vehicle,
+       count(DISTINCT retailer_id) AS retailers, round(count(*) / count(DISTINCT retailer_id), 6) AS deliveries_per_retailer,
+       count(DISTINCT sku) AS skus, round(avg(dispatch_delay_minutes), 6) AS mean_delay,
+       round(median(dispatch_delay_minutes), 6) AS median_delay,
+       round(quantile_cont(dispatch_delay_minutes, 0.95), 6) AS p95_delay, round(avg(on_time) * 100, 6) AS on_time_pct,
        min(timestamp) AS first_ts, max(timestamp) AS last_ts
 FROM d"""))
 def r11_dispatch_overview(spark, sf_dir):
@@ -324,7 +324,7 @@ def r11_dispatch_overview(spark, sf_dir):
 
 
 @query("r11_dispatch_plant_share", _dsql("""
-SELECT plant_id, count(*) AS dispatches, round(count(*) * 100.0 / (SELECT count(*) FROM d), 4) AS pct
+SELECT plant_id, count(*) AS dispatches, round(count(*) * 100.0 / (SELECT count(*) FROM d), 6) AS pct
 FROM d WHERE plant_id IS NOT NULL GROUP BY plant_id"""))
 def r11_dispatch_plant_share(spark, sf_dir):
     df = dispatch_prepared(spark, sf_dir)
@@ -335,7 +335,7 @@ def r11_dispatch_plant_share(spark, sf_dir):
 
 
 @query("r11_dispatch_top5_skus", _dsql("""
-SELECT sku, count(*) AS dispatches, round(count(*) * 100.0 / (SELECT count(*) FROM d), 4) AS pct
+SELECT sku, count(*) AS dispatches, round(count(*) * 100.0 / (SELECT count(*) FROM d), 6) AS pct
 FROM d WHERE sku IS NOT NULL GROUP BY sku ORDER BY dispatches DESC, sku LIMIT 5"""))
 def r11_dispatch_top5_skus(spark, sf_dir):
     df = dispatch_prepared(spark, sf_dir)
@@ -346,9 +346,9 @@ def r11_dispatch_top5_skus(spark, sf_dir):
 
 # --- W01 / W02 / M12: rolling features, route z-score, feature table ------------------------------------
 _ROLL_SQL_STATS = """
-  CASE WHEN {k} IS NOT NULL AND timestamp IS NOT NULL THEN round(avg(dispatch_delay_minutes) OVER w_{k}_{n}, 4) END AS {k}_mean_{n}D,
-  CASE WHEN {k} IS NOT NULL AND timestamp IS NOT NULL THEN round(median(dispatch_delay_minutes) OVER w_{k}_{n}, 4) END AS {k}_median_{n}D,
-  CASE WHEN {k} IS NOT NULL AND timestamp IS NOT NULL THEN round(coalesce(stddev_samp(dispatch_delay_minutes) OVER w_{k}_{n}, 0), 4) END AS {k}_std_{n}D,
+  CASE WHEN {k} IS NOT NULL AND timestamp IS NOT NULL THEN round(avg(dispatch_delay_minutes) OVER w_{k}_{n}, 6) END AS {k}_mean_{n}D,
+  CASE WHEN {k} IS NOT NULL AND timestamp IS NOT NULL THEN round(median(dispatch_delay_minutes) OVER w_{k}_{n}, 6) END AS {k}_median_{n}D,
+  CASE WHEN {k} IS NOT NULL AND timestamp IS NOT NULL THEN round(coalesce(stddev_samp(dispatch_delay_minutes) OVER w_{k}_{n}, 0), 6) END AS {k}_std_{n}D,
   CASE WHEN {k} IS NOT NULL AND timestamp IS NOT NULL THEN count(dispatch_delay_minutes) OVER w_{k}_{n} ELSE 0 END AS {k}_count_{n}D"""
 _ROLL_SQL_WINDOWS = """
   w_{k}_{n} AS (PARTITION BY {k} ORDER BY timestamp RANGE BETWEEN INTERVAL '{m} days 23:59:59.999999' PRECEDING AND CURRENT ROW)"""
@@ -397,8 +397,8 @@ def w01_dispatch_rolling(spark, sf_dir):
 @query("w02_route_zscore", _dsql("""
 , s AS (SELECT route_id, avg(dispatch_delay_minutes) AS m, stddev_samp(dispatch_delay_minutes) AS sd
         FROM d WHERE route_id IS NOT NULL GROUP BY route_id)
-SELECT dispatch_id, d.route_id, round(m, 4) AS route_id_mean, round(sd, 4) AS route_id_std,
-       round((dispatch_delay_minutes - m) / nullif(sd, 0), 4) AS route_id_zscore
+SELECT dispatch_id, d.route_id, round(m, 6) AS route_id_mean, round(sd, 6) AS route_id_std,
+       round((dispatch_delay_minutes - m) / nullif(sd, 0), 6) AS route_id_zscore
 FROM d LEFT JOIN s ON d.route_id = s.route_id"""))
 def w02_route_zscore(spark, sf_dir):
     df = dispatch_prepared(spark, sf_dir).select("dispatch_id", "route_id", DELAY)
@@ -425,8 +425,8 @@ def dispatch_features(spark, sf_dir, method: str = "auto") -> DataFrame:
         FROM d WHERE route_id IS NOT NULL GROUP BY route_id),
 r AS (SELECT *, {_S} FROM d WINDOW {_W})
 SELECT {", ".join(FEATURE_BASE)}, {", ".join(ROLL_COLS)},
-       round(m, 4) AS route_id_mean, round(sd, 4) AS route_id_std,
-       round((dispatch_delay_minutes - m) / nullif(sd, 0), 4) AS route_id_zscore
+       round(m, 6) AS route_id_mean, round(sd, 6) AS route_id_std,
+       round((dispatch_delay_minutes - m) / nullif(sd, 0), 6) AS route_id_zscore
 FROM r LEFT JOIN s ON r.route_id = s.s_route"""))
 def m12_dispatch_features(spark, sf_dir):
     df = _round_roll(dispatch_features(spark, sf_dir))
@@ -440,7 +440,7 @@ def m12_dispatch_features(spark, sf_dir):
 , s AS (SELECT avg(dispatch_delay_minutes) AS m,
                CASE WHEN stddev_samp(dispatch_delay_minutes) > 0 THEN stddev_samp(dispatch_delay_minutes) ELSE 1.0 END AS sd
         FROM d)
-SELECT dispatch_id, round((dispatch_delay_minutes - m) / sd, 4) AS delay_zscore,
+SELECT dispatch_id, round((dispatch_delay_minutes - m) / sd, 6) AS delay_zscore,
        abs((dispatch_delay_minutes - m) / sd) > 3 AS z_anomaly
 FROM d CROSS JOIN s"""))
 def w05_delay_global_zscore(spark, sf_dir):

@@ -72,7 +72,7 @@ def _base_aggs():
 
 @query("r39_inv_by_movement_type", _isql(f"""
 SELECT movement_type, {_BASE_AGGS_SQL}, CAST(sum(net_movement) AS BIGINT) AS net_movement,
-       round(avg(balance_after), 4) AS avg_balance
+       round(avg(balance_after), 6) AS avg_balance
 FROM inv2 WHERE movement_type IS NOT NULL GROUP BY movement_type"""))
 def r39_inv_by_movement_type(spark, sf_dir):
     return report(inventory_prepared(spark, sf_dir), "movement_type", _base_aggs() + [
@@ -80,7 +80,7 @@ def r39_inv_by_movement_type(spark, sf_dir):
 
 
 @query("r40_inv_by_location", _isql(f"""
-SELECT location_type, location_id, {_BASE_AGGS_SQL}, round(avg(balance_after), 4) AS avg_balance,
+SELECT location_type, location_id, {_BASE_AGGS_SQL}, round(avg(balance_after), 6) AS avg_balance,
        count(*) FILTER (WHERE negative_balance_flag) AS negative_balance_count
 FROM inv2 WHERE location_type IS NOT NULL AND location_id IS NOT NULL GROUP BY location_type, location_id"""))
 def r40_inv_by_location(spark, sf_dir):
@@ -91,10 +91,10 @@ def r40_inv_by_location(spark, sf_dir):
 
 @query("r41_inv_by_sku", _isql(f"""
 SELECT sku, {_BASE_AGGS_SQL}, CAST(sum(net_movement) AS BIGINT) AS net_movement,
-       round(avg(balance_after), 4) AS avg_balance,
+       round(avg(balance_after), 6) AS avg_balance,
        arg_max(balance_after, (timestamp, record_id, balance_after)) AS latest_balance,
        count(*) FILTER (WHERE expired_flag) AS expired_movements,
-       round(sum(qty_out) / (sum(qty_in) + 1), 4) AS turnover_ratio
+       round(sum(qty_out) / (sum(qty_in) + 1), 6) AS turnover_ratio
 FROM inv2 WHERE sku IS NOT NULL GROUP BY sku"""))
 def r41_inv_by_sku(spark, sf_dir):
     g = report(inventory_prepared(spark, sf_dir), "sku", _base_aggs() + [
@@ -108,7 +108,7 @@ def r41_inv_by_sku(spark, sf_dir):
 
 @query("r42_inv_by_date", _isql(f"""
 SELECT date, {_BASE_AGGS_SQL}, CAST(sum(net_movement) AS BIGINT) AS net_movement,
-       round(avg(balance_after), 4) AS avg_balance, count(*) FILTER (WHERE negative_balance_flag) AS negative_balance_count
+       round(avg(balance_after), 6) AS avg_balance, count(*) FILTER (WHERE negative_balance_flag) AS negative_balance_count
 FROM inv2 GROUP BY date"""))
 def r42_inv_by_date(spark, sf_dir):
     return report(inventory_prepared(spark, sf_dir), "date", _base_aggs() + [
@@ -138,8 +138,8 @@ def r44_inv_anomalies_top50(spark, sf_dir):
 SELECT count(*) AS records, count(DISTINCT sku) AS skus, count(DISTINCT plant_id) AS plants,
        count(DISTINCT store_id) AS stores, min(timestamp) AS first_ts, max(timestamp) AS last_ts,
        CAST(sum(qty_in) AS BIGINT) AS total_qty_in, CAST(sum(qty_out) AS BIGINT) AS total_qty_out,
-       CAST(sum(net_movement) AS BIGINT) AS net_movement, round(avg(balance_after), 4) AS avg_balance,
-       round(median(balance_after), 4) AS median_balance
+       CAST(sum(net_movement) AS BIGINT) AS net_movement, round(avg(balance_after), 6) AS avg_balance,
+       round(median(balance_after), 6) AS median_balance
 FROM inv2"""))
 def r45_inv_overview(spark, sf_dir):
     df = inventory_prepared(spark, sf_dir)
@@ -152,7 +152,7 @@ def r45_inv_overview(spark, sf_dir):
 
 
 @query("r45_inv_movement_mix", _isql("""
-SELECT movement_type, count(*) AS records, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct
+SELECT movement_type, count(*) AS records, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
 FROM inv2 WHERE movement_type IS NOT NULL GROUP BY movement_type"""))
 def r45_inv_movement_mix(spark, sf_dir):
     g = report(inventory_prepared(spark, sf_dir), "movement_type", [F.count(F.lit(1)).alias("records")])
@@ -161,14 +161,14 @@ def r45_inv_movement_mix(spark, sf_dir):
 
 @query("r46_inv_integrity", _isql("""
 SELECT count(*) FILTER (WHERE negative_balance_flag) AS negative_balances,
-       round(avg(CAST(negative_balance_flag AS INT)) * 100, 4) AS negative_pct,
+       round(avg(CAST(negative_balance_flag AS INT)) * 100, 6) AS negative_pct,
        count(*) FILTER (WHERE negative_balance_flag AND location_type = 'Plant') AS negative_at_plants,
        count(*) FILTER (WHERE negative_balance_flag AND location_type = 'Store') AS negative_at_stores,
        count(*) FILTER (WHERE balance_mismatch) AS mismatches,
        CAST(sum(abs(balance_after - calculated_balance)) FILTER (WHERE balance_mismatch) AS BIGINT) AS mismatch_abs_diff,
        count(*) FILTER (WHERE large_adjustment_flag) AS large_adjustments,
        round(count(*) FILTER (WHERE large_adjustment_flag) * 100.0
-             / nullif(count(*) FILTER (WHERE movement_type = 'stock_adjustment'), 0), 4) AS large_adjustment_pct
+             / nullif(count(*) FILTER (WHERE movement_type = 'stock_adjustment'), 0), 6) AS large_adjustment_pct
 FROM inv2"""))
 def r46_inv_integrity(spark, sf_dir):
     df = inventory_prepared(spark, sf_dir)
@@ -191,9 +191,9 @@ def r46_inv_integrity(spark, sf_dir):
                count(DISTINCT location_id) AS locations
         FROM inv2 GROUP BY location_type)
 SELECT location_type, records, CAST(qty_in AS BIGINT) AS qty_in, CAST(qty_out AS BIGINT) AS qty_out,
-       CAST(net_movement AS BIGINT) AS net_movement, round(avg_balance, 4) AS avg_balance, locations,
+       CAST(net_movement AS BIGINT) AS net_movement, round(avg_balance, 6) AS avg_balance, locations,
        round((SELECT qty_in FROM g WHERE location_type = 'Store') * 100.0
-             / nullif((SELECT qty_out FROM g WHERE location_type = 'Plant'), 0), 4) AS flow_efficiency_pct
+             / nullif((SELECT qty_out FROM g WHERE location_type = 'Plant'), 0), 6) AS flow_efficiency_pct
 FROM g"""))
 def r47_inv_location_flow(spark, sf_dir):
     df = inventory_prepared(spark, sf_dir)
@@ -214,7 +214,7 @@ def r47_inv_location_flow(spark, sf_dir):
         FROM inv2 WHERE sku IS NOT NULL GROUP BY sku)
 SELECT sku, CAST(qty_in AS BIGINT) AS qty_in, CAST(qty_out AS BIGINT) AS qty_out,
        CAST(net_movement AS BIGINT) AS net_movement, movements, latest_balance,
-       round(qty_out / (qty_in + 1), 4) AS turnover_ratio,
+       round(qty_out / (qty_in + 1), 6) AS turnover_ratio,
        latest_balance > 1000 AND qty_out / (qty_in + 1) < 0.5 AS slow_moving,
        CAST(row_number() OVER (ORDER BY latest_balance DESC, sku) AS INT) AS balance_rank
 FROM g"""))
@@ -234,10 +234,10 @@ def r48_inv_sku_turnover(spark, sf_dir):
 
 @query("r49_inv_expiry_days", _isql("""
 SELECT count(days_to_expiry) AS n, count(*) FILTER (WHERE expired_flag) AS expired,
-       round(avg(CAST(expired_flag AS INT)) * 100, 4) AS expired_pct,
-       round(quantile_cont(days_to_expiry, 0.1), 4) AS p10, round(quantile_cont(days_to_expiry, 0.25), 4) AS p25,
-       round(quantile_cont(days_to_expiry, 0.5), 4) AS p50, round(quantile_cont(days_to_expiry, 0.75), 4) AS p75,
-       round(quantile_cont(days_to_expiry, 0.9), 4) AS p90, min(days_to_expiry) AS min_days, max(days_to_expiry) AS max_days
+       round(avg(CAST(expired_flag AS INT)) * 100, 6) AS expired_pct,
+       round(quantile_cont(days_to_expiry, 0.1), 6) AS p10, round(quantile_cont(days_to_expiry, 0.25), 6) AS p25,
+       round(quantile_cont(days_to_expiry, 0.5), 6) AS p50, round(quantile_cont(days_to_expiry, 0.75), 6) AS p75,
+       round(quantile_cont(days_to_expiry, 0.9), 6) AS p90, min(days_to_expiry) AS min_days, max(days_to_expiry) AS max_days
 FROM inv2"""))
 def r49_inv_expiry_days(spark, sf_dir):
     df = inventory_prepared(spark, sf_dir)
@@ -264,7 +264,7 @@ SELECT count(*) FILTER (WHERE movement_type = 'stock_adjustment') AS adjustment_
        CAST(coalesce(sum(qty_out) FILTER (WHERE movement_type = 'stock_adjustment'), 0) AS BIGINT) AS adjustments_out,
        CAST(coalesce(sum(net_movement) FILTER (WHERE movement_type = 'stock_adjustment'), 0) AS BIGINT) AS net_adjustment,
        round(CASE WHEN sum(qty_in) > 0 THEN abs(coalesce(sum(qty_out) FILTER (WHERE movement_type = 'stock_adjustment'), 0))
-             * 100.0 / sum(qty_in) ELSE 0 END, 4) AS shrinkage_pct
+             * 100.0 / sum(qty_in) ELSE 0 END, 6) AS shrinkage_pct
 FROM inv2"""))
 def r50_inv_shrinkage(spark, sf_dir):
     df = inventory_prepared(spark, sf_dir)
@@ -292,8 +292,8 @@ def r50_inv_top_adjustment_reasons(spark, sf_dir):
 @query("r51_inv_daily_averages", _isql("""
 , d AS (SELECT date, sum(qty_in) AS qi, sum(qty_out) AS qo, sum(net_movement) AS nm, avg(balance_after) AS b
         FROM inv2 GROUP BY date)
-SELECT round(avg(qi), 4) AS avg_daily_qty_in, round(avg(qo), 4) AS avg_daily_qty_out,
-       round(avg(nm), 4) AS avg_daily_net, round(avg(b), 4) AS avg_daily_balance FROM d"""))
+SELECT round(avg(qi), 6) AS avg_daily_qty_in, round(avg(qo), 6) AS avg_daily_qty_out,
+       round(avg(nm), 6) AS avg_daily_net, round(avg(b), 6) AS avg_daily_balance FROM d"""))
 def r51_inv_daily_averages(spark, sf_dir):
     d = report(inventory_prepared(spark, sf_dir), "date", [
         F.sum("qty_in").alias("qi"), F.sum("qty_out").alias("qo"), F.sum("net_movement").alias("nm"),
@@ -316,9 +316,9 @@ def r51_inv_weekday_peaks(spark, sf_dir):
 
 
 @query("r52_inv_by_plant", osql("fx_inventory", """
-SELECT plant_id, CAST(sum(qty_in) AS BIGINT) AS qty_in_sum, round(avg(qty_in), 4) AS qty_in_mean,
-       CAST(sum(qty_out) AS BIGINT) AS qty_out_sum, round(avg(qty_out), 4) AS qty_out_mean,
-       CAST(sum(balance_after) AS BIGINT) AS balance_sum, round(avg(balance_after), 4) AS balance_mean
+SELECT plant_id, CAST(sum(qty_in) AS BIGINT) AS qty_in_sum, round(avg(qty_in), 6) AS qty_in_mean,
+       CAST(sum(qty_out) AS BIGINT) AS qty_out_sum, round(avg(qty_out), 6) AS qty_out_mean,
+       CAST(sum(balance_after) AS BIGINT) AS balance_sum, round(avg(balance_after), 6) AS balance_mean
 FROM fx_inventory WHERE plant_id IS NOT NULL GROUP BY plant_id"""))
 def r52_inv_by_plant(spark, sf_dir):
     # The basic report reads the raw ledger (no timestamp filter).
@@ -330,7 +330,7 @@ def r52_inv_by_plant(spark, sf_dir):
 
 @query("f12_inv_balance_trimmed", _isql("""
 , q AS (SELECT quantile_cont(balance_after, 0.01) AS lo, quantile_cont(balance_after, 0.99) AS hi FROM inv2)
-SELECT count(*) AS rows_kept, round(avg(balance_after), 4) AS mean_balance, min(balance_after) AS min_balance,
+SELECT count(*) AS rows_kept, round(avg(balance_after), 6) AS mean_balance, min(balance_after) AS min_balance,
        max(balance_after) AS max_balance
 FROM inv2, q WHERE balance_after BETWEEN lo AND hi"""))
 def f12_inv_balance_trimmed(spark, sf_dir):

@@ -53,7 +53,7 @@ def m01_time_splits(spark, sf_dir):
 @query("m02_zscore_folds", _dsql(_SEG_SQL + """
 , zc AS (SELECT te.fold, count(*) FILTER (WHERE abs((r.dispatch_delay_minutes - tr.m) / tr.sd) > 3) AS z_anomalies
          FROM te JOIN tr ON te.fold = tr.fold JOIN r ON r.segment = te.fold + 1 GROUP BY te.fold)
-SELECT CAST(tr.fold AS INT) AS fold, n_train, n_test, round(m, 4) AS train_mean, round(sd, 4) AS train_std,
+SELECT CAST(tr.fold AS INT) AS fold, n_train, n_test, round(m, 6) AS train_mean, round(sd, 6) AS train_std,
        coalesce(z_anomalies, 0) AS z_anomalies
 FROM tr JOIN te ON tr.fold = te.fold LEFT JOIN zc ON zc.fold = tr.fold"""))
 def m02_zscore_folds(spark, sf_dir):

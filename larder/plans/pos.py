@@ -48,9 +48,9 @@ def _pos_sql(body: str) -> str:
 @query("r13_pos_by_region", _pos_sql("""
 SELECT region,
        sum(quantity_sold) AS quantity_sold_sum,
-       round(avg(quantity_sold), 4) AS quantity_sold_mean,
+       round(avg(quantity_sold), 6) AS quantity_sold_mean,
        sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum,
-       round(avg(revenue), 4) AS revenue_mean,
+       round(avg(revenue), 6) AS revenue_mean,
        count(sale_id) AS sale_id_count,
        count(DISTINCT retailer_id) AS retailer_id_nunique,
        CAST(sum(promotion_flag) AS BIGINT) AS promotion_flag_sum
@@ -70,10 +70,10 @@ def r13_pos_by_region(spark, sf_dir):
 # --- R12 ---------------------------------------------------------------------------------------
 @query("r12_pos_by_sku", _pos_sql("""
 SELECT sku,
-       sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 4) AS quantity_sold_mean,
+       sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
        count(quantity_sold) AS quantity_sold_count,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 4) AS revenue_mean,
-       round(min(price), 4) AS price_min, round(avg(price), 4) AS price_mean, round(max(price), 4) AS price_max,
+       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
+       round(min(price), 6) AS price_min, round(avg(price), 6) AS price_mean, round(max(price), 6) AS price_max,
        CAST(sum(promotion_flag) AS BIGINT) AS promotion_flag_sum
 FROM pos WHERE sku IS NOT NULL GROUP BY sku"""))
 def r12_pos_by_sku(spark, sf_dir):
@@ -93,8 +93,8 @@ def r12_pos_by_sku(spark, sf_dir):
 # --- R14: first region = region of the lowest sale id (ties: smallest region) -------------------
 @query("r14_pos_by_retailer_top50", _pos_sql("""
 SELECT retailer_id,
-       sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 4) AS quantity_sold_mean,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 4) AS revenue_mean,
+       sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
+       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
        count(sale_id) AS sale_id_count, CAST(sum(promotion_flag) AS BIGINT) AS promotion_flag_sum,
        arg_min(region, (sale_id, region)) FILTER (WHERE region IS NOT NULL) AS region_first
 FROM pos WHERE retailer_id IS NOT NULL GROUP BY retailer_id
@@ -127,9 +127,9 @@ def r15_pos_by_date(spark, sf_dir):
 
 # --- R16 ---------------------------------------------------------------------------------------
 @query("r16_pos_by_hour", _pos_sql("""
-SELECT hour, sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 4) AS quantity_sold_mean,
+SELECT hour, sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
        count(quantity_sold) AS quantity_sold_count,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 4) AS revenue_mean
+       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean
 FROM pos WHERE hour IS NOT NULL GROUP BY hour"""))
 def r16_pos_by_hour(spark, sf_dir):
     return report(pos_prepared(spark, sf_dir), "hour", [
@@ -143,10 +143,10 @@ def r16_pos_by_hour(spark, sf_dir):
 
 # --- R17 (F01 equality filter pushed to the scan) ------------------------------------------------
 @query("r17_pos_by_promotion", _pos_sql("""
-SELECT promotion_name, sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 4) AS quantity_sold_mean,
+SELECT promotion_name, sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
        count(quantity_sold) AS quantity_sold_count,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 4) AS revenue_mean,
-       round(avg(price), 4) AS price_mean, count(DISTINCT retailer_id) AS retailer_id_nunique
+       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
+       round(avg(price), 6) AS price_mean, count(DISTINCT retailer_id) AS retailer_id_nunique
 FROM pos WHERE promotion_flag = 1 AND promotion_name IS NOT NULL GROUP BY promotion_name"""))
 def r17_pos_by_promotion(spark, sf_dir):
     df = pos_prepared(spark, sf_dir).where(c("promotion_flag") == 1)
@@ -176,15 +176,15 @@ def r18_pos_region_sku(spark, sf_dir):
 @query("r19_pos_overview", _pos_sql("""
 SELECT count(*) AS transactions, min(timestamp) AS first_ts, max(timestamp) AS last_ts,
        sum(quantity_sold) AS total_units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS total_revenue,
-       round(avg(quantity_sold), 4) AS avg_units, round(avg(price), 4) AS avg_price,
+       round(avg(quantity_sold), 6) AS avg_units, round(avg(price), 6) AS avg_price,
        count(DISTINCT retailer_id) AS retailers, count(DISTINCT region) AS regions, count(DISTINCT sku) AS skus,
        CAST(sum(promotion_flag) AS BIGINT) AS promo_transactions,
-       round(avg(promotion_flag) * 100, 4) AS promo_pct,
+       round(avg(promotion_flag) * 100, 6) AS promo_pct,
        count(DISTINCT promotion_name) FILTER (WHERE promotion_flag = 1) AS promotions,
        round((avg(quantity_sold) FILTER (WHERE promotion_flag = 1)
-              / avg(quantity_sold) FILTER (WHERE promotion_flag = 0) - 1) * 100, 4) AS uplift_qty_pct,
+              / avg(quantity_sold) FILTER (WHERE promotion_flag = 0) - 1) * 100, 6) AS uplift_qty_pct,
        round((avg(revenue) FILTER (WHERE promotion_flag = 1)
-              / avg(revenue) FILTER (WHERE promotion_flag = 0) - 1) * 100, 4) AS uplift_revenue_pct
+              / avg(revenue) FILTER (WHERE promotion_flag = 0) - 1) * 100, 6) AS uplift_revenue_pct
 FROM pos"""))
 def r19_pos_overview(spark, sf_dir):
     df = pos_prepared(spark, sf_dir)
@@ -214,12 +214,12 @@ def r19_pos_overview(spark, sf_dir):
 # --- R20: SKU shares of the grand total (A20, A22) ----------------------------------------------
 @query("r20_pos_sku_shares", _pos_sql("""
 , s AS (SELECT sku, sum(quantity_sold) AS units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue,
-               count(sale_id) AS transactions, round(avg(price), 4) AS avg_price
+               count(sale_id) AS transactions, round(avg(price), 6) AS avg_price
         FROM pos WHERE sku IS NOT NULL GROUP BY sku)
 SELECT sku, units, revenue, transactions, avg_price,
-       round(units / transactions, 4) AS units_per_transaction,
-       round(units / sum(units) OVER () * 100, 4) AS units_share_pct,
-       round(revenue / sum(revenue) OVER () * 100, 4) AS revenue_share_pct
+       round(units / transactions, 6) AS units_per_transaction,
+       round(units / sum(units) OVER () * 100, 6) AS units_share_pct,
+       round(revenue / sum(revenue) OVER () * 100, 6) AS revenue_share_pct
 FROM s"""))
 def r20_pos_sku_shares(spark, sf_dir):
     g = report(pos_prepared(spark, sf_dir), "sku", [
@@ -238,8 +238,8 @@ def r20_pos_sku_shares(spark, sf_dir):
 @query("r20_pos_region_ratios", _pos_sql("""
 SELECT region, sum(quantity_sold) AS units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue,
        count(sale_id) AS transactions, count(DISTINCT retailer_id) AS retailers,
-       round(sum(quantity_sold) / count(sale_id), 4) AS units_per_transaction,
-       round((sum(floor(revenue * 100 + 0.5)) / 100.0) / count(sale_id), 4) AS revenue_per_transaction
+       round(sum(quantity_sold) / count(sale_id), 6) AS units_per_transaction,
+       round((sum(floor(revenue * 100 + 0.5)) / 100.0) / count(sale_id), 6) AS revenue_per_transaction
 FROM pos WHERE region IS NOT NULL GROUP BY region"""))
 def r20_pos_region_ratios(spark, sf_dir):
     g = report(pos_prepared(spark, sf_dir), "region", [
@@ -264,7 +264,7 @@ r AS (SELECT sku, daily_mean,
              row_number() OVER (ORDER BY daily_mean ASC, sku DESC) AS slow_rank,
              quantile_cont(daily_mean, 0.2) OVER () AS p20
       FROM m)
-SELECT sku, round(daily_mean, 4) AS daily_units_mean, fast_rank,
+SELECT sku, round(daily_mean, 6) AS daily_units_mean, fast_rank,
        fast_rank <= 5 AS is_fast_top5, slow_rank <= 5 AS is_slow_bottom5, daily_mean < p20 AS below_p20
 FROM r"""))
 def r21_pos_fast_slow_movers(spark, sf_dir):
@@ -306,8 +306,8 @@ def r22_pos_weekday(spark, sf_dir):
 
 @query("r22_pos_weekend_vs_weekday", _pos_sql("""
 SELECT CASE WHEN is_weekend = 1 THEN 'Weekend' ELSE 'Weekday' END AS period,
-       sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 4) AS quantity_sold_mean,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 4) AS revenue_mean
+       sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
+       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean
 FROM pos WHERE is_weekend IS NOT NULL GROUP BY is_weekend"""))
 def r22_pos_weekend_vs_weekday(spark, sf_dir):
     g = report(pos_prepared(spark, sf_dir), "is_weekend", [
@@ -337,8 +337,8 @@ def r22_pos_hour_extremes(spark, sf_dir):
 
 # --- R23: price statistics and price/quantity correlation per SKU (A25) ----------------------------
 @query("r23_pos_price_stats", _pos_sql("""
-SELECT sku, round(min(price), 4) AS min_price, round(avg(price), 4) AS avg_price,
-       round(max(price), 4) AS max_price, round(stddev_samp(price), 4) AS std_price
+SELECT sku, round(min(price), 6) AS min_price, round(avg(price), 6) AS avg_price,
+       round(max(price), 6) AS max_price, round(stddev_samp(price), 6) AS std_price
 FROM pos WHERE sku IS NOT NULL GROUP BY sku"""))
 def r23_pos_price_stats(spark, sf_dir):
     return report(pos_prepared(spark, sf_dir), "sku", [
@@ -352,7 +352,7 @@ def r23_pos_price_stats(spark, sf_dir):
 @query("r23_pos_price_qty_corr", _pos_sql("""
 , g AS (SELECT sku, corr(price, quantity_sold) AS r, count(*) AS n FROM pos
         WHERE sku IS NOT NULL GROUP BY sku HAVING count(*) > 10)
-SELECT sku, round(r, 4) AS price_qty_corr, n,
+SELECT sku, round(r, 6) AS price_qty_corr, n,
        CASE WHEN r < -0.3 THEN 'price_sensitive' WHEN r > 0.3 THEN 'premium' ELSE 'weak' END AS relationship
 FROM g"""))
 def r23_pos_price_qty_corr(spark, sf_dir):
@@ -367,7 +367,7 @@ def r23_pos_price_qty_corr(spark, sf_dir):
 # --- R24: top 20 retailers and retailers below the 10th percentile of transactions (F11) ------------
 @query("r24_pos_top20_retailers", _pos_sql("""
 SELECT retailer_id, sum(quantity_sold) AS units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue,
-       count(sale_id) AS transactions, round(sum(quantity_sold) / count(sale_id), 4) AS units_per_transaction
+       count(sale_id) AS transactions, round(sum(quantity_sold) / count(sale_id), 6) AS units_per_transaction
 FROM pos WHERE retailer_id IS NOT NULL GROUP BY retailer_id ORDER BY units DESC, retailer_id LIMIT 20"""))
 def r24_pos_top20_retailers(spark, sf_dir):
     g = report(pos_prepared(spark, sf_dir), "retailer_id", [
@@ -413,7 +413,7 @@ def a27_pos_sku_region_pivot(spark, sf_dir):
 @query("w04_pos_daily_ma7", _pos_sql("""
 , d AS (SELECT date, sum(quantity_sold) AS units FROM pos WHERE date IS NOT NULL GROUP BY date)
 SELECT date, units,
-       CASE WHEN count(units) OVER w = 7 THEN round(avg(units) OVER w, 4) END AS ma7
+       CASE WHEN count(units) OVER w = 7 THEN round(avg(units) OVER w, 6) END AS ma7
 FROM d WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""))
 def w04_pos_daily_ma7(spark, sf_dir):
     from larder.operators.windows import centered_moving_average

@@ -36,10 +36,10 @@ def _psql(body):
 
 @query("r53_prod_by_plant", _psql(f"""
 SELECT plant, count({Q}) AS quantity_produced_count, CAST(sum({Q}) AS BIGINT) AS quantity_produced_sum,
-       round(avg({Q}), 4) AS quantity_produced_mean, round(stddev_samp({Q}), 4) AS quantity_produced_std,
+       round(avg({Q}), 6) AS quantity_produced_mean, round(stddev_samp({Q}), 6) AS quantity_produced_std,
        {", ".join(f"CAST(sum({d}) AS BIGINT) AS {d}" for d in DEFECT_COLUMNS)},
        CAST(sum(total_defects) AS BIGINT) AS total_defects,
-       round(sum(total_defects) * 100.0 / sum({Q}), 4) AS defect_rate_pct
+       round(sum(total_defects) * 100.0 / sum({Q}), 6) AS defect_rate_pct
 FROM prod WHERE plant IS NOT NULL GROUP BY plant"""))
 def r53_prod_by_plant(spark, sf_dir):
     # Defect rate = all seven defect counts over units produced (A29), per plant.
@@ -63,7 +63,7 @@ def _by_sql(key, order, limit=None):
     lim = f" ORDER BY {order} DESC, {key} LIMIT {limit}" if limit else ""
     return _psql(f"""
 SELECT {key}, count({Q}) AS batches, CAST(sum({Q}) AS BIGINT) AS quantity_produced_sum,
-       round(avg({Q}), 4) AS quantity_produced_mean, CAST(sum(total_defects) AS BIGINT) AS total_defects
+       round(avg({Q}), 6) AS quantity_produced_mean, CAST(sum(total_defects) AS BIGINT) AS total_defects
 FROM prod WHERE {key} IS NOT NULL GROUP BY {key}{lim}""")
 
 
@@ -73,7 +73,7 @@ query("r56_prod_by_sku", _by_sql("sku", "quantity_produced_sum"))(_by("sku", "qu
 
 
 @query("r57_prod_by_hour", _psql(f"""
-SELECT hour, count({Q}) AS batches, round(avg({Q}), 4) AS quantity_produced_mean,
+SELECT hour, count({Q}) AS batches, round(avg({Q}), 6) AS quantity_produced_mean,
        CAST(sum({Q}) AS BIGINT) AS quantity_produced_sum FROM prod WHERE hour IS NOT NULL GROUP BY hour"""))
 def r57_prod_by_hour(spark, sf_dir):
     return report(production_prepared(spark, sf_dir), "hour", [
@@ -83,7 +83,7 @@ def r57_prod_by_hour(spark, sf_dir):
 
 @query("r58_prod_defects_summary", osql("fx_production", " UNION ALL ".join(f"""
 SELECT '{d}' AS defect_type, CAST(sum({d}) AS BIGINT) AS total_count, count(*) FILTER (WHERE {d} > 0) AS batches_affected,
-       round(avg({d}), 4) AS mean_per_batch, max({d}) AS max_per_batch FROM fx_production""" for d in DEFECT_COLUMNS)))
+       round(avg({d}), 6) AS mean_per_batch, max({d}) AS max_per_batch FROM fx_production""" for d in DEFECT_COLUMNS)))
 def r58_prod_defects_summary(spark, sf_dir):
     """The seven defect columns unpivoted to (defect_type, count) rows,
     then one aggregate per defect type."""
@@ -96,12 +96,12 @@ def r58_prod_defects_summary(spark, sf_dir):
 
 
 @query("r59_prod_overview", _psql(f"""
-SELECT count(*) AS batches, CAST(sum({Q}) AS BIGINT) AS total_units, round(avg({Q}), 4) AS mean_units,
-       round(median({Q}), 4) AS median_units, min({Q}) AS min_units, max({Q}) AS max_units,
+SELECT count(*) AS batches, CAST(sum({Q}) AS BIGINT) AS total_units, round(avg({Q}), 6) AS mean_units,
+       round(median({Q}), 6) AS median_units, min({Q}) AS min_units, max({Q}) AS max_units,
        count(*) - count(DISTINCT batch_id) AS duplicate_batch_ids,
-       count(DISTINCT operator_id) AS operators, round(count(*) * 1.0 / count(DISTINCT operator_id), 4) AS batches_per_operator,
+       count(DISTINCT operator_id) AS operators, round(count(*) * 1.0 / count(DISTINCT operator_id), 6) AS batches_per_operator,
        CAST(sum(total_defects) AS BIGINT) AS total_defects,
-       round(sum(total_defects) * 100.0 / sum({Q}), 4) AS defect_rate_pct,
+       round(sum(total_defects) * 100.0 / sum({Q}), 6) AS defect_rate_pct,
        count(*) FILTER (WHERE timestamp IS NULL) AS missing_timestamp,
        count(*) FILTER (WHERE line_id IS NULL) AS missing_line
 FROM prod"""))
@@ -123,7 +123,7 @@ def r59_prod_overview(spark, sf_dir):
 
 
 @query("r59_prod_plant_share", _psql(f"""
-SELECT plant, CAST(sum({Q}) AS BIGINT) AS units, round(sum({Q}) * 100.0 / sum(sum({Q})) OVER (), 4) AS share_pct
+SELECT plant, CAST(sum({Q}) AS BIGINT) AS units, round(sum({Q}) * 100.0 / sum(sum({Q})) OVER (), 6) AS share_pct
 FROM prod WHERE plant IS NOT NULL GROUP BY plant"""))
 def r59_prod_plant_share(spark, sf_dir):
     g = report(production_prepared(spark, sf_dir), "plant", [S.sum0(Q).alias("units")])

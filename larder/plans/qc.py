@@ -47,9 +47,9 @@ def _fail_rate():
 
 
 @query("r60_qc_by_parameter", _qsql(f"""
-SELECT parameter, {_COUNTS_SQL}, round(avg(value), 4) AS value_mean, round(stddev_samp(value), 4) AS value_std,
-       round(min(value), 4) AS value_min, round(max(value), 4) AS value_max, count(DISTINCT batch_id) AS batches,
-       round(sum(is_fail) * 100.0 / count(qc_id), 4) AS fail_rate_pct
+SELECT parameter, {_COUNTS_SQL}, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std,
+       round(min(value), 6) AS value_min, round(max(value), 6) AS value_max, count(DISTINCT batch_id) AS batches,
+       round(sum(is_fail) * 100.0 / count(qc_id), 6) AS fail_rate_pct
 FROM qc WHERE parameter IS NOT NULL GROUP BY parameter"""))
 def r60_qc_by_parameter(spark, sf_dir):
     g = report(qc_prepared(spark, sf_dir), "parameter", _counts() + [
@@ -61,7 +61,7 @@ def r60_qc_by_parameter(spark, sf_dir):
 
 @query("r61_qc_by_sku", _qsql(f"""
 SELECT sku, {_COUNTS_SQL}, count(DISTINCT batch_id) AS batches,
-       round(sum(is_fail) * 100.0 / count(qc_id), 4) AS fail_rate_pct
+       round(sum(is_fail) * 100.0 / count(qc_id), 6) AS fail_rate_pct
 FROM qc WHERE sku IS NOT NULL GROUP BY sku"""))
 def r61_qc_by_sku(spark, sf_dir):
     g = report(qc_prepared(spark, sf_dir), "sku", _counts() + [S.nunique("batch_id").alias("batches")])
@@ -73,7 +73,7 @@ SELECT batch_id, {_COUNTS_SQL},
        arg_min(sku, (qc_id, sku)) FILTER (WHERE sku IS NOT NULL) AS sku,
        arg_min(timestamp, (qc_id, timestamp)) FILTER (WHERE timestamp IS NOT NULL) AS timestamp,
        CASE WHEN sum(is_fail) > 0 THEN 'FAILED' ELSE 'PASSED' END AS batch_status,
-       round(sum(is_fail) * 100.0 / count(qc_id), 4) AS fail_rate_pct
+       round(sum(is_fail) * 100.0 / count(qc_id), 6) AS fail_rate_pct
 FROM qc WHERE batch_id IS NOT NULL GROUP BY batch_id"""))
 def r62_qc_by_batch(spark, sf_dir):
     g = report(qc_prepared(spark, sf_dir), "batch_id", _counts() + [
@@ -85,8 +85,8 @@ def r62_qc_by_batch(spark, sf_dir):
 
 
 @query("r63_qc_failed_detail", _qsql("""
-SELECT batch_id, sku, parameter, count(qc_id) AS fail_count, round(avg(value), 4) AS mean_value,
-       round(min(value), 4) AS min_value, round(max(value), 4) AS max_value,
+SELECT batch_id, sku, parameter, count(qc_id) AS fail_count, round(avg(value), 6) AS mean_value,
+       round(min(value), 6) AS min_value, round(max(value), 6) AS max_value,
        coalesce(array_to_string(list_slice(list_sort(list_distinct(list(notes) FILTER (WHERE notes IS NOT NULL))), 1, 3), ' | '), '') AS notes_sample
 FROM qc WHERE is_fail = 1 AND batch_id IS NOT NULL AND sku IS NOT NULL AND parameter IS NOT NULL
 GROUP BY batch_id, sku, parameter"""))
@@ -101,14 +101,14 @@ def r63_qc_failed_detail(spark, sf_dir):
 
 
 @query("r64_qc_by_hour", _qsql(f"""
-SELECT hour, {_COUNTS_SQL}, round(sum(is_fail) * 100.0 / count(qc_id), 4) AS fail_rate_pct
+SELECT hour, {_COUNTS_SQL}, round(sum(is_fail) * 100.0 / count(qc_id), 6) AS fail_rate_pct
 FROM qc WHERE hour IS NOT NULL GROUP BY hour"""))
 def r64_qc_by_hour(spark, sf_dir):
     return report(qc_prepared(spark, sf_dir), "hour", _counts()).withColumn("fail_rate_pct", _fail_rate())
 
 
 @query("r65_qc_by_date", _qsql(f"""
-SELECT date, {_COUNTS_SQL}, count(DISTINCT batch_id) AS batches, round(sum(is_fail) * 100.0 / count(qc_id), 4) AS fail_rate_pct
+SELECT date, {_COUNTS_SQL}, count(DISTINCT batch_id) AS batches, round(sum(is_fail) * 100.0 / count(qc_id), 6) AS fail_rate_pct
 FROM qc WHERE date IS NOT NULL GROUP BY date"""))
 def r65_qc_by_date(spark, sf_dir):
     g = report(qc_prepared(spark, sf_dir), "date", _counts() + [S.nunique("batch_id").alias("batches")])
@@ -117,10 +117,10 @@ def r65_qc_by_date(spark, sf_dir):
 
 @query("r66_qc_overview", _qsql("""
 , h AS (SELECT hour, sum(is_fail) * 100.0 / count(qc_id) AS r FROM qc WHERE hour IS NOT NULL GROUP BY hour)
-SELECT count(*) AS checks, round(avg(is_pass) * 100, 4) AS pass_pct, round(avg(is_fail) * 100, 4) AS fail_pct,
-       count(DISTINCT batch_id) AS batches, round(count(*) * 1.0 / count(DISTINCT batch_id), 4) AS checks_per_batch,
+SELECT count(*) AS checks, round(avg(is_pass) * 100, 6) AS pass_pct, round(avg(is_fail) * 100, 6) AS fail_pct,
+       count(DISTINCT batch_id) AS batches, round(count(*) * 1.0 / count(DISTINCT batch_id), 6) AS checks_per_batch,
        count(DISTINCT batch_id) FILTER (WHERE is_fail = 1) AS failed_batches,
-       round(count(DISTINCT batch_id) FILTER (WHERE is_fail = 1) * 100.0 / count(DISTINCT batch_id), 4) AS failed_batch_pct,
+       round(count(DISTINCT batch_id) FILTER (WHERE is_fail = 1) * 100.0 / count(DISTINCT batch_id), 6) AS failed_batch_pct,
        (SELECT arg_max(hour, (r, -hour)) FROM h) AS peak_fail_hour,
        (SELECT arg_min(hour, (r, hour)) FROM h) AS best_hour,
        CASE WHEN avg(is_fail) * 100 > 5 THEN 'high' WHEN avg(is_fail) * 100 > 2 THEN 'elevated' ELSE 'normal' END AS severity

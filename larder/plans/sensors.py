@@ -24,8 +24,8 @@ def _stats5():
             F.min(V).alias("min"), F.max(V).alias("max")]
 
 
-_STATS5_SQL = """count(metric_value) AS count, round(avg(metric_value), 4) AS mean,
-       round(stddev_samp(metric_value), 4) AS std, min(metric_value) AS min, max(metric_value) AS max"""
+_STATS5_SQL = """count(metric_value) AS count, round(avg(metric_value), 6) AS mean,
+       round(stddev_samp(metric_value), 6) AS std, min(metric_value) AS min, max(metric_value) AS max"""
 
 
 @query("r87_sensors_by_plant", _ssql(f"""
@@ -41,7 +41,7 @@ def r88_sensors_by_metric(spark, sf_dir):
 
 
 @query("r89_sensors_by_equipment_top50", _ssql("""
-SELECT equipment_id, count(metric_value) AS count, round(avg(metric_value), 4) AS mean
+SELECT equipment_id, count(metric_value) AS count, round(avg(metric_value), 6) AS mean
 FROM fx_sensors WHERE equipment_id IS NOT NULL GROUP BY equipment_id ORDER BY count DESC, equipment_id LIMIT 50"""))
 def r89_sensors_by_equipment_top50(spark, sf_dir):
     return report(fx_sensors(spark, sf_dir), "equipment_id",
@@ -49,8 +49,8 @@ def r89_sensors_by_equipment_top50(spark, sf_dir):
 
 
 @query("r90_sensors_overview", _ssql("""
-SELECT count(*) AS rows, round(avg(metric_value), 4) AS mean, round(median(metric_value), 4) AS median,
-       round(stddev_samp(metric_value), 4) AS std, min(metric_value) AS min, max(metric_value) AS max,
+SELECT count(*) AS rows, round(avg(metric_value), 6) AS mean, round(median(metric_value), 6) AS median,
+       round(stddev_samp(metric_value), 6) AS std, min(metric_value) AS min, max(metric_value) AS max,
        count(DISTINCT equipment_id) AS equipment, count(DISTINCT metric_name) AS metrics FROM fx_sensors"""))
 def r90_sensors_overview(spark, sf_dir):
     return fx_sensors(spark, sf_dir).agg(
@@ -60,7 +60,7 @@ def r90_sensors_overview(spark, sf_dir):
 
 
 @query("r90_sensors_top_metrics", _ssql("""
-SELECT metric_name, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM fx_sensors), 4) AS share_pct
+SELECT metric_name, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM fx_sensors), 6) AS share_pct
 FROM fx_sensors WHERE metric_name IS NOT NULL GROUP BY metric_name ORDER BY count DESC, metric_name LIMIT 10"""))
 def r90_sensors_top_metrics(spark, sf_dir):
     """A12 value_counts: frequency, share of all rows, top 10."""
@@ -86,7 +86,7 @@ def a10_sensor_missing_counts(spark, sf_dir):
 
 
 @query("a40_sensor_hourly_mean", _ssql("""
-SELECT date_trunc('hour', timestamp) AS hour, round(avg(metric_value), 4) AS mean_value, count(metric_value) AS readings
+SELECT date_trunc('hour', timestamp) AS hour, round(avg(metric_value), 6) AS mean_value, count(metric_value) AS readings
 FROM fx_sensors WHERE timestamp IS NOT NULL GROUP BY 1"""))
 def a40_sensor_hourly_mean(spark, sf_dir):
     df = fx_sensors(spark, sf_dir).withColumn("hour", F.date_trunc("hour", c("timestamp")))
@@ -98,7 +98,7 @@ def a40_sensor_hourly_mean(spark, sf_dir):
         FROM fx_sensors WHERE metric_value IS NOT NULL),
 h AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((metric_value - lo) / w), 49) END AS INT) AS bin, count(*) AS n
       FROM fx_sensors, b WHERE metric_value IS NOT NULL GROUP BY 1)
-SELECT CAST(r.range AS INT) AS bin, round(lo + r.range * w, 4) AS bin_start, round(lo + (r.range + 1) * w, 4) AS bin_end,
+SELECT CAST(r.range AS INT) AS bin, round(lo + r.range * w, 6) AS bin_start, round(lo + (r.range + 1) * w, 6) AS bin_end,
        CAST(coalesce(n, 0) AS BIGINT) AS count
 FROM range(50) r CROSS JOIN b LEFT JOIN h ON h.bin = r.range"""))
 def a42_sensor_value_histogram(spark, sf_dir):
@@ -112,9 +112,9 @@ s AS (SELECT * FROM fx_sensors WHERE metric_name IN (SELECT metric_name FROM top
 q AS (SELECT metric_name, count(*) AS n, quantile_cont(metric_value, 0.25) AS q1, quantile_cont(metric_value, 0.5) AS med,
              quantile_cont(metric_value, 0.75) AS q3 FROM s GROUP BY metric_name),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
-SELECT f.metric_name, n, round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3,
-       round(min(metric_value) FILTER (WHERE metric_value BETWEEN lo AND hi), 4) AS whisker_low,
-       round(max(metric_value) FILTER (WHERE metric_value BETWEEN lo AND hi), 4) AS whisker_high,
+SELECT f.metric_name, n, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+       round(min(metric_value) FILTER (WHERE metric_value BETWEEN lo AND hi), 6) AS whisker_low,
+       round(max(metric_value) FILTER (WHERE metric_value BETWEEN lo AND hi), 6) AS whisker_high,
        count(*) FILTER (WHERE NOT (metric_value BETWEEN lo AND hi)) AS outliers
 FROM f JOIN s ON s.metric_name = f.metric_name GROUP BY f.metric_name, n, q1, med, q3"""))
 def a43_sensor_box_top10_metrics(spark, sf_dir):
