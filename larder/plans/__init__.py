@@ -1,4 +1,4 @@
 """Query plans, one module per dataset. Importing this package registers them all."""
 
-from larder.plans import dispatch, inventory, models, pos, production, qc, sensors  # noqa: F401
+from larder.plans import dispatch, inventory, models, pos, production, qc, sensors, waste_returns  # noqa: F401
 from larder.plans.registry import ORACLE, QUERIES  # noqa: F401
