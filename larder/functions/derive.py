@@ -49,7 +49,19 @@ def route_type(km) -> Column:
 
 def capacity_category(kg) -> Column:
     """(0,4000] Small, (4000,5500] Medium, (5500,10000] Large."""
-    return cut(kg, [0, 4000, 5500, 10000], ["Small", "Medium", "Large"])
+    return cut(kg, [0, 4000, 5500, 10000], CAPACITY_LABELS)
+
+
+# Capacity classes and trip-start classes: fixed values.
+CAPACITY_LABELS = ["Small (<4000kg)", "Medium (4000-5500kg)", "Large (>5500kg)"]
+START_WINDOW_CLASSES = {"03:00-05:00": "Early", "04:00-06:00": "Mid", "05:00-07:00": "Late"}
+ROUTE_TYPES = ["Urban", "Suburban", "Rural"]
+
+
+def start_window_category(window) -> Column:
+    """Map lookup; unknown windows -> NULL."""
+    m = F.create_map(*[F.lit(x) for kv in START_WINDOW_CLASSES.items() for x in kv])
+    return F.element_at(m, col(window))
 
 
 def depot_region(depot) -> Column:
