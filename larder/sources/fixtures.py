@@ -79,8 +79,9 @@ def fx_b2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+def fx_dispatch(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events`` may be a streaming DataFrame with the events schema."""
+    ev = events if events is not None else read_table(spark, sf_dir, "events")
     arrive = F.timestamp_add("HOUR", lit(2), c("ts"))
     return ev.select(
         c("event_id").alias("dispatch_id"),
@@ -96,8 +97,8 @@ def fx_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+def fx_sensors(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    ev = events if events is not None else read_table(spark, sf_dir, "events")
     return ev.select(
         c("event_id").alias("sensor_id"),
         c("ts").alias("timestamp"),
@@ -118,8 +119,8 @@ def _inflow():
 MOVEMENT_TYPES = ["production", "dispatch", "store_sale", "return_from_store", "waste", "stock_adjustment"]
 
 
-def fx_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
+def fx_inventory(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    li = lineitem if lineitem is not None else read_table(spark, sf_dir, "lineitem")
     q4 = (c("l_quantity") * 4).cast("bigint")
     m = c("l_linenumber") % 6
     mtype = F.element_at(F.array(*[lit(x) for x in MOVEMENT_TYPES]), (m + 1).cast("int"))
