@@ -39,18 +39,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) do we create one of our own.
+    The setting is read, never changed (it is static). The SparkContext
+    checkpoint folder already in force wins; only when neither exists (a
+    bare local test session) do we create a folder of our own.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="larder-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    jsc = spark.sparkContext._jsc.sc()
+    current = jsc.getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-ckpt-")
+    spark.sparkContext.setCheckpointDir(d)
+    return jsc.getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
