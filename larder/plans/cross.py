@@ -208,3 +208,37 @@ def p12_capacity_use(spark, sf_dir):
 
 
 __all__ = ["b2b_prepared"]
+
+
+# Holiday calendar of the fixtures (FIXTURES.md "small inline tables"): fixed values.
+HOLIDAYS = [("1995-12-25", "Christmas"), ("1996-01-01", "New Year"), ("1996-12-25", "Christmas"),
+            ("1997-07-04", "Summer Fair"), ("1998-12-25", "Christmas"), ("1999-01-01", "New Year"),
+            ("2000-04-24", "Spring Holiday"), ("2001-01-01", "New Year")]
+_HOL_SQL = ", ".join(f"(DATE '{d}', '{n}')" for d, n in HOLIDAYS)
+
+
+@query("p09_holiday_effects", osql("fx_pos", f"""
+, d AS (SELECT CAST(timestamp AS DATE) AS date, sum(quantity_sold) AS units FROM fx_pos
+        WHERE timestamp IS NOT NULL GROUP BY 1),
+h AS (SELECT * FROM (VALUES {_HOL_SQL}) t(holiday_date, holiday_name))
+SELECT holiday_date, holiday_name,
+       round(avg(units) FILTER (WHERE date < holiday_date), 6) AS before_avg_units,
+       max(units) FILTER (WHERE date = holiday_date) AS during_units,
+       round(avg(units) FILTER (WHERE date > holiday_date), 6) AS after_avg_units
+FROM h LEFT JOIN d ON d.date BETWEEN holiday_date - INTERVAL 3 DAY AND holiday_date + INTERVAL 3 DAY
+GROUP BY holiday_date, holiday_name"""))
+def p09_holiday_effects(spark, sf_dir):
+    """Demand 3 days before, on, and 3 days after each holiday.
+
+    The range join pairs the daily aggregate (one row per day) with the
+    holiday dimension (a handful of rows, broadcast), never fact rows.
+    """
+    daily = report(pos_prepared(spark, sf_dir), "date", [F.sum("quantity_sold").alias("units")])
+    hol = F.broadcast(spark.createDataFrame(HOLIDAYS, "d string, holiday_name string")
+                      .select(F.to_date("d").alias("holiday_date"), "holiday_name"))
+    h = c("holiday_date")
+    j = hol.join(daily, c("date").between(F.date_sub(h, 3), F.date_add(h, 3)), "left")
+    return j.groupBy("holiday_date", "holiday_name").agg(
+        S.rnd(F.avg(F.when(c("date") < h, c("units")))).alias("before_avg_units"),
+        F.max(F.when(c("date") == h, c("units"))).alias("during_units"),
+        S.rnd(F.avg(F.when(c("date") > h, c("units")))).alias("after_avg_units"))
