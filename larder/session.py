@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -40,14 +42,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
     The setting is read, never changed (it is static). The SparkContext
-    checkpoint folder already in force wins; only when neither exists (a
-    bare local test session) do we create a folder of our own.
+    checkpoint folder already in force wins; only when neither exists in a
+    local test session do we create a folder of our own. On a cluster a
+    missing setting is an error: a folder of one machine is not shared.
     """
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
-    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-ckpt-")
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="larder-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return jsc.getCheckpointDir().get()
 
@@ -55,3 +63,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that functions
+    of its modules can run there from whatever folder the driver was started in."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="larder-package-"), "larder.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
