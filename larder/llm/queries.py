@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import quality_rules, secret_scan, sharding, token_orc
-from larder.llm.common import documents, new_path
+from larder.llm import decontaminate, hmm_lm, merge_dropout, quality_rules, secret_scan, sharding, token_orc, toxicity
+from larder.llm.common import documents, fold, new_path
 from larder.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -30,6 +31,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return (docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), toxicity.toxicity_score(F.col("text"), net).alias("score"))
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+
+
 @query("op2_token_orc")
 def op2_token_orc(spark, sf_dir):
     path = new_path(spark, "tokens")
@@ -37,6 +46,11 @@ def op2_token_orc(spark, sf_dir):
     return token_orc.token_digest(spark, path)
 
 
+@query("op3_hmm_lm")
+def op3_hmm_lm(spark, sf_dir):
+    return hmm_lm.score_documents(documents(spark, sf_dir))
+
+
 @query("op4_secret_scan")
 def op4_secret_scan(spark, sf_dir):
     c = F.col
@@ -47,6 +61,11 @@ def op4_secret_scan(spark, sf_dir):
                     secret_scan.span_list(c("found")).alias("spans"), count("guess"))
 
 
+@query("op5_decontaminate")
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.benchmark_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op7_host_quality")
 def op7_host_quality(spark, sf_dir):
     return quality_rules.quality_verdicts(documents(spark, sf_dir)).select(
@@ -58,3 +77,8 @@ def op9_minimax_shards(spark, sf_dir):
     return (sharding.shard_documents(documents(spark, sf_dir), 24)
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
                     F.lit(None).cast("int").alias("grown_shard"), "group_first"))
+
+
+@query("op10_merge_dropout")
+def op10_merge_dropout(spark, sf_dir):
+    return merge_dropout.ids_digest(merge_dropout.dropout_ids(documents(spark, sf_dir), PIECES, key=1, dropout=0.1, draws=4))
