@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, hmm_lm, merge_dropout, quality_rules, secret_scan, sharding, token_orc, toxicity
+from larder.llm import decontaminate, hmm_lm, merge_dropout, ngram_join, quality_rules, secret_scan, sharding, token_orc, toxicity
 from larder.llm.common import documents, fold, new_path
 from larder.session import ship_package
 
@@ -66,6 +66,11 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.benchmark_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query("op6_ngram_join")
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
 @query("op7_host_quality")
 def op7_host_quality(spark, sf_dir):
     return quality_rules.quality_verdicts(documents(spark, sf_dir)).select(
