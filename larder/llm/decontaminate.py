@@ -133,15 +133,13 @@ class Matcher:
         return sorted(out)
 
 
-_MATCHERS: dict[tuple, Matcher] = {}
+_MATCHERS: list = []  # a Python worker serves many tasks; it holds one block at a time
 
 
 def _matcher(block, rate: float) -> Matcher:
-    key = (block.id, rate)
-    if key not in _MATCHERS:
-        _MATCHERS.clear()  # one block at a time
-        _MATCHERS[key] = Matcher(block.value, rate)
-    return _MATCHERS[key]
+    if not _MATCHERS or _MATCHERS[0] is not block.value or _MATCHERS[1] != rate:
+        _MATCHERS[:] = [block.value, rate, Matcher(block.value, rate)]
+    return _MATCHERS[2]
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list:

@@ -33,12 +33,13 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import saved
+from larder.llm.common import free_name, saved
 from larder.llm.components import components
 
 WORDS = 5
@@ -267,6 +268,42 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .select("row", "doc_id", "n", "print", F.when(c("n") > 0, c("component_id")).otherwise(c("doc_id")).alias("component_id")))
 
 
+def first_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that link, over any number of links, to one with a
+    smaller doc_id. One row of each component stays, and every row without shingles.
+
+    Of rows that share a doc_id and its component, the first found stays.
+    """
+    c = F.col
+    rows = saved(jaccard_components(docs).select("row", c("doc_id").alias("id"), "n", "print", "component_id"), "components")
+    first = (c("n") == 0) | c("id").eqNullSafe(c("component_id"))
+    again = rows.groupBy(c("id").alias("i2")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("i2")
+    gone = saved(rows.filter(~first).select("id").union(again).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    key = c("doc_id").cast("long")
+    out = docs.join(side, key.eqNullSafe(c("id")), "left_anti")
+    again = saved(again, "again")
+    if again.isEmpty():
+        return out
+    # Rows whose doc_id occurs more than once: told apart by the fingerprint of their set.
+    rows = rows.join(again, c("id").eqNullSafe(c("i2")), "left_semi").filter(first)
+    keep = (rows.filter("n > 0").groupBy("id").agg(F.min(F.struct("row", "print")).alias("r")).select("id", c("r.print").alias("print"))
+            .unionByName(rows.filter("n = 0").select("id", "print").distinct()))
+    mark, once = free_name(docs, "print_of_set"), free_name(docs, "row_of_set")
+
+    @F.pandas_udf("binary")
+    def prints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([fingerprint(shingle_set(t if isinstance(t, str) else None)) for t in s], dtype=object)
+
+    few = docs.join(again, key.eqNullSafe(c("i2")), "left_semi").withColumn(mark, prints.asNondeterministic()(c("text")))
+    few = few.join(keep.select(c("id").alias("k_id"), c("print").alias("k_print")), key.eqNullSafe(c("k_id")) & (c(mark) == c("k_print")), "left_semi")
+    empty = fingerprint(shingle_set(None))
+    few = few.withColumn(once, F.when(c(mark) == F.lit(empty), F.monotonically_increasing_id()))
+    few = few.dropDuplicates([once, mark, "doc_id"])
+    return out.unionByName(few.drop(mark, once))
+
+
 def _long_links(prober: _Prober, lists: DataFrame, links: DataFrame) -> DataFrame:
     """Links of nodes that meet in long lists, added to ``links``."""
     c = F.col

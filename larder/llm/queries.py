@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, hmm_lm, merge_dropout, ngram_join, quality_rules, secret_scan, sharding, token_orc, toxicity
+from larder.llm import decontaminate, hmm_lm, merge_dropout, ngram_join, quality_rules, quotation, secret_scan, sharding, token_orc, toxicity
 from larder.llm.common import documents, fold, new_path
 from larder.session import ship_package
 
@@ -77,6 +77,11 @@ def op7_host_quality(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
 
 
+@query("op8_quotation")
+def op8_quotation(spark, sf_dir):
+    return quotation.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query("op9_minimax_shards")
 def op9_minimax_shards(spark, sf_dir):
     return (sharding.shard_documents(documents(spark, sf_dir), 24)

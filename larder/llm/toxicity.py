@@ -337,17 +337,16 @@ class Scorer:
         return _sigmoid(best.astype(np.float64))
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: list[Scorer] = []  # a Python worker serves many tasks; it holds one network at a time
 
 
 def toxicity_score(text: Column, net) -> Column:
     """Score of each text by a broadcast ``Network``."""
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if net.id not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[net.id] = Scorer(net.value)
-        score = _SCORERS[net.id]
+        if not _SCORERS or _SCORERS[0].net is not net.value:
+            _SCORERS[:] = [Scorer(net.value)]
+        score = _SCORERS[0]
         for s in parts:
             texts = [t if isinstance(t, str) else "" for t in s]
             yield pd.Series(np.concatenate([score(texts[i:i + 256]) for i in range(0, len(texts), 256)]) if texts else np.zeros(0))
