@@ -175,12 +175,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, bl
 
 def has_benchmark_text(text: Column, benchmark: DataFrame, rate: float = 0.05, block_chars: int = BLOCK_CHARS) -> Column:
     """Whether the text holds an occurrence of any item."""
-    out = F.lit(False)
-    for block in item_blocks(benchmark, block_chars):
-        def run(parts: Iterator[pd.Series], block=block) -> Iterator[pd.Series]:
+    def search(block):
+        @F.pandas_udf("boolean")
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             match = _matcher(block, rate)
             for s in parts:
                 yield pd.Series([isinstance(t, str) and bool(match(t)) for t in s], dtype=bool)
-        run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        out = out | F.pandas_udf(run, "boolean").asNondeterministic()(text)
+        return run.asNondeterministic()
+
+    out = F.lit(False)
+    for block in item_blocks(benchmark, block_chars):
+        out = out | search(block)(text)
     return out

@@ -285,6 +285,6 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
                          "n_known": np.array([int((n[i] > 0).sum()) for i in ids], np.int64), "train_tokens": np.full(len(ids), total, np.int64),
                          "base_score": own - size * base, "score": ll + within})
 
-    back = words.join(counts.select(c("word").alias("w"), "c"), c("word") == c("w")).select("block", "idx", "c")
-    return (back.groupBy("block").cogroup(texts.groupBy("block"))
+    back = words.join(counts.select(c("word").alias("w"), "c"), c("word") == c("w")).select(c("block").alias("b"), "idx", "c")
+    return (back.groupBy("b").cogroup(texts.groupBy("block"))
             .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from larder.llm.common import fold
 
 WINDOW, STRIDE = 32, 16
-SAMPLE, WINDOWS, EPOCHS = 2000, 16, 10
+SAMPLE, WINDOWS = 2000, 16
+EPOCHS, STEPS = 10, 500  # at least so many epochs, and so many steps
 HIDDEN, WIDTH, BUCKETS = 8, 8, 1 << 15
 KEPT = 250_000  # words whose projections a worker remembers
 EDGES = ".,;:!?\"'()[]{}<>*_-"
@@ -227,6 +228,7 @@ def fit(samples: list[tuple[int, list[str]]], epochs: int = EPOCHS, seed: int =
     # Both labels weigh alike.
     ones = sum(y for y, _ in docs)
     heavy = {1: 0.5 * len(docs) / max(1, ones), 0: 0.5 * len(docs) / max(1, len(docs) - ones)}
+    epochs = max(epochs, min(100, -(-STEPS * 128 // (2 * len(docs)))))
     kept_back = {j for v in (0, 1) for j in [j for j, (y, _) in enumerate(docs) if y == v][::6]}  # not learnt from
     flat = [(j, w) for j, (_, ws) in enumerate(docs) for w in ws]
     flat.sort(key=lambda x: len(x[1]))
