@@ -18,6 +18,7 @@ their slot; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,52 +54,83 @@ def smallest_capacity(ends: list[int], low: int, high: int, shards: int) -> int:
     return low
 
 
-def _ranges(ends: list[int], low: int, high: int, shards: int) -> list[tuple[int, int]]:
-    """Stretches of running sums in which the cuts of any capacity in [low, high] lie.
+def _windows(known: list[int], loose: list[tuple[int, int]], low: int, high: int, shards: int) -> list[tuple[int, int]]:
+    """For each shard, bounds of its end under any capacity in [low, high].
 
-    A cut is the last end at or below the sum of the cut before and the capacity: the
-    smallest place follows from the smallest cut before, the largest from the largest.
+    ``loose``: stretches between two known ends in which more ends lie, not known yet. A
+    place outside them has an exact last end before it.
     """
-    out, a, b = [], 0, 0
+    starts, out, a, b = [s for s, _ in loose], [], 0, 0
+
+    def last(x: int, up: bool) -> int:
+        k = bisect_right(starts, x) - 1
+        if up and k >= 0 and loose[k][0] <= x < loose[k][1]:
+            return x
+        i = bisect_right(known, x)
+        return known[i - 1] if i else 0
+
     for _ in range(shards):
-        i = bisect_right(ends, a + low)
-        a, b = (ends[i - 1] if i else 0), min(b + high, ends[-1])
+        a, b = last(a + low, False), last(min(b + high, known[-1]), True)
         out.append((a, b))
-        if a >= ends[-1]:
+        if a >= known[-1]:
             break
     return out
 
 
-def _merge(r: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _hit(loose: list[tuple[int, int]], windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(s, e) for s, e in loose if any(a < e and s < b for a, b in windows)]
+
+
+def minimax_cuts(lookup: Callable[[list[tuple[int, int]], int], list[tuple[int, int, int]]], total: int, largest: int, shards: int) -> tuple[int, list[int]]:
+    """Capacity and ends of the shards.
+
+    ``lookup(ranges, width)`` gives (first end, last end, number of ends) of each stretch of
+    ``width`` that has ends inside the ``ranges`` (start excluded). Each round looks closer at
+    the stretches that cuts may fall into. A capacity that does when cutting at known ends
+    is at most the longest such stretch above the best, which narrows the bounds.
+    """
+    low, high = max(largest, -(-total // shards)), total
+    known, loose, todo = [0, total], [(0, total)], [(0, total)]
+    while todo:
+        width = max(1, sum(e - s for s, e in todo) // (16 * shards * (shards + 1)))
+        rows = lookup(todo, width)
+        known = sorted({*known, *(a for a, _, _ in rows), *(b for _, b, _ in rows)})
+        loose = _joined(sorted({*loose} - {*todo} | {(a, b) for a, b, n in rows if n > 2}), apart=0)
+        high = smallest_capacity(known, low, high, shards)
+        todo = _hit(loose, _windows(known, loose, low, high, shards))
+        if todo:
+            low = max(low, high - max(e - s for s, e in todo))
+            todo = _hit(loose, _windows(known, loose, low, high, shards))
+    high = smallest_capacity(known, low, high, shards)
+    return high, greedy_cuts(known, high, shards)
+
+
+def _joined(ranges: list[tuple[int, int]], apart: int = 1) -> list[tuple[int, int]]:
+    """Sorted ranges, joined where they overlap (or less than ``apart`` lies between them)."""
     out: list[list[int]] = []
-    for a, b in sorted(r):
-        if out and a <= out[-1][1]:
+    for a, b in ranges:
+        if out and a - out[-1][1] < apart:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
-def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
-    """Capacity and ends of the shards. ``groups`` has ``sum_end``: the running sum
-    after each group, in order."""
-    low, high = max(largest, -(-total // shards)), total
-    ranges, known = [(0, total)], [total]
-    stretches = 16 * shards * (shards + 1)  # enough for each round to read much less than the one before
-    while True:
+def _lookup(sums: DataFrame):
+    """Ends in ``sums.sum_end``. The ranges are widened over small gaps to at most 32, so
+    that the filter stays short; the Parquet reader skips row groups by it."""
+    end = F.col("sum_end")
+
+    def run(ranges: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
+        wide = _joined(sorted(ranges))
+        gaps = sorted(((b[0] - a[1], i) for i, (a, b) in enumerate(zip(wide, wide[1:]))), reverse=True)[:31]
+        at = [0, *(i + 1 for i in sorted(i for _, i in gaps)), len(wide)]
         inside = F.lit(False)
-        for a, b in ranges:
-            inside = inside | ((F.col("sum_end") > a) & (F.col("sum_end") <= b))
-        width = max(1, -(-sum(b - a for a, b in ranges) // stretches))
-        rows = (groups.filter(inside).groupBy(F.floor(F.col("sum_end") / width).alias("w"))
-                .agg(F.max("sum_end").alias("e"), F.min("sum_end").alias("s"), F.count(F.lit(1)).alias("n")).collect())
-        known = sorted({*known, *(r["e"] for r in rows), *(r["s"] for r in rows)})
-        # Cutting at known ends only: feasible for sure, and within ``width`` of the best.
-        high = min(high, smallest_capacity(known, low, high, shards))
-        if all(r["n"] <= 2 for r in rows):
-            return high, greedy_cuts(known, high, shards)
-        low = max(low, high - width)
-        ranges = _merge(_ranges(known, low, high, shards))
+        for i, j in zip(at, at[1:]):
+            inside = inside | ((end > wide[i][0]) & (end <= wide[j - 1][1]))
+        rows = sums.filter(inside).groupBy(F.floor(end / width).alias("w")).agg(F.min("sum_end").alias("a"), F.max("sum_end").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+        return [(r["a"], r["b"], r["n"]) for r in rows]
+    return run
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -125,7 +157,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     if not total:
         cuts = []
     else:
-        _, cuts = minimax_cuts(sums, int(total), int(largest), shards)
+        _, cuts = minimax_cuts(_lookup(sums), int(total), int(largest), shards)
     shard = F.lit(0)
     for e in cuts[:-1]:  # at most 23 comparisons
         shard = shard + (c("sum_end") > e).cast("int")
