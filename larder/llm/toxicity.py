@@ -9,7 +9,7 @@ start every ``STRIDE`` words, the last one ending with the text.
 
 The network is fitted on a bounded sample of labelled rows (``SAMPLE`` of each label, by
 the hash of their ids; ``WINDOWS`` windows of a document). As labels hold for documents,
-each epoch after the first two learns from the highest window of a sampled document.
+each epoch after the first fifth learns from the highest window of a sampled document.
 
 Defined results: a null or empty text is one window without words, scored by the bias
 alone; without labels of both kinds the score is the share of label 1 (0.5 without any
@@ -32,6 +32,7 @@ from larder.llm.common import fold
 WINDOW, STRIDE = 32, 16
 SAMPLE, WINDOWS = 2000, 16
 EPOCHS, STEPS = 10, 500  # at least so many epochs, and so many steps
+LEAST_DOCUMENTS = 4  # of the sample; embeddings used by fewer are not learnt
 HIDDEN, WIDTH, BUCKETS = 8, 8, 1 << 15
 KEPT = 250_000  # words whose projections a worker remembers
 EDGES = ".,;:!?\"'()[]{}<>*_-"
@@ -80,8 +81,6 @@ class Network:
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.p = {k: (rng.normal(0, 0.3, s) if k[0] in "WUAvo" else np.zeros(s)).astype(np.float32) for k, s in self.SHAPES.items()}
-        self.p["grams"] = rng.normal(0, 0.1, self.SHAPES["grams"]).astype(np.float32)
-        self.p["words"] = np.zeros(self.SHAPES["words"], np.float32)
 
     def embed(self, feats) -> np.ndarray:
         bucket, grams, size = feats
@@ -221,15 +220,30 @@ def fit(samples: list[tuple[int, list[str]]], epochs: int = EPOCHS, seed: int =
     if not docs:
         net.p["o"][:] = 0
         return net
+    epochs = max(epochs, min(100, -(-STEPS * 128 // (2 * len(docs)))))
+    weak = epochs // 5  # first, any window of a document learns its label
+    kept_back = {j for v in (0, 1) for j in [j for j, (y, _) in enumerate(docs) if y == v][::6]}  # not learnt from
     words = list(number)
     bucket, grams, size = word_features(words)
     at = np.cumsum(size) - size
+    # Buckets that few sampled documents use stay at zero: they would only tell single documents apart.
+    # The others start, in one dimension, from their log odds between the labels.
+    use = {k: np.zeros((2, BUCKETS), np.int32) for k in ("words", "grams")}
+    for j, (y, ws) in enumerate(docs):
+        if j not in kept_back:
+            own = np.unique(np.concatenate(ws))
+            n = size[own]
+            use["words"][y, np.unique(bucket[own])] += 1
+            use["grams"][y, np.unique(grams[np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
+    often = {k: (v.sum(0) >= LEAST_DOCUMENTS)[:, None] for k, v in use.items()}
+    of = [sum(y == v and j not in kept_back for j, (y, _) in enumerate(docs)) for v in (0, 1)]
+    for k, v in use.items():
+        odds = np.log((v[1] + 0.5) / (of[1] + 1)) - np.log((v[0] + 0.5) / (of[0] + 1))
+        net.p[k][:, 0] = np.where(often[k][:, 0], odds, 0)
     adam = Adam(net)
     # Both labels weigh alike.
     ones = sum(y for y, _ in docs)
     heavy = {1: 0.5 * len(docs) / max(1, ones), 0: 0.5 * len(docs) / max(1, len(docs) - ones)}
-    epochs = max(epochs, min(100, -(-STEPS * 128 // (2 * len(docs)))))
-    kept_back = {j for v in (0, 1) for j in [j for j, (y, _) in enumerate(docs) if y == v][::6]}  # not learnt from
     flat = [(j, w) for j, (_, ws) in enumerate(docs) for w in ws]
     flat.sort(key=lambda x: len(x[1]))
 
@@ -246,10 +260,10 @@ def fit(samples: list[tuple[int, list[str]]], epochs: int = EPOCHS, seed: int =
 
     for epoch in range(epochs):
         adam.rate = 0.01 if epoch < 2 * epochs // 3 else 0.003
-        chosen = [(docs[j][0], w) for j, (_, w) in highest().items() if j not in kept_back] if epoch >= 2 else []
+        chosen = [(docs[j][0], w) for j, (_, w) in highest().items() if j not in kept_back] if epoch >= weak else []
         for j, (y, ws) in enumerate(docs):  # beside the highest window, some of clean documents
-            if j not in kept_back and (epoch < 2 or y == 0):
-                chosen += [(y, ws[i]) for i in rng.permutation(len(ws))[:2 if epoch < 2 else 1]]
+            if j not in kept_back and (epoch < weak or y == 0):
+                chosen += [(y, ws[i]) for i in rng.permutation(len(ws))[:2 if epoch < weak else 1]]
         order = rng.permutation(len(chosen))
         for i in range(0, len(order), 128):
             part = [chosen[j] for j in order[i:i + 128]]
@@ -260,11 +274,16 @@ def fit(samples: list[tuple[int, list[str]]], epochs: int = EPOCHS, seed: int =
             y = np.array([y for y, _ in part], np.float32)
             w = np.array([heavy[y] for y, _ in part], np.float32) / len(part)
             _, g = net.gradients((bucket[used], grams[pick], n), idx.reshape(mask.shape), mask, y, w)
-            adam.step(g)
-    # The score passes 0.5 half-way between what nearly all documents of either label reach, of those kept back.
+            adam.step({k: v * often[k] if k in often else v for k, v in g.items()})
+    # The score passes 0.5 where the documents kept back are told apart best; a clean document lost weighs twice.
     best = highest()
-    z = {v: [best[j][0] for j in kept_back if docs[j][0] == v and j in best] or [0.0] for v in (0, 1)}
-    net.p["bias"][0] -= 0.5 * (np.quantile(z[0], 0.99) + np.quantile(z[1], 0.01))
+    z = [np.sort([best[j][0] for j in kept_back if docs[j][0] == v and j in best]) for v in (0, 1)]
+    if len(z[0]) and len(z[1]):
+        cut = np.unique(np.concatenate(z))
+        cut = np.concatenate([[cut[0] - 1], (cut[1:] + cut[:-1]) / 2, [cut[-1] + 1]])
+        lost = 2 * (1 - np.searchsorted(z[0], cut) / len(z[0])) + np.searchsorted(z[1], cut) / len(z[1])
+        least = cut[lost == lost.min()]
+        net.p["bias"][0] -= 0.5 * (least[0] + least[-1])
     return net
 
 
