@@ -5,7 +5,7 @@ behaviours is expressed with built-in Spark functions so every query agrees:
 
 * grouping drops NULL keys (``nonnull``)
 * ``sum`` of an all-NULL group is 0 (``sum0``)
-* money is summed exactly in integer cents (``money_sum``), so a total does not
+* money is summed unrounded and the total rounded to the cent (``money_sum``), so it does not
   depend on partitioning or summation order
 * standard deviation is the sample form (NULL for one row)
 * medians / quantiles are exact with linear interpolation (``percentile``)
@@ -38,14 +38,9 @@ def sum0(c) -> Column:
 
 
 def money_sum(c) -> Column:
-    """Exact sum in cents, returned as double: order- and partition-independent."""
-    cents = F.floor(col(c) * 100 + F.lit(0.5))
-    return (F.coalesce(F.sum(cents), F.lit(0)) / F.lit(100.0))
-
-
-def money_avg(c) -> Column:
-    cents = F.floor(col(c) * 100 + F.lit(0.5))
-    return F.avg(cents) / F.lit(100.0)
+    """Sum of the unrounded values, to the cent: rounding once, after the sum, absorbs
+    the order in which partitions are added."""
+    return F.round(F.coalesce(F.sum(col(c)), F.lit(0.0)), 2)
 
 
 def rnd(c, n: int = 6) -> Column:

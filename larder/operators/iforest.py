@@ -197,7 +197,8 @@ def score_rows(rows: DataFrame, features: list[str], nodes: pd.DataFrame, pass_c
     forest should score it (default: fold 0 only).
     """
     model = _pack(nodes)
-    cn = float(avg_path_length(np.array([max_samples]))[0])
+    # Normaliser of each fold: its trees may have seen fewer rows than max_samples.
+    cn = {f: max(float(avg_path_length(np.array([int(m["size"][:, 0].max())]))[0]), 1e-9) for f, m in model.items()}
     fx = [f"_f{i}" for i in range(len(features))]
     base = rows.select(*pass_cols,
                        *[m.alias(a) for m, a in zip(feature_matrix(features), fx)],
@@ -213,7 +214,7 @@ def score_rows(rows: DataFrame, features: list[str], nodes: pd.DataFrame, pass_c
             out = []
             for fold, g in pdf.groupby("fold", sort=False):
                 X = g[fx].to_numpy(dtype="float64")
-                s = np.power(2.0, -_path_lengths(X, model[int(fold)]) / cn)
+                s = np.power(2.0, -_path_lengths(X, model[int(fold)]) / cn[int(fold)])
                 o = g[pass_cols].copy()
                 o["fold"] = int(fold)
                 o["s"] = s
@@ -229,7 +230,8 @@ def isolation_forest(df: DataFrame, features: list[str], key_cols: list[str], pa
     """Fit on all rows, score all rows: adds ``if_score`` (s - cut) and ``if_anomaly``."""
     nodes = fit_forest(df, features, key_cols, None, n_trees, max_samples, seed)
     cols = list(dict.fromkeys(pass_cols + key_cols))
-    s = score_rows(df, features, nodes, cols, max_samples)
+    # The cut and the result both read the scores: written once, every row walks the trees once.
+    s = score_rows(df, features, nodes, cols, max_samples).checkpoint()
     cut = s.agg(F.percentile_approx("s", 1.0 - contamination, 10000).alias("_cut"))
     out = s.crossJoin(F.broadcast(cut)).withColumn("if_score", c("s") - c("_cut"))
     return out.withColumn("if_anomaly", c("if_score") > 0).drop("fold", "s", "_cut")
@@ -248,7 +250,7 @@ def cv_report(rows: DataFrame, features: list[str], key_cols: list[str], value:
     from larder.operators.anomaly import with_segments, zscore_folds
 
     seg_rows = with_segments(rows, ts, n_splits).where(c("segment").isNotNull())
-    zf = zscore_folds(rows, ts, value, n_splits, z_threshold)
+    zf = zscore_folds(rows, ts, value, n_splits, z_threshold).checkpoint()  # one row a fold, read three times
     folds_pdf = zf.select("fold", "n_train").toPandas()
     if folds_pdf.empty:
         return zf
@@ -256,7 +258,7 @@ def cv_report(rows: DataFrame, features: list[str], key_cols: list[str], value:
     nodes = fit_forest(seg_rows, features, key_cols, zf.select("fold", "n_train"), n_trees, max_samples, seed)
     # Row in segment s is training data for folds s..n and test data for fold s - 1.
     fold_of = F.filter(F.sequence(F.lit(1), F.lit(n_folds)), lambda f: f >= c("segment") - 1)
-    s = score_rows(seg_rows, features, nodes, ["segment"], max_samples, fold_of=fold_of)
+    s = score_rows(seg_rows, features, nodes, ["segment"], max_samples, fold_of=fold_of).checkpoint()
     cut = (s.where(c("segment") <= c("fold")).groupBy("fold")
             .agg(F.percentile_approx("s", 1.0 - contamination, 10000).alias("_cut")))
     test = s.where(c("segment") == c("fold") + 1).join(F.broadcast(cut), "fold")

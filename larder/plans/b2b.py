@@ -54,7 +54,7 @@ def _bsql(body):
     return osql("fx_b2b", B2B_SQL + body)
 
 
-_MONEY = "sum(floor(revenue * 100 + 0.5)) / 100.0"
+_MONEY = "round(sum(revenue), 2)"
 
 
 def _mode_sql(key, val="depot_id"):
@@ -123,6 +123,7 @@ def r29_b2b_by_date(spark, sf_dir):
 
 
 # Depot ids of the wholesale fixture: D1_Branch .. D10_Branch plus DIRECT (fill value).
+MAX_DEPOTS = 500
 DEPOTS = [f"D{i}_Branch" for i in range(1, 11)] + ["DIRECT"]
 
 
@@ -131,8 +132,12 @@ DEPOTS = [f"D{i}_Branch" for i in range(1, 11)] + ["DIRECT"]
     + " FROM b GROUP BY sku"))
 def r30_b2b_depot_sku_matrix(spark, sf_dir):
     from larder.operators.pivot import pivot_sum
-    # The depot list is the dimension of the fixture (suppkey % 11 rule + DIRECT).
-    return pivot_sum(b2b_prepared(spark, sf_dir), "sku", "depot_id", DEPOTS, Q)
+    b = b2b_prepared(spark, sf_dir)
+    # Depots beyond the known list widen the matrix; none is left out.
+    seen = [r[0] for r in fx_b2b(spark, sf_dir).select("depot_id").where(c("depot_id").isNotNull()).distinct().limit(MAX_DEPOTS + 1).collect()]
+    if len(seen) > MAX_DEPOTS:
+        raise ValueError(f"more than {MAX_DEPOTS} depots: too many for columns, use r25_b2b_by_depot")
+    return pivot_sum(b, "sku", "depot_id", DEPOTS + sorted(set(seen) - set(DEPOTS)), Q)
 
 
 @query("r31_b2b_route_store_network", _bsql("""

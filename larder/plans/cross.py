@@ -154,8 +154,8 @@ FROM fx_pos p LEFT JOIN fx_retailer_master m ON p.retailer_id = m.retailer_id GR
 def p08_sales_by_retailer_type(spark, sf_dir):
     from larder.sources.fixtures import fx_pos
     master = fx_retailer_master(spark, sf_dir).select("retailer_id", "retailer_type")
-    # The master is a fixed-size dimension (one row per retailer), broadcast to the facts.
-    j = fx_pos(spark, sf_dir).join(F.broadcast(master), "retailer_id", "left")
+    # One row per customer: the master grows with the data, so its measured size decides the join.
+    j = fx_pos(spark, sf_dir).join(master, "retailer_id", "left")
     j = j.withColumn("retailer_type", F.coalesce(c("retailer_type"), F.lit("UNMATCHED")))
     return report(j, "retailer_type", [F.count(F.lit(1)).alias("transactions"), F.sum("quantity_sold").alias("units"),
                                        S.nunique("retailer_id").alias("retailers")])

@@ -369,6 +369,8 @@ ROLL_COLS = [f"{k}_{s}_{n}D" for k in ("route_id", "plant_id") for n in (7, 30)
 
 def rolling_features(df: DataFrame, method: str = "auto") -> DataFrame:
     from larder.operators.rolling import rolling_time_stats_blocked
+    from larder.session import ship_package
+    ship_package(df.sparkSession)
     for key in ("route_id", "plant_id"):
         if method == "window":
             for w in ("7D", "30D"):

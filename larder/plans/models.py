@@ -10,7 +10,7 @@ from larder.operators.anomaly import global_zscore
 from larder.operators.iforest import cv_report, feature_columns, isolation_forest
 from larder.plans.dispatch import DELAY, _dsql, dispatch_features, dispatch_prepared
 from larder.plans.registry import query
-from larder.session import checkpoint_dir
+from larder.session import checkpoint_dir, ship_package
 
 c = F.col
 
@@ -26,6 +26,7 @@ def materialised_features(spark, sf_dir) -> DataFrame:
     files instead of recomputing the windows.
     """
     checkpoint_dir(spark)
+    ship_package(spark)
     return dispatch_features(spark, sf_dir).checkpoint(eager=True)
 
 

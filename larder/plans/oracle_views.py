@@ -142,8 +142,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
     "fx_retailer_master": """
 SELECT concat('STORE_', CAST(c_custkey AS VARCHAR)) AS retailer_id, c_name AS retailer_name,
        c_mktsegment AS retailer_type, r_name AS region
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE c_custkey < 150""",
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
 
 

@@ -49,7 +49,7 @@ def _pos_sql(body: str) -> str:
 SELECT region,
        sum(quantity_sold) AS quantity_sold_sum,
        round(avg(quantity_sold), 6) AS quantity_sold_mean,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum,
+       round(sum(revenue), 2) AS revenue_sum,
        round(avg(revenue), 6) AS revenue_mean,
        count(sale_id) AS sale_id_count,
        count(DISTINCT retailer_id) AS retailer_id_nunique,
@@ -72,7 +72,7 @@ def r13_pos_by_region(spark, sf_dir):
 SELECT sku,
        sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
        count(quantity_sold) AS quantity_sold_count,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
+       round(sum(revenue), 2) AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
        round(min(price), 6) AS price_min, round(avg(price), 6) AS price_mean, round(max(price), 6) AS price_max,
        CAST(sum(promotion_flag) AS BIGINT) AS promotion_flag_sum
 FROM pos WHERE sku IS NOT NULL GROUP BY sku"""))
@@ -94,7 +94,7 @@ def r12_pos_by_sku(spark, sf_dir):
 @query("r14_pos_by_retailer_top50", _pos_sql("""
 SELECT retailer_id,
        sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
+       round(sum(revenue), 2) AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
        count(sale_id) AS sale_id_count, CAST(sum(promotion_flag) AS BIGINT) AS promotion_flag_sum,
        arg_min(region, (sale_id, region)) FILTER (WHERE region IS NOT NULL) AS region_first
 FROM pos WHERE retailer_id IS NOT NULL GROUP BY retailer_id
@@ -113,7 +113,7 @@ def r14_pos_by_retailer_top50(spark, sf_dir):
 
 # --- R15 ---------------------------------------------------------------------------------------
 @query("r15_pos_by_date", _pos_sql("""
-SELECT date, sum(quantity_sold) AS total_units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS total_revenue,
+SELECT date, sum(quantity_sold) AS total_units, round(sum(revenue), 2) AS total_revenue,
        count(sale_id) AS transactions, CAST(sum(promotion_flag) AS BIGINT) AS promo_transactions
 FROM pos WHERE date IS NOT NULL GROUP BY date"""))
 def r15_pos_by_date(spark, sf_dir):
@@ -129,7 +129,7 @@ def r15_pos_by_date(spark, sf_dir):
 @query("r16_pos_by_hour", _pos_sql("""
 SELECT hour, sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
        count(quantity_sold) AS quantity_sold_count,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean
+       round(sum(revenue), 2) AS revenue_sum, round(avg(revenue), 6) AS revenue_mean
 FROM pos WHERE hour IS NOT NULL GROUP BY hour"""))
 def r16_pos_by_hour(spark, sf_dir):
     return report(pos_prepared(spark, sf_dir), "hour", [
@@ -145,7 +145,7 @@ def r16_pos_by_hour(spark, sf_dir):
 @query("r17_pos_by_promotion", _pos_sql("""
 SELECT promotion_name, sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
        count(quantity_sold) AS quantity_sold_count,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
+       round(sum(revenue), 2) AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
        round(avg(price), 6) AS price_mean, count(DISTINCT retailer_id) AS retailer_id_nunique
 FROM pos WHERE promotion_flag = 1 AND promotion_name IS NOT NULL GROUP BY promotion_name"""))
 def r17_pos_by_promotion(spark, sf_dir):
@@ -163,7 +163,7 @@ def r17_pos_by_promotion(spark, sf_dir):
 
 # --- R18 (A02 two keys) ------------------------------------------------------------------------
 @query("r18_pos_region_sku", _pos_sql("""
-SELECT region, sku, sum(quantity_sold) AS quantity_sold, sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue
+SELECT region, sku, sum(quantity_sold) AS quantity_sold, round(sum(revenue), 2) AS revenue
 FROM pos WHERE region IS NOT NULL AND sku IS NOT NULL GROUP BY region, sku"""))
 def r18_pos_region_sku(spark, sf_dir):
     return report(pos_prepared(spark, sf_dir), ["region", "sku"], [
@@ -175,7 +175,7 @@ def r18_pos_region_sku(spark, sf_dir):
 # --- R19: overview, promotion mix and uplift (A39, A13, A24) in one global aggregate ---------------
 @query("r19_pos_overview", _pos_sql("""
 SELECT count(*) AS transactions, min(timestamp) AS first_ts, max(timestamp) AS last_ts,
-       sum(quantity_sold) AS total_units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS total_revenue,
+       sum(quantity_sold) AS total_units, round(sum(revenue), 2) AS total_revenue,
        round(avg(quantity_sold), 6) AS avg_units, round(avg(price), 6) AS avg_price,
        count(DISTINCT retailer_id) AS retailers, count(DISTINCT region) AS regions, count(DISTINCT sku) AS skus,
        CAST(sum(promotion_flag) AS BIGINT) AS promo_transactions,
@@ -213,7 +213,7 @@ def r19_pos_overview(spark, sf_dir):
 
 # --- R20: SKU shares of the grand total (A20, A22) ----------------------------------------------
 @query("r20_pos_sku_shares", _pos_sql("""
-, s AS (SELECT sku, sum(quantity_sold) AS units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue,
+, s AS (SELECT sku, sum(quantity_sold) AS units, round(sum(revenue), 2) AS revenue,
                count(sale_id) AS transactions, round(avg(price), 6) AS avg_price
         FROM pos WHERE sku IS NOT NULL GROUP BY sku)
 SELECT sku, units, revenue, transactions, avg_price,
@@ -236,10 +236,10 @@ def r20_pos_sku_shares(spark, sf_dir):
 
 
 @query("r20_pos_region_ratios", _pos_sql("""
-SELECT region, sum(quantity_sold) AS units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue,
+SELECT region, sum(quantity_sold) AS units, round(sum(revenue), 2) AS revenue,
        count(sale_id) AS transactions, count(DISTINCT retailer_id) AS retailers,
        round(sum(quantity_sold) / count(sale_id), 6) AS units_per_transaction,
-       round((sum(floor(revenue * 100 + 0.5)) / 100.0) / count(sale_id), 6) AS revenue_per_transaction
+       round((round(sum(revenue), 2)) / count(sale_id), 6) AS revenue_per_transaction
 FROM pos WHERE region IS NOT NULL GROUP BY region"""))
 def r20_pos_region_ratios(spark, sf_dir):
     g = report(pos_prepared(spark, sf_dir), "region", [
@@ -290,7 +290,7 @@ def _weekday_dim(spark):
 @query("r22_pos_weekday", _pos_sql("""
 , dim AS (SELECT * FROM (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'),
                                  (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday')) t(day_no, day_name)),
-g AS (SELECT dayofweek, sum(quantity_sold) AS units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue,
+g AS (SELECT dayofweek, sum(quantity_sold) AS units, round(sum(revenue), 2) AS revenue,
              count(sale_id) AS transactions FROM pos WHERE dayofweek IS NOT NULL GROUP BY dayofweek)
 SELECT CAST(day_no AS INT) AS day_no, day_name, units, revenue, transactions
 FROM dim LEFT JOIN g ON g.dayofweek = dim.day_no"""))
@@ -307,7 +307,7 @@ def r22_pos_weekday(spark, sf_dir):
 @query("r22_pos_weekend_vs_weekday", _pos_sql("""
 SELECT CASE WHEN is_weekend = 1 THEN 'Weekend' ELSE 'Weekday' END AS period,
        sum(quantity_sold) AS quantity_sold_sum, round(avg(quantity_sold), 6) AS quantity_sold_mean,
-       sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue_sum, round(avg(revenue), 6) AS revenue_mean
+       round(sum(revenue), 2) AS revenue_sum, round(avg(revenue), 6) AS revenue_mean
 FROM pos WHERE is_weekend IS NOT NULL GROUP BY is_weekend"""))
 def r22_pos_weekend_vs_weekday(spark, sf_dir):
     g = report(pos_prepared(spark, sf_dir), "is_weekend", [
@@ -366,7 +366,7 @@ def r23_pos_price_qty_corr(spark, sf_dir):
 
 # --- R24: top 20 retailers and retailers below the 10th percentile of transactions (F11) ------------
 @query("r24_pos_top20_retailers", _pos_sql("""
-SELECT retailer_id, sum(quantity_sold) AS units, sum(floor(revenue * 100 + 0.5)) / 100.0 AS revenue,
+SELECT retailer_id, sum(quantity_sold) AS units, round(sum(revenue), 2) AS revenue,
        count(sale_id) AS transactions, round(sum(quantity_sold) / count(sale_id), 6) AS units_per_transaction
 FROM pos WHERE retailer_id IS NOT NULL GROUP BY retailer_id ORDER BY units DESC, retailer_id LIMIT 20"""))
 def r24_pos_top20_retailers(spark, sf_dir):

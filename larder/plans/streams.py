@@ -13,14 +13,22 @@ from larder.streaming import streams as ST
         FROM fx_sensors WHERE timestamp IS NOT NULL GROUP BY 1, 2, 3)
 SELECT * FROM g WHERE window_end <= (SELECT max(timestamp) FROM fx_sensors) - INTERVAL 1 HOUR"""))
 def st1_sensor_hourly_stream(spark, sf_dir):
-    """Append mode emits exactly the windows closed by the watermark (latest event - 1 h)."""
+    """Windows that end at least an hour before the newest event."""
     from pyspark.sql import functions as F
     return ST.sensor_hourly_stream(spark, sf_dir).withColumn("mean_value", F.round("mean_value", 6))
 
 
-@query("st2_delay_rolling_stream")
+@query("st2_delay_rolling_stream", osql("fx_dispatch", """
+, d AS (SELECT route_id, timestamp, (epoch_us(actual_arrival) - epoch_us(expected_arrival)) / 60000000.0 AS delay
+        FROM fx_dispatch WHERE timestamp IS NOT NULL AND route_id IS NOT NULL),
+w AS (SELECT route_id, delay, date_trunc('day', timestamp) - INTERVAL 1 DAY * k AS window_start
+      FROM d, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k) days)
+SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, route_id, round(avg(delay), 6) AS mean_delay, count(delay) AS trips
+FROM w GROUP BY window_start, route_id
+HAVING window_start + INTERVAL 7 DAY <= (SELECT max(timestamp) FROM d) - INTERVAL 1 DAY"""))
 def st2_delay_rolling_stream(spark, sf_dir):
-    return ST.delay_rolling_stream(spark, sf_dir)
+    from pyspark.sql import functions as F
+    return ST.delay_rolling_stream(spark, sf_dir).withColumn("mean_delay", F.round("mean_delay", 6))
 
 
 @query("st3_zscore_alert_stream", osql("fx_dispatch", """

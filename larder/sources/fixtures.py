@@ -250,7 +250,7 @@ def fx_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_retailer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cu = read_table(spark, sf_dir, "customer").where(c("c_custkey") < 150)
+    cu = read_table(spark, sf_dir, "customer")
     df = cu.join(_geo(spark, sf_dir), c("c_nationkey") == c("n_nationkey"))
     return df.select(
         F.concat(lit("STORE_"), _str(c("c_custkey"))).alias("retailer_id"),
