@@ -1,13 +1,15 @@
-"""Raw CSV -> typed Parquet cleaning job.
+"""Raw CSV -> typed Parquet cleaning job.
 
-Column-name rules run on metadata only. Content rules (duplicate columns,
-numeric coercion) need statistics, so the job is two passes over the data:
-one wide aggregate collects per-column statistics (a few numbers per
-column), then one projection writes the typed table.
+Column-name rules run on metadata only. Content rules (timestamps, duplicate columns,
+numeric coercion) need statistics, so the job is two passes over the data: one wide
+aggregate collects per-column statistics (a few numbers per column), then one projection
+writes the typed table. Rows that do not fit the header go to a quarantine, counted.
 """
 
 from __future__ import annotations
 
+import csv
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,49 +20,93 @@ c = F.col
 
 # Delimiters tried when sniffing, and timestamp layouts tried in order: fixed values.
 DELIMITERS = [",", ";", "\t", "|"]
-TIMESTAMP_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-                     "dd/MM/yyyy HH:mm", "dd/MM/yyyy"]
+TIMESTAMP_FORMATS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][XXX]",
+                     "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm[XXX]", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm",
+                     "dd/MM/yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy"]
 TIME_NAME = re.compile(r"time|timestamp|date|arrival")
-# Quantity-name variants mapped to canonical names: fixed values.
+# Canonical quantity names, by the parts that a column's name must hold besides "qty" or "quantity": fixed values.
 QTY_CANONICAL = {
-    "qty_dispatched": ["quantity_dispatched", "dispatched_qty", "qty_dispatch"],
-    "quantity_sold": ["qty_sold", "sold_qty", "sales_qty"],
-    "qty_returned": ["quantity_returned", "returned_qty", "return_qty"],
-    "qty_waste": ["waste_qty", "quantity_waste", "wasted_qty"],
+    "qty_dispatched": "dispatch",
+    "quantity_sold": "sold",
+    "qty_returned": "return",
+    "qty_waste": "waste",
 }
+QUARANTINE = "_corrupt_row"
 
 
 def standardize_name(name: str) -> str:
-    """Trim; newline, space, '-', '.' -> '_'; drop other symbols; lower."""
-    s = name.strip()
-    s = re.sub(r"[\n\r\s\-.]+", "_", s)
-    s = re.sub(r"[^0-9A-Za-z_]", "", s)
-    return s.lower()
+    """Trim; each newline, space, '-' and '.' -> '_'; other symbols go; letters of any script stay; lower case."""
+    s = re.sub(r"[\n\r\s\-.]", "_", name.strip())
+    return re.sub(r"[^\w]", "", s).lower()
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """The n-th repeat of a name gets suffix _n."""
-    seen: dict[str, int] = {}
-    out = []
+    """A repeated name gets the next free suffix _n."""
+    taken, counts, out = set(names), {}, []
+    used: set[str] = set()
     for n in names:
-        k = seen.get(n, 0)
-        out.append(n if k == 0 else f"{n}_{k}")
-        seen[n] = k + 1
+        new = n
+        while new in used or (new != n and new in taken):
+            counts[n] = counts.get(n, 0) + 1
+            new = f"{n}_{counts[n]}"
+        used.add(new)
+        out.append(new)
     return out
 
 
-def sniff_delimiter(spark: SparkSession, path: str, lines: int = 5) -> str:
-    """Pick the delimiter occurring most often in the first few lines (bounded read)."""
-    head = [r.value for r in spark.read.text(path).limit(lines).collect()]
-    counts = {d: sum(line.count(d) for line in head) for d in DELIMITERS}
+def sniff_delimiter(lines: list[str]) -> str:
+    """The delimiter that occurs most often in the first lines of a file."""
+    counts = {d: sum(line.count(d) for line in lines) for d in DELIMITERS}
     return max(DELIMITERS, key=lambda d: (counts[d], -DELIMITERS.index(d)))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Header row, sniffed delimiter, malformed rows dropped, all columns as strings."""
-    sep = sep or sniff_delimiter(spark, path)
-    return (spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED")
-            .option("pathGlobFilter", "*.csv").csv(path))
+def _header(line: str, sep: str) -> tuple[str, ...]:
+    """Names of a header line; unique without regard to case, as columns must be."""
+    names = [n or f"column_{i}" for i, n in enumerate(next(csv.reader([line.lstrip("\ufeff")], delimiter=sep)))]
+    return tuple(names if len({n.lower() for n in names}) == len(names) else unique_names([n.lower() for n in names]))
+
+
+def csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The CSV files of a folder (or the one file), by name. Metadata only."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(p).isDirectory():
+        return [path]
+    names = [f.getPath().toString() for f in fs.listStatus(p) if f.isFile()]
+    return sorted(n for n in names if n.lower().endswith(".csv"))
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, lines: int = 5) -> DataFrame:
+    """One file or a folder of files with the same header; the delimiter is sniffed for each file.
+
+    All columns are strings. A row with another number of fields than the header keeps its
+    text in ``_corrupt_row``, where ``split_malformed`` finds it; none is dropped here.
+    """
+    by: dict[tuple, list[str]] = {}
+    for f in csv_files(spark, path):
+        head = [r.value for r in spark.read.text(f).limit(lines).collect()]  # a few lines of a file
+        if head:
+            d = sep or sniff_delimiter(head)
+            by.setdefault((d, _header(head[0], d)), []).append(f)
+    out = None
+    for (d, names), files in by.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, QUARANTINE)])
+        df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", d).option("mode", "PERMISSIVE").option("columnPruning", False)
+              .option("columnNameOfCorruptRecord", QUARANTINE).csv(files))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no CSV file with a header in {path}")
+    return out
+
+
+def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the header, the texts of the others beside their first field: a reader
+    cannot be asked for the texts alone)."""
+    if QUARANTINE not in df.columns:
+        return df, df.select(F.lit(None).cast("string").alias(QUARANTINE)).limit(0)
+    # Always true, but it names another column, which the reader asks for even of a count.
+    first = F.length(F.concat_ws("", c(f"`{df.columns[0]}`"))) >= 0
+    return df.where(c(QUARANTINE).isNull() & first).drop(QUARANTINE), df.where(c(QUARANTINE).isNotNull()).select(QUARANTINE, df.columns[0])
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -68,28 +114,57 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def unify_qty_names(df: DataFrame) -> DataFrame:
-    """Rename the first variant found to its canonical name (only quantity columns)."""
-    ren = {}
-    cols = set(df.columns)
-    for canon, variants in QTY_CANONICAL.items():
+    """The first quantity column whose name holds a canonical name's part takes that name."""
+    ren, cols = {}, list(df.columns)
+    for canon, part in QTY_CANONICAL.items():
         if canon in cols:
             continue
-        for v in variants:
-            if v in cols:
+        for v in cols:
+            if ("qty" in v or "quantity" in v) and part in v and v not in ren and v not in QTY_CANONICAL:
                 ren[v] = canon
                 break
     return df.withColumnsRenamed(ren) if ren else df
 
 
-def parse_timestamps(df: DataFrame) -> DataFrame:
-    """Name-driven timestamp parsing; unparsable values -> NULL."""
-    out = {}
-    for f in df.schema.fields:
-        if TIME_NAME.search(f.name) and isinstance(f.dataType, T.StringType):
-            out[f.name] = F.coalesce(*[F.try_to_timestamp(c(f.name), F.lit(fmt)) for fmt in TIMESTAMP_FORMATS])
+def _timestamp(name: str):
+    return F.coalesce(*[F.try_to_timestamp(c(name), F.lit(fmt)) for fmt in TIMESTAMP_FORMATS])
+
+
+def _number(name: str):
+    return F.regexp_replace(c(name), ",", "").try_cast(T.DoubleType())
+
+
+def parse_timestamps(df: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """A string column whose name tells of a time becomes a timestamp if more than
+    ``threshold`` of its values parse as one and they are no numbers; else it stays."""
+    names = [f.name for f in df.schema.fields if TIME_NAME.search(f.name) and isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df
+    filled = lambda n: c(n).isNotNull() & (F.trim(c(n)) != "")
+    rates = df.agg(*[F.avg(F.when(filled(n), _timestamp(n).isNotNull().cast("double"))).alias(f"t{i}") for i, n in enumerate(names)],
+                   *[F.avg(F.when(filled(n), _number(n).isNotNull().cast("double"))).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    out = {n: _timestamp(n) for i, n in enumerate(names) if (rates[f"t{i}"] or 0) > threshold and (rates[f"n{i}"] or 0) <= threshold}
     return df.withColumns(out) if out else df
 
 
+def drop_suffixed_duplicates(df: DataFrame) -> DataFrame:
+    """A column ``x_n`` whose values equal those of ``x`` in every row is dropped."""
+    pairs = [(m[1], n) for n in df.columns if (m := re.fullmatch(r"(.+)_\d+", n)) and m[1] in df.columns]
+    if not pairs:
+        return df
+    same = df.agg(*[F.count_if(~c(a).cast("string").eqNullSafe(c(b).cast("string"))).alias(f"d{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return df.drop(*[b for i, (_, b) in enumerate(pairs) if same[f"d{i}"] == 0])
+
+
+def resolve_column(df: DataFrame, *candidates: str) -> str | None:
+    """The first column that has one of the names, else that holds one of them."""
+    names = {n.lower(): n for n in df.columns}
+    for k in candidates:
+        if k.lower() in names:
+            return names[k.lower()]
+    return next((n for k in candidates for low, n in names.items() if k.lower() in low), None)
+
+
 def column_statistics(df: DataFrame) -> dict:
     """One aggregate: per string column the share of rows that parse as a number
     (commas stripped, NULLs count against), and per column (count, hash sum)
@@ -97,8 +172,7 @@ def column_statistics(df: DataFrame) -> dict:
     aggs = [F.count(F.lit(1)).alias("__rows")]
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     for n in strings:
-        parsed = F.regexp_replace(c(n), ",", "").try_cast(T.DoubleType())
-        aggs.append(F.avg(parsed.isNotNull().cast("double")).alias(f"num__{n}"))
+        aggs.append(F.avg(_number(n).isNotNull().cast("double")).alias(f"num__{n}"))
     for n in df.columns:
         aggs.append(F.count(c(n)).alias(f"cnt__{n}"))
         aggs.append(F.sum(F.xxhash64(c(n).cast("string")) % F.lit(1 << 40)).alias(f"hash__{n}"))
@@ -126,23 +200,40 @@ def numeric_coerce(df: DataFrame, stats: dict, threshold: float = 0.9) -> DataFr
     for f in df.schema.fields:
         key = f"num__{f.name}"
         if key in stats and stats[key] is not None and stats[key] > threshold:
-            out[f.name] = F.regexp_replace(c(f.name), ",", "").try_cast(T.DoubleType())
+            out[f.name] = _number(f.name)
     return df.withColumns(out) if out else df
 
 
 def clean_table(df: DataFrame) -> DataFrame:
     """Names -> unique -> quantities -> timestamps -> duplicates -> numeric."""
-    df = parse_timestamps(unify_qty_names(clean_names(df)))
+    df = drop_suffixed_duplicates(parse_timestamps(unify_qty_names(clean_names(split_malformed(df)[0]))))
     stats = column_statistics(df)
     df = drop_duplicate_columns(df, stats)
     return numeric_coerce(df, stats)
 
 
-def clean_csv_to_parquet(spark: SparkSession, src: str, dst: str, partition_by: str | None = None) -> DataFrame:
-    """One raw CSV location -> cleaned Parquet (optionally partitioned)."""
-    df = clean_table(read_csv(spark, src))
+def clean_csv_to_parquet(spark: SparkSession, src: str, dst: str, partition_by: str | None = None,
+                         quarantine: str | None = None) -> DataFrame:
+    """One raw CSV location -> cleaned Parquet (optionally partitioned); malformed rows to ``quarantine``."""
+    good, bad = split_malformed(read_csv(spark, src))
+    bad.write.mode("overwrite").parquet(quarantine or dst.rstrip("/") + "_quarantine")
+    df = clean_table(good)
     w = df.write.mode("overwrite")
     if partition_by and partition_by in df.columns:
         w = w.partitionBy(partition_by)
     w.parquet(dst)
     return spark.read.parquet(dst)
+
+
+def clean_folder(spark: SparkSession, src: str, dst: str) -> list[tuple[str, str]]:
+    """Each CSV file of a folder into its own Parquet table; (file, "ok" or the error) of each.
+    A file that fails does not stop the others."""
+    out = []
+    for f in csv_files(spark, src):
+        name = standardize_name(os.path.splitext(os.path.basename(f))[0])
+        try:
+            clean_csv_to_parquet(spark, f, os.path.join(dst, name))
+            out.append((f, "ok"))
+        except Exception as e:  # reported to the caller, file by file
+            out.append((f, f"{type(e).__name__}: {e}"[:300]))
+    return out
