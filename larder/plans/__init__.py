@@ -1,4 +1,4 @@
 """Query plans, one module per dataset. Importing this package registers them all."""
 
-from larder.plans import b2b, cross, dispatch, inventory, models, pos, production, qc, routes, sensors, streams, waste_returns  # noqa: F401
+from larder.plans import b2b, cross, dispatch, explore, inventory, models, pos, production, qc, routes, sensors, streams, waste_returns  # noqa: F401
 from larder.plans.registry import ORACLE, QUERIES  # noqa: F401
