@@ -35,6 +35,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 200_000  # of a few numbers each: at most some MB
+
+
+def sided(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table``, a written one of narrow rows, marked for broadcast if it has at most
+    ``rows`` rows (counted from the files' metadata); else as it is, for a shuffle join."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have yet (names compare without case)."""
     taken = {c.lower() for c in df.columns}

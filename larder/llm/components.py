@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import saved
+from larder.llm.common import saved, sided
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(c("b").alias("a"), c("a").alias("b")))
         low = both.groupBy(c("a").alias("u")).agg(F.min("b").alias("v")).select("u", F.least("u", "v").alias("v"))
-        low = saved(low, "lowest")
+        low = sided(saved(low, "lowest"))
         labels = saved(labels.join(low, c("label") == c("u"), "left").select("node", F.coalesce("v", "label").alias("label")), "labels")
         x = low.select(c("u").alias("u2"), c("v").alias("v2"))
         edges = saved(edges.join(low, c("a") == c("u")).join(x, c("b") == c("u2")).select(c("v").alias("a"), c("v2").alias("b"))

@@ -13,11 +13,13 @@ exact.
    a node heap-merges its short lists (up to ``LONG`` nodes) and keeps the nodes that occur
    T times, less the number of its long lists, which are not merged; candidates are then
    probed: the shingles of one are looked up in the sorted set of the other by binary search.
-4. Nodes that may meet in long lists alone: each long list's smallest node, later a growing
-   number of them by hash, is probed by the rest of the list, rounds after rounds, until a
-   list holds one component; nodes of one component need no further probes. No list is cut,
-   and what is emitted for a list grows with its length, not with its square, unless its
-   nodes really stay unlinked.
+4. Nodes that may meet in long lists alone: each long list's node with the most shared
+   prefix shingles is probed by the rest of the list, then eight more of them, which joins
+   most copies of one text. What is left of the lists that still hold several components is
+   searched by blocks: the lists' nodes are dealt to blocks of about ``BLOCK``, and each
+   pair of blocks counts the shared prefix shingles of their nodes in one task, by
+   DivideSkip again, and emits only nodes of different components that reach T.
+   No list is cut.
 
 Sets are never moved for documents that share no prefix shingle.
 
@@ -39,32 +41,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import free_name, saved
+from larder.llm.common import free_name, saved, sided
 from larder.llm.components import components
 
 WORDS = 5
 PERCENT = 80
+BLOCK = 1024        # nodes of a block of the last search
+MERGE_COST = 0.1    # weighs merging against probing when lists are set aside
 LONG = 64           # nodes of an inverted list up to which it is merged
 SKETCH_BITS = 22    # the sketch has 4 million counters, at most 16 MB
 SLICES = 64
-BROADCAST_IDS = 200_000  # ids of nodes to probe that are broadcast; beyond, a shuffle join
 
 _K, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_WORDS: dict[bytes, int] = {}
+
+
+class _Words(dict):
+    """Hashes of the words that a Python worker has met."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_hash_of = _Words().__getitem__
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    got = list(map(_WORDS.get, words))
-    if None in got:
-        if len(_WORDS) > 1_000_000:
-            _WORDS.clear()
-        for i, h in enumerate(got):
-            if h is None:
-                w = words[i]
-                h = got[i] = xxhash.xxh3_64_intdigest(w)
-                if len(w) <= 64:
-                    _WORDS[w] = h
-    return np.array(got, np.uint64)
+    return np.fromiter(map(_hash_of, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -192,6 +199,49 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(found)
 
 
+def t_occurrence(lists: list[np.ndarray], needed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of sorted lists that may occur ``needed`` times, and how often they do.
+
+    DivideSkip: the longest lists are set aside, the others merged; an element that occurs
+    ``needed`` times less their number is looked up in each long list by binary search.
+    """
+    if len(lists) < needed:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lists = sorted(lists, key=len)
+    aside = min(needed - 1, int(needed / (MERGE_COST * np.log2(max(len(lists[-1]), 2)) + 1)))
+    short, long = lists[:len(lists) - aside], lists[len(lists) - aside:]
+    found, times = np.unique(np.concatenate(short), return_counts=True)
+    may = times >= needed - aside
+    found, times = found[may], times[may]
+    for x in long:
+        at = np.minimum(np.searchsorted(x, found), len(x) - 1)
+        times = times + (x[at] == found)
+    return found[times >= needed], times[times >= needed]
+
+
+def _block_pairs(group: pa.Table) -> pa.Table:
+    """Nodes of two blocks (or of one): pairs of different components that share T prefix shingles."""
+    node, n, label, block = (group.column(k).to_numpy() for k in ("node", "n", "label", "block"))
+    keys = [np.asarray(x, np.int64) for x in group.column("keys").to_pylist()]
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    lists: dict[int, list[int]] = {}
+    for x in np.flatnonzero(block == j).tolist():
+        for k in keys[x].tolist():
+            lists.setdefault(k, []).append(x)
+    inverted = {k: np.array(v, np.int64) for k, v in lists.items()}
+    a, b = [], []
+    for q in np.flatnonzero(block == i).tolist():
+        own = [inverted[k] for k in keys[q].tolist() if k in inverted]
+        least = min((prefix_needed(int(n[q]), m) for m in range(-(-PERCENT * int(n[q]) // 100), int(n[q]) * 100 // PERCENT + 1)), default=1)
+        found, times = t_occurrence(own, least) if own else (np.zeros(0, np.int64), [])
+        for x, s in zip(found.tolist(), times):
+            lo, hi = sorted((int(n[q]), int(n[x])))
+            if label[q] != label[x] and node[q] != node[x] and 100 * lo >= PERCENT * hi and s >= prefix_needed(lo, hi):
+                a.append(max(node[q], node[x]))
+                b.append(min(node[q], node[x]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
@@ -228,8 +278,7 @@ class _Prober:
         pairs = saved(pairs, "pairs")
         ids = pairs.select(c("a").alias("node")).union(pairs.select(c("b").alias("node"))).distinct()
         need = saved(self.nodes.join(ids, "node", "left_semi").select("node", c("first_id").alias("id"), "print"), "to-probe")
-        side = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-        sets = self.docs.join(side, c("doc_id").eqNullSafe(c("id"))).select("node", "print", "text").mapInArrow(_sets, "node long, set binary")
+        sets = self.docs.join(sided(need), c("doc_id").eqNullSafe(c("id"))).select("node", "print", "text").mapInArrow(_sets, "node long, set binary")
         sets = saved(sets.dropDuplicates(["node"]), "sets")
         x = pairs.join(sets.select(c("node").alias("x"), c("set").alias("sx")), c("a") == c("x"))
         x = x.join(sets.select(c("node").alias("y"), c("set").alias("sy")), c("b") == c("y"))
@@ -258,8 +307,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
              .repartition("node").sortWithinPartitions("node").mapInArrow(_search, "a long, b long"))
     prober = _Prober(docs, nodes)
     links = prober.links(pairs)
-    links = _long_links(prober, longs.select("key", "node", "n"), links)
-    labels = components(links)
+    links = _long_links(prober, shared, links)
+    labels = sided(components(links))
     # A component's id is the smallest doc_id of all its rows.
     named = nodes.join(labels.withColumnRenamed("node", "u"), c("node") == c("u"), "left").select("print", "first_id", F.coalesce("label", "node").alias("label"))
     first = named.groupBy(c("label").alias("l")).agg(F.min("first_id").alias("component_id"))
@@ -279,9 +328,8 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
     first = (c("n") == 0) | c("id").eqNullSafe(c("component_id"))
     again = rows.groupBy(c("id").alias("i2")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("i2")
     gone = saved(rows.filter(~first).select("id").union(again).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     key = c("doc_id").cast("long")
-    out = docs.join(side, key.eqNullSafe(c("id")), "left_anti")
+    out = docs.join(sided(gone), key.eqNullSafe(c("id")), "left_anti")
     again = saved(again, "again")
     if again.isEmpty():
         return out
@@ -304,31 +352,61 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
     return out.unionByName(few.drop(mark, once))
 
 
-def _long_links(prober: _Prober, lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Links of nodes that meet in long lists, added to ``links``."""
+def _sql_prefix_needed(n: str, m: str):
+    """``prefix_needed`` of two columns."""
+    behind = lambda x: f"((({PERCENT} * {x} + 99) div 100) - 1)"
+    return F.expr(f"greatest(1, (({PERCENT} * ({n} + {m}) + {99 + PERCENT}) div {100 + PERCENT}) - greatest({behind(n)}, {behind(m)}))")
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """The lists that hold more than one component."""
+    c = F.col
+    keys = lists.groupBy(c("key").alias("k")).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("k")
+    return saved(lists.join(sided(saved(keys, "open")), c("key") == c("k"), "left_semi"), "long-lists")
+
+
+def _joined(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """``lists`` with the components joined by the links ``found``."""
+    c = F.col
+    names = lists.select(c("node").alias("x"), c("label").alias("lx")).distinct()
+    ends = found.join(names, c("a") == c("x")).join(names.select(c("x").alias("y"), c("lx").alias("ly")), c("b") == c("y"))
+    labels = sided(components(ends.select(c("lx").alias("a"), c("ly").alias("b")))).select(c("node").alias("u"), c("label").alias("v"))
+    return lists.join(labels, c("label") == c("u"), "left").select("key", "node", "n", "t", F.coalesce("v", "label").alias("label"))
+
+
+def _long_links(prober: _Prober, shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of nodes that meet in long lists, added to ``links``. ``shared``: all shared prefix shingles."""
     c = F.col
-    centres = 1
-    lists = saved(lists, "long-lists")
-    while not lists.isEmpty():
-        labels = components(links).withColumnRenamed("node", "u")
-        lists = lists.join(labels, c("node") == c("u"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        lists = saved(lists, "long-lists")
-        # A list within one component needs no more probes.
-        open_keys = lists.groupBy(c("key").alias("k")).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("k")
-        lists = saved(lists.join(open_keys, c("key") == c("k"), "left_semi"), "long-lists")
+    lists = shared.filter(c("m") > LONG)
+    if lists.isEmpty():
+        return links
+    own = shared.groupBy(c("node").alias("q")).agg(F.count(F.lit(1)).alias("t"))
+    labels = sided(components(links)).withColumnRenamed("node", "u")
+    lists = (lists.select("key", "node", "n").join(own, c("node") == c("q")).join(labels, c("node") == c("u"), "left")
+             .select("key", "node", "n", "t", F.coalesce("label", "node").alias("label")))
+    lists = _open(saved(lists, "long-lists"))
+    for slots in (1, 8):
         if lists.isEmpty():
-            break
-        heads = (lists.groupBy(c("key").alias("k"), F.pmod(F.xxhash64("node"), F.lit(centres)).alias("slot"))
-                 .agg(F.min("node").alias("centre")).select("k", "centre"))
-        own = lists.select(c("key").alias("k2"), c("node").alias("c2"), c("n").alias("cn"), c("label").alias("cl"))
-        # The centre's size and component, from its own row of the list.
-        heads = saved(heads.join(own, (c("k") == c("k2")) & (c("centre") == c("c2"))).select("k", "centre", "cn", "cl"), "centres")
-        at = lists.join(heads, c("key") == c("k")).filter(
-            (c("node") != c("centre")) & (c("label") != c("cl")) & (100 * F.least("n", "cn") >= PERCENT * F.greatest("n", "cn")))
+            return links
+        heads = (lists.groupBy(c("key").alias("k"), F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot"))
+                 .agg(F.min(F.struct((-c("t")).alias("t"), "node", "n", "label")).alias("h")))
+        heads = sided(saved(heads.select("k", c("h.node").alias("centre"), c("h.n").alias("cn"), (-c("h.t")).alias("ct"), c("h.label").alias("cl")), "centres"))
+        at = lists.join(heads, (c("key") == c("k")) & (c("node") != c("centre")) & (c("label") != c("cl"))
+                        & (100 * F.least("n", "cn") >= PERCENT * F.greatest("n", "cn")) & (F.least("t", "ct") >= _sql_prefix_needed("n", "cn")))
         found = prober.links(at.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
         links = saved(links.union(found), "linked")
-        # All pairs of a centre are decided; it leaves the list.
-        lists = lists.drop("label").join(heads.select(c("k").alias("k3"), c("centre").alias("c3")), (c("key") == c("k3")) & (c("node") == c("c3")), "left_anti")
-        lists = saved(lists, "long-lists")
-        centres *= 8
-    return links
+        lists = _open(_joined(lists, found))
+    if lists.isEmpty():
+        return links
+    # What is left, by blocks of the nodes that hang together by lists.
+    first = lists.groupBy(c("key").alias("k")).agg(F.min("node").alias("first"))
+    ties = lists.join(first, c("key") == c("k")).select(c("node").alias("a"), c("first").alias("b"))
+    family = components(ties).select(c("node").alias("x"), c("label").alias("family"))
+    nodes = lists.select("node", "n", "label").distinct().join(family, c("node") == c("x")).drop("x")
+    size = nodes.groupBy(c("family").alias("f")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    nodes = nodes.join(size, c("family") == c("f")).drop("f").withColumn("block", F.pmod(F.xxhash64("node"), c("blocks")).cast("int"))
+    keys = shared.join(nodes.select(c("node").alias("y")), c("node") == c("y"), "left_semi").groupBy(c("node").alias("y")).agg(F.collect_list("key").alias("keys"))  # a prefix at most
+    nodes = nodes.join(keys, c("node") == c("y")).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    nodes = nodes.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "label", "keys")
+    found = nodes.groupBy("family", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
+    return saved(links.union(prober.links(found)), "linked")

@@ -1,5 +1,7 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from larder.llm import ngram_join as N
 
@@ -52,8 +54,9 @@ def rows_of(spark, rows):
 
 
 def test_components_match_brute_force(spark, monkeypatch):
-    for seed, longest in ((1, 64), (2, 4), (3, 1)):  # short lists alone, both kinds, long lists alone
+    for seed, longest, block in ((1, 64, 1024), (2, 4, 8), (3, 1, 16)):  # short lists alone, both kinds, long lists alone
         monkeypatch.setattr(N, "LONG", longest)
+        monkeypatch.setattr(N, "BLOCK", block)
         rows = make(seed)
         want, _ = brute(rows)
         got = N.jaccard_components(rows_of(spark, rows)).collect()
@@ -72,6 +75,16 @@ def test_prefix_bound_is_safe():
             assert len(common) >= N.prefix_needed(len(a), len(b))
 
 
+def test_divide_skip_counts():
+    rng = random.Random(4)
+    for _ in range(300):
+        lists = [np.array(sorted(rng.sample(range(40), rng.randrange(1, 40))), np.int64) for _ in range(rng.randrange(1, 9))]
+        need = rng.randrange(1, 10)
+        count = Counter(x for v in lists for x in v.tolist())
+        found, times = N.t_occurrence(lists, need)
+        assert dict(zip(found.tolist(), times.tolist())) == {x: k for x, k in count.items() if k >= need}
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = [(7, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (9, "lone text of its own"), (1, None), (2, ""), (2, ""),
             (4, "other words that are here now"), (4, "different row with the same id"), (None, "null id text"), (None, "null id text")]
