@@ -31,7 +31,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     lineage, and what a lost executor held is read again from the files."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

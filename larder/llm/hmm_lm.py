@@ -255,7 +255,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     spark, c = docs.sparkSession, F.col
     rows = saved(docs.select(c("doc_id").cast("long").alias("doc_id"), (fold(c("doc_id")) == 1).alias("held_out"), c("text"))
                  .mapInArrow(_tokenise, TOKENS), "hmm-tokens")
-    texts = rows.filter("kind = 0").select("block", "doc_id", "held_out", "ids", "classes")
+    texts = rows.filter("kind = 0").select("block", "doc_id", "held_out", "ids")
     words = rows.filter("kind = 1").select("block", "idx", "word", "n", "cls")
     counts = saved(words.groupBy("word").agg(F.sum("n").alias("c"), F.first("cls").alias("cls")), "hmm-counts")
     # One row a class: its tokens and its distinct words in training.
@@ -265,7 +265,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
         tokens[r["cls"]], kinds[r["cls"]] = r["tokens"], r["words"]
     total, distinct = int(tokens.sum()), int(kinds.sum())
     share = (tokens + 0.5) / (total + 0.5 * CLASSES)
-    tables = train(texts.filter(~c("held_out")), share, states, rounds)
+    tables = train(rows.filter("kind = 0 and not held_out"), share, states, rounds)
     model = spark.sparkContext.broadcast((tables, np.log10(tokens + 0.5 * (kinds + 1))))
     base = float(np.log10(total + 0.5 * (distinct + 1)))
 
@@ -274,9 +274,11 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
         idx = known.column("idx").to_numpy()
         n = np.zeros(len(idx), np.int64)
         n[idx] = known.column("c").to_numpy()
+        cls = np.zeros(len(idx), np.uint16)
+        cls[idx] = known.column("cls").to_numpy()
         logs = np.log10(n + 0.5)
         ids = [np.frombuffer(x.as_py(), np.int32) for x in docs.column("ids")]
-        classes = [np.frombuffer(x.as_py(), np.uint16) for x in docs.column("classes")]
+        classes = [cls[i] for i in ids]
         ll = log_likelihood(t, classes)
         own = np.array([logs[i].sum() for i in ids])
         size = np.array([len(i) for i in ids], np.int64)
@@ -285,6 +287,6 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
                          "n_known": np.array([int((n[i] > 0).sum()) for i in ids], np.int64), "train_tokens": np.full(len(ids), total, np.int64),
                          "base_score": own - size * base, "score": ll + within})
 
-    back = words.join(counts.select(c("word").alias("w"), "c"), c("word") == c("w")).select(c("block").alias("b"), "idx", "c")
+    back = words.join(counts.select(c("word").alias("w"), "c"), c("word") == c("w")).select(c("block").alias("b"), "idx", "c", "cls")
     return (back.groupBy("b").cogroup(texts.groupBy("block"))
             .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
