@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, hmm_lm, merge_dropout, ngram_join, quality_rules, quotation, secret_scan, sharding, token_orc, toxicity
+from larder.llm import decontaminate, hmm_lm, merge_dropout, ngram_join, quality_rules, quotation, secret_scan, sharding, sql, token_orc, toxicity
 from larder.llm.common import documents, fold, new_path
 from larder.session import ship_package
 
@@ -19,14 +19,14 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, twin: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
             return fn(spark, sf_dir)
         QUERIES[name] = run
-        if sql is not None:
-            ORACLE[name] = sql
+        if twin is not None:
+            ORACLE[name] = twin
         return fn
     return add
 
@@ -66,18 +66,18 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.benchmark_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@query("op6_ngram_join")
+@query("op6_ngram_join", sql.NGRAM_JOIN)
 def op6_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-@query("op7_host_quality")
+@query("op7_host_quality", sql.HOST_QUALITY)
 def op7_host_quality(spark, sf_dir):
     return quality_rules.quality_verdicts(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
 
 
-@query("op8_quotation")
+@query("op8_quotation", sql.QUOTATION)
 def op8_quotation(spark, sf_dir):
     return quotation.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
