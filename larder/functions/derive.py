@@ -53,7 +53,7 @@ def capacity_category(kg) -> Column:
 
 
 # Capacity classes and trip-start classes: fixed values.
-CAPACITY_LABELS = ["Small (<4000kg)", "Medium (4000-5500kg)", "Large (>5500kg)"]
+CAPACITY_LABELS = ["Small", "Medium", "Large"]
 START_WINDOW_CLASSES = {"03:00-05:00": "Early", "04:00-06:00": "Mid", "05:00-07:00": "Late"}
 ROUTE_TYPES = ["Urban", "Suburban", "Rural"]
 

@@ -33,8 +33,8 @@ def inventory_prepared(spark, sf_dir) -> DataFrame:
         "net_movement": net,
         "days_to_expiry": days,
         "expired_flag": days < 0,
-        "expiry_risk": (F.when(days < 0, "Expired").when(days <= 2, "Critical (0-2 days)")
-                         .when(days <= 5, "Warning (3-5 days)").otherwise("Safe")),
+        "expiry_risk": (F.when(days < 0, "Expired").when(days <= 2, "Critical")
+                         .when(days <= 5, "Warning").otherwise("Safe")),
         "negative_balance_flag": c("balance_after") < 0,
         "large_adjustment_flag": (c("movement_type") == "stock_adjustment") & (F.abs(net) > 100),
     })
@@ -53,8 +53,8 @@ INV_SQL = """WITH inv AS (
   FROM fx_inventory WHERE timestamp IS NOT NULL),
 inv2 AS (
   SELECT *, days_to_expiry < 0 AS expired_flag,
-         CASE WHEN days_to_expiry < 0 THEN 'Expired' WHEN days_to_expiry <= 2 THEN 'Critical (0-2 days)'
-              WHEN days_to_expiry <= 5 THEN 'Warning (3-5 days)' ELSE 'Safe' END AS expiry_risk
+         CASE WHEN days_to_expiry < 0 THEN 'Expired' WHEN days_to_expiry <= 2 THEN 'Critical'
+              WHEN days_to_expiry <= 5 THEN 'Warning' ELSE 'Safe' END AS expiry_risk
   FROM inv)
 """
 

@@ -209,9 +209,9 @@ def a35_unique_stop_stores(spark, sf_dir):
 
 
 @query("c31_routes_capacity_mix", _rsql("""
-, g AS (SELECT CASE WHEN load_capacity_kg > 0 AND load_capacity_kg <= 4000 THEN 'Small (<4000kg)'
-                    WHEN load_capacity_kg > 4000 AND load_capacity_kg <= 5500 THEN 'Medium (4000-5500kg)'
-                    WHEN load_capacity_kg > 5500 AND load_capacity_kg <= 10000 THEN 'Large (>5500kg)' END AS capacity_category,
+, g AS (SELECT CASE WHEN load_capacity_kg > 0 AND load_capacity_kg <= 4000 THEN 'Small'
+                    WHEN load_capacity_kg > 4000 AND load_capacity_kg <= 5500 THEN 'Medium'
+                    WHEN load_capacity_kg > 5500 AND load_capacity_kg <= 10000 THEN 'Large' END AS capacity_category,
                CASE trip_start_window WHEN '03:00-05:00' THEN 'Early' WHEN '04:00-06:00' THEN 'Mid'
                     WHEN '05:00-07:00' THEN 'Late' END AS start_time_category, risk_score
         FROM rt)
