@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HOLDER: list = []
+
+
+def hold_alone(name: str, forget: Callable[[], None]) -> None:
+    """Called at the start of a task of an operator that remembers things between tasks:
+    what another operator left in this Python worker is forgotten."""
+    if _HOLDER and _HOLDER[0] != name:
+        _HOLDER[1]()
+    _HOLDER[:] = [name, forget]
+
+
 BROADCAST_ROWS = 200_000  # of a few numbers each: at most some MB
 
 

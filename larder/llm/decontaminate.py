@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import hold_alone
+
 MIN_CHARS = 20
 BLOCK_CHARS = 4_000_000
 ROWS = "doc_id long, item_id long, distance int, start int, end int"
@@ -137,6 +139,7 @@ _MATCHERS: list = []  # a Python worker serves many tasks; it holds one block at
 
 
 def _matcher(block, rate: float) -> Matcher:
+    hold_alone("decontaminate", _MATCHERS.clear)
     if not _MATCHERS or _MATCHERS[0] is not block.value or _MATCHERS[1] != rate:
         _MATCHERS[:] = [block.value, rate, Matcher(block.value, rate)]
     return _MATCHERS[2]

@@ -29,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import hold_alone
+
 MARK = "▁"
-KEPT = 800_000  # segmentations that a worker remembers
+KEPT = 600_000  # segmentations that a worker remembers
 ROWS = "doc_id long, ids array<int>, decoded boolean"
 
 _M1, _M2, _ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
@@ -330,6 +332,7 @@ _ENCODERS: dict[tuple, Dropout] = {}
 def dropout_ids(docs: DataFrame, path: str, key: int = 1, dropout: float = 0.1, draws: int = 4) -> DataFrame:
     """doc_id, ids, and whether decoding the ids gives back the text, of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_alone("dropout", _ENCODERS.clear)
         setting = (path, key, dropout, draws)
         if setting not in _ENCODERS:
             _ENCODERS.clear()

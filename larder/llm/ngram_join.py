@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import free_name, saved, sided
+from larder.llm.common import free_name, hold_alone, saved, sided
 from larder.llm.components import components
 
 WORDS = 5
@@ -59,7 +59,7 @@ class _Words(dict):
     """Hashes of the words that a Python worker has met."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 600_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -67,7 +67,8 @@ class _Words(dict):
         return h
 
 
-_hash_of = _Words().__getitem__
+_WORDS = _Words()
+_hash_of = _WORDS.__getitem__
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -109,6 +110,7 @@ def prefix_needed(n: int, m: int, percent: int = PERCENT) -> int:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of all texts of a task: how often each counter's shingles occur, up to 255."""
+    hold_alone("shingles", _WORDS.clear)
     counts = np.zeros(1 << SKETCH_BITS, np.int32)
     for b in batches:
         for at in range(0, b.num_rows, 128):
@@ -137,6 +139,7 @@ def _describe(sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        hold_alone("shingles", _WORDS.clear)
         counts, row = sketch.value, TaskContext.get().partitionId() << 33
         for b in batches:
             for at in range(0, b.num_rows, 256):

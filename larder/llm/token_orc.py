@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.llm.common import hold_alone
+
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -109,6 +111,7 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        hold_alone("tokens", _ENCODERS.clear)
         if path not in _ENCODERS:
             _ENCODERS[path] = ChunkEncoder(path)
         enc, block, pos, end = _ENCODERS[path], TaskContext.get().partitionId(), 0, np.array([end_id], "<i4").tobytes()

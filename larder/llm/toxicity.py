@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import fold
+from larder.llm.common import fold, hold_alone
 
 WINDOW, STRIDE = 32, 16
 SAMPLE, WINDOWS = 2000, 16
@@ -365,6 +365,7 @@ def toxicity_score(text: Column, net) -> Column:
     """Score of each text by a broadcast ``Network``."""
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold_alone("toxicity", _SCORERS.clear)
         if not _SCORERS or _SCORERS[0].net is not net.value:
             _SCORERS[:] = [Scorer(net.value)]
         score = _SCORERS[0]
