@@ -47,6 +47,7 @@ from larder.llm.components import components
 WORDS = 5
 PERCENT = 80
 BLOCK = 1024        # nodes of a block of the last search
+SHARED_ROWS = 1_000_000  # shared prefix shingles (two numbers each) that are broadcast; beyond, a shuffle join
 MERGE_COST = 0.1    # weighs merging against probing when lists are set aside
 LONG = 64           # nodes of an inverted list up to which it is merged
 SKETCH_BITS = 22    # the sketch has 4 million counters, at most 16 MB
@@ -298,10 +299,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sketch.destroy()
     full = rows.filter("n > 0")
     nodes = saved(full.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n")), "nodes")
-    keys = full.select("row", "n", "keys").join(nodes.select("node"), c("row") == c("node"), "left_semi").select(c("row").alias("node"), "n", F.explode("keys").alias("key"))
-    # Only shingles in two prefixes or more matter; counting them first combines on the map side.
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("key", "k")
-    shared = saved(keys.join(many, c("key") == c("k")).select("key", "node", "n", "m"), "shared")
+    copies = saved(full.select("row").join(nodes.select("node"), c("row") == c("node"), "left_anti").select(c("row").alias("copy")), "copies")
+    keys = full.select("row", "n", "keys").join(sided(copies), c("row") == c("copy"), "left_anti").select(c("row").alias("node"), "n", F.explode("keys").alias("key"))
+    # Only shingles in two prefixes or more matter, a small part of all; counting them first combines on the map side.
+    many = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("key", "k"), "many")
+    shared = saved(keys.join(sided(many, SHARED_ROWS), c("key") == c("k")).select("key", "node", "n", "m"), "shared")
     short, longs = shared.filter(c("m") <= LONG), shared.filter(c("m") > LONG)
     lists = short.groupBy(c("key").alias("k")).agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("sizes"))  # at most LONG each
     own_long = longs.groupBy(c("node").alias("q")).agg(F.count(F.lit(1)).alias("longs"))
