@@ -8,9 +8,12 @@ probability ``dropout``, by a hash of the key, the draw, the place and the two l
 else it is merged and its new neighbours become candidates. Without dropout the result is
 that of the library.
 
-Each occurrence of a unit takes one of ``draws`` keyed draws, picked by a hash of key,
-document and place; so a frequent word gets varied segmentations, each computed once by a
-Python worker. The same key gives the same ids, in whatever task a row is.
+The hash takes the key, the document, the place of the occurrence in it, and the start and
+the two lengths of the candidate, so each occurrence of a unit is segmented for itself. A
+Python worker remembers, of a unit under a set of skips, the candidates that come up after
+the last of them and the ids at the end if no other is skipped. An occurrence follows these
+paths from one of its skips to the next: the result is that of its own agenda, whatever the
+worker remembers. The same key gives the same ids, in whatever task a row is.
 
 Defined results: null counts as empty and gives no ids; a character outside the vocabulary
 becomes its UTF-8 byte pieces, and so does a literal mark, so that decoding gives back
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from larder.llm.common import hold_alone
 
 MARK = "▁"
-KEPT = 600_000  # segmentations that a worker remembers
+KEPT = 600_000  # paths that a worker remembers
+AT_ONCE = 1 << 16  # occurrences that a worker follows together
+LONGEST = 22  # characters of the units that have paths: an agenda of n characters has under 3 * n candidates, and skips are 64 bits
 ROWS = "doc_id long, ids array<int>, decoded boolean"
 
 _M1, _M2, _ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
@@ -118,7 +123,7 @@ class Pieces:
         return made, np.where(self.keys[at] == key, self.rank_of[made], np.int32(len(self.rank)))
 
     def unit_ids_of(self, units: list[str], draws: np.ndarray, limit: int) -> list[bytes]:
-        """``unit_ids`` of many units at once, by length."""
+        """``unit_ids`` of many units at once, by length. One draw each."""
         out: list[bytes] = [b""] * len(units)
         size = np.fromiter(map(len, units), np.int64, len(units))
         order = np.argsort(size, kind="stable")
@@ -131,8 +136,11 @@ class Pieces:
                 out[i] = self.unit_ids(units[i], limit, int(draws[i])) if ids is None else ids
         return out
 
-    def _rounds(self, units: list[str], size: np.ndarray, draws: np.ndarray, limit: int) -> list[bytes | None]:
-        """Each round takes the agenda's best candidate of every unit. None: a character has no piece."""
+    def _rounds(self, units: list[str], size: np.ndarray, draws: np.ndarray, limit: int, trace: list | None = None) -> list[bytes | None]:
+        """Each round takes the agenda's best candidate of every unit. None: a character has no piece.
+
+        With ``trace``, ``draws`` are sets of skips: a bit for each round. ``trace`` gets the units and
+        the candidates of each round."""
         width, none = int(size.max()), len(self.rank)
         codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
         col = np.arange(width + 2)
@@ -143,7 +151,7 @@ class Pieces:
         start = np.minimum(col[None, :], size[:, None])
         rank = self._merge(sym[:, :-1], sym[:, 1:])[1]
         out: list[bytes | None] = [None] * len(units)
-        live = np.arange(len(units))
+        live, zero = np.arange(len(units)), np.uint64(0)
         while len(live):
             rows = np.arange(len(live))
             i = rank.argmin(1)
@@ -159,9 +167,14 @@ class Pieces:
                 rows = np.arange(len(live))
             if not len(live):
                 break
-            if limit:
+            if limit or trace is not None:
                 s0, s1, s2 = (start[rows, i + k].astype(np.uint64) for k in range(3))
-                skip = mixed(draws[live] ^ s0 << np.uint64(40) ^ (s1 - s0) << np.uint64(20) ^ (s2 - s1)) < np.uint64(limit)
+                code = s0 << np.uint64(40) ^ (s1 - s0) << np.uint64(20) ^ (s2 - s1)
+                if trace is None:
+                    skip = mixed(draws[live] ^ code) < np.uint64(limit)
+                else:
+                    skip = draws[live] >> np.uint64(len(trace)) & np.uint64(1) != zero
+                    trace.append((live, code))
                 rank[rows[skip], i[skip]] = none
                 m, i = rows[~skip], i[~skip]
             else:
@@ -265,14 +278,111 @@ class Pieces:
 _UNITS = re.compile(f"{MARK}*{_LETTER}+|\n|{MARK}*(?:(?!{_LETTER})[^{MARK}\n])+|{MARK}+")
 
 
+class Rows:
+    """Rows of unequal length, one after the other in an array that grows."""
+
+    def __init__(self, kind):
+        self.flat, self.ends, self.n = np.zeros(1 << 12, kind), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, size: np.ndarray, values: np.ndarray) -> None:
+        used, n = int(self.ends[self.n]), self.n + len(size)
+        if used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(used + len(values), self.flat.dtype)])
+        if n >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(n, np.int64)])
+        self.flat[used:used + len(values)] = values
+        self.ends[self.n + 1:n + 1] = used + np.cumsum(size)
+        self.n = n
+
+    def at(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the elements of ``rows`` in ``flat``, and how many each row has."""
+        first = self.ends[rows]
+        size = self.ends[rows + 1] - first
+        ends = np.cumsum(size)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size), size
+
+
+class Paths:
+    """Paths of the units' agendas, each under a set of skips (a bit for each round).
+
+    ``codes``: the candidates that come up after the last skip, if no other is skipped; ``then``:
+    the path that skips this one, too (-1 if not made yet); ``ids``: the ids at the end."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.root = pieces, {}
+        self.unit: list[str] = []
+        self.skips: list[int] = []
+        self.codes, self.then, self.ids = Rows(np.uint64), Rows(np.int32), Rows(np.int32)
+
+    def _make(self, units: list[str], skips: list[int]) -> np.ndarray:
+        """Add a path for each, by length; the new paths."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(size, kind="stable")
+        out, size = np.empty(len(units), np.int64), size[order]
+        out[order] = np.arange(len(self.unit), len(self.unit) + len(units))
+        units, skips = [units[j] for j in order.tolist()], [skips[j] for j in order.tolist()]
+        for at in range(0, len(units), 4096):
+            part, bits, trace = units[at:at + 4096], np.array(skips[at:at + 4096], np.uint64), []
+            ids = self.pieces._rounds(part, size[at:at + 4096], bits, 0, trace)
+            who = np.concatenate([w for w, _ in trace] or [np.zeros(0, np.int64)])
+            turn = np.repeat(np.arange(len(trace)), [len(w) for w, _ in trace])
+            behind = np.array([int(b).bit_length() for b in bits])
+            keep = np.flatnonzero(turn >= behind[who])
+            keep = keep[np.argsort(who[keep], kind="stable")]
+            n = np.bincount(who[keep], minlength=len(part))
+            codes = np.concatenate([c for _, c in trace])[keep] if trace else np.zeros(0, np.uint64)
+            self.codes.add(n, codes)
+            self.then.add(n, np.full(len(codes), -1, np.int32))
+            self.ids.add(np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<i4"))
+        self.unit += units
+        self.skips += skips
+        return out
+
+    def roots(self, units: list[str | bytes]) -> np.ndarray:
+        """The path without skips of each unit; -1 for a unit that has no paths."""
+        get, known = self.root.get, self.pieces.of_char
+        got = list(map(get, units))
+        if None in got:
+            new = list(dict.fromkeys(u for u, g in zip(units, got) if g is None))
+            fit = [u for u in new if isinstance(u, str) and len(u) <= LONGEST]
+            ends = np.cumsum([0, *map(len, fit)])
+            if fit:
+                odd = known[np.frombuffer("".join(fit).encode("utf-32-le"), "<u4")] == self.pieces.unknown
+                fit = [u for u, x in zip(fit, np.add.reduceat(odd, ends[:-1], dtype=np.int64).tolist()) if not x]
+            made = dict(zip(fit, self._make(fit, [0] * len(fit)).tolist()))
+            self.root.update(made)
+            got = [made.get(u, -1) if g is None else g for u, g in zip(units, got)]
+        return np.array(got, np.int64)
+
+    def walk(self, paths: np.ndarray, draws: np.ndarray, limit: int) -> np.ndarray:
+        """The path that each occurrence ends on, from the one without skips."""
+        out, live = paths.copy(), np.arange(len(paths))
+        while limit and len(live):
+            place, n = self.codes.at(out[live])
+            row = np.repeat(np.arange(len(live)), n)
+            hit = np.flatnonzero(mixed(draws[live][row] ^ self.codes.flat[place]) < np.uint64(limit))
+            first = np.r_[True, row[hit][1:] != row[hit][:-1]][:len(hit)]
+            place, live = place[hit][first], live[row[hit][first]]
+            new, one = np.unique(place, return_index=True)
+            open_ = self.then.flat[new] < 0
+            new, one = new[open_], one[open_]
+            if len(new):
+                parents = out[live[one]]
+                ahead = (new - self.codes.ends[parents]).tolist()
+                skips = [self.skips[p] for p in parents.tolist()]
+                made = self._make([self.unit[p] for p in parents.tolist()], [s | 1 << s.bit_length() + k for s, k in zip(skips, ahead)])
+                self.then.flat[new] = made
+            out[live] = self.then.flat[place]
+        return out
+
+
 class Dropout:
-    """Encoder of one key: remembers each unit's ids for each draw."""
+    """Encoder of one key. ``draws`` is accepted from callers and limits nothing: each occurrence has a draw of its own."""
 
     def __init__(self, path: str, key: int, dropout: float, draws: int):
         self.pieces, self.key = Pieces(path), mix(key + 1)
-        self.limit, self.draws = int(dropout * (1 << 64)), draws if dropout else 1
-        self.of_draw = np.array([mix(self.key + v * _M1) for v in range(self.draws)], np.uint64)
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
+        self.limit = int(dropout * (1 << 64))
+        self.paths = Paths(self.pieces)
         self.alone = {c: np.array([self.pieces.byte_ids[b] for b in c.encode()], "<i4").tobytes() for c in (MARK, "\x00")}
 
     def _units(self, text: str) -> list[str | bytes]:
@@ -287,40 +397,42 @@ class Dropout:
                 out += _UNITS.findall(MARK * (not i) + part.replace(" ", MARK))
         return out
 
+    def draws_of(self, doc_id: int, n: int) -> np.ndarray:
+        """The draw of each of the ``n`` places of a document."""
+        return mixed(mixed(mixed(np.array([doc_id & _ALL], np.uint64)) ^ np.uint64(self.key)) + np.arange(n, dtype=np.uint64))
+
+    def _some(self, units: list[str | bytes], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of occurrences one after the other, and how many each has."""
+        if len(self.paths.unit) > KEPT:
+            self.paths = Paths(self.pieces)
+        paths = self.paths.roots(units)
+        whole = np.flatnonzero(paths >= 0)
+        ends = self.paths.walk(paths[whole], draws[whole], self.limit)
+        place, n = self.paths.ids.at(ends)
+        ids = self.paths.ids.flat[place]
+        if len(whole) == len(units):
+            return ids, n
+        size, rest = np.zeros(len(units), np.int64), np.flatnonzero(paths < 0).tolist()
+        size[whole] = n
+        direct = [np.frombuffer(u if isinstance(u, bytes) else self.pieces.unit_ids(u, self.limit, int(draws[j])), "<i4") for j, u in ((j, units[j]) for j in rest)]
+        size[rest] = list(map(len, direct))
+        out, own = np.zeros(size.sum(), np.int32), np.ones(len(units), bool)
+        own[rest] = False
+        own = np.repeat(own, size)
+        out[own], out[~own] = ids, np.concatenate(direct)
+        return out, size
+
     def batch(self, doc_ids: list[int], texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         units = [self._units(t) if t else [] for t in texts]
-        keys = mixed(np.array([i & _ALL for i in doc_ids], np.uint64)) ^ np.uint64(self.key)
-        found: list[list] = []
-        new: dict[tuple[str, int], list[tuple[int, int]]] = {}
-        for d, (us, key) in enumerate(zip(units, keys)):
-            if self.draws == 1:
-                get = self.known[0].get
-                got, v = [get(u) for u in us], None
-            else:
-                v = ((mixed(np.arange(len(us), dtype=np.uint64) + key) >> np.uint64(33)) % np.uint64(self.draws)).tolist()
-                gets = [k.get for k in self.known]
-                got = [gets[w](u) for u, w in zip(us, v)]
-            at = -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                if isinstance(us[at], bytes):
-                    got[at] = us[at]
-                else:
-                    new.setdefault((us[at], v[at] if v else 0), []).append((d, at))
-            found.append(got)
-        if new:
-            if sum(map(len, self.known)) > KEPT:
-                for k in self.known:
-                    k.clear()
-            todo = list(new)
-            made = self.pieces.unit_ids_of([u for u, _ in todo], self.of_draw[[w for _, w in todo]], self.limit)
-            for (u, w), ids in zip(todo, made):
-                if len(u) <= 64:
-                    self.known[w][u] = ids
-                for d, at in new[u, w]:
-                    found[d][at] = ids
-        return [np.frombuffer(b"".join(got), "<i4") for got in found]
+        flat = [u for us in units for u in us]
+        if not flat:
+            return [np.zeros(0, np.int32) for _ in texts]
+        draws = np.concatenate([self.draws_of(i, len(us)) for i, us in zip(doc_ids, units)])
+        parts = [self._some(flat[i:i + AT_ONCE], draws[i:i + AT_ONCE]) for i in range(0, len(flat), AT_ONCE)]
+        ids = np.concatenate([x for x, _ in parts])
+        ends = np.r_[0, np.cumsum(np.concatenate([n for _, n in parts]))][np.cumsum([0, *map(len, units)])].tolist()
+        return [ids[i:j] for i, j in zip(ends, ends[1:])]
 
     def __call__(self, doc_id: int, text: str) -> np.ndarray:
         return self.batch([doc_id], [text])[0]

@@ -48,3 +48,32 @@ def test_rows(spark):
     # Another partitioning gives the same ids.
     assert {(r["doc_id"], tuple(r["ids"])) for r in M.dropout_ids(df.coalesce(1), PATH).collect()} == {(r["doc_id"], tuple(r["ids"])) for r in got}
     assert M.dropout_ids(df.limit(0), PATH).count() == 0
+
+
+def test_each_occurrence_has_its_own_agenda():
+    text = "internationalisation of 中文 words, " * 40 + "x" * 50
+    for dropout in (0.1, 0.6):
+        enc = M.Dropout(PATH, 5, dropout, 4)
+        units = enc._units(text)
+        want = [enc.pieces.unit_ids(u, enc.limit, d) for u, d in zip(units, enc.draws_of(3, len(units)).tolist())]
+        assert enc(3, text).tobytes() == b"".join(want)
+        assert enc(3, text).tobytes() == b"".join(want)  # from remembered paths
+
+
+def test_skip_rate_at_every_place_and_frequent_words_vary():
+    for key in (1, 2):
+        enc = M.Dropout(PATH, key, 0.1, 4)
+        draws = np.concatenate([enc.draws_of(d, 500) for d in range(40)])
+        for start in range(12):
+            for left, right in ((1, 1), (2, 1), (1, 3), (4, 2)):
+                code = np.uint64(start << 40 ^ left << 20 ^ right)
+                assert abs((M.mixed(draws ^ code) < np.uint64(enc.limit)).mean() - 0.1) < 0.012
+        for word in ("the", "people", "different"):
+            unit, n = M.MARK + word, 3000
+            got = enc(7, " ".join([word] * n))
+            whole = enc.pieces.unit_ids(unit, 0, 0)
+            seen = [enc.pieces.unit_ids(unit, enc.limit, d) for d in enc.draws_of(7, n).tolist()]
+            assert got.tobytes() == b"".join(seen)
+            fair = np.random.default_rng(key).integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+            share = sum(enc.pieces.unit_ids(unit, enc.limit, d) == whole for d in fair.tolist()) / n
+            assert len(set(seen)) > 4 and share < 0.95 and abs(seen.count(whole) / n - share) < 0.04
