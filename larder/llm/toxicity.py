@@ -8,8 +8,9 @@ document's score is that of its highest window, over all windows of ``WINDOW`` w
 start every ``STRIDE`` words, the last one ending with the text.
 
 The network is fitted on a bounded sample of labelled rows (``SAMPLE`` of each label, by
-the hash of their ids; ``WINDOWS`` windows of a document). As labels hold for documents,
-each epoch after the first fifth learns from the highest window of a sampled document.
+the hash of their ids), of which all windows count. As labels hold for documents, each epoch
+after the first fifth learns from the highest window of a sampled document, and the threshold
+is set on the highest windows of documents kept back: as in scoring, of all their windows.
 
 Defined results: a null or empty text is one window without words, scored by the bias
 alone; without labels of both kinds the score is the share of label 1 (0.5 without any
@@ -23,14 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import fold, hold_alone
 
 WINDOW, STRIDE = 32, 16
-SAMPLE, WINDOWS = 2000, 16
+SAMPLE = 2000
 EPOCHS, STEPS = 10, 500  # at least so many epochs, and so many steps
 LEAST_DOCUMENTS = 4  # of the sample; embeddings used by fewer are not learnt
 HIDDEN, WIDTH, BUCKETS = 8, 8, 1 << 15
@@ -206,8 +206,8 @@ def _matrix(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return idx, mask
 
 
-def fit(samples: list[tuple[int, list[str]]], epochs: int = EPOCHS, seed: int = 11) -> Network:
-    """``samples``: label and windows (words joined by spaces) of each sampled document."""
+def fit(samples: list[tuple[int, str | list[str]]], epochs: int = EPOCHS, seed: int = 11) -> Network:
+    """``samples``: label and text of each sampled document, or its text in pieces (then windows do not span them)."""
     rng, net = np.random.default_rng(seed), Network(seed)
     share = np.mean([y for y, _ in samples]) if samples else 0.5
     net.p["bias"][0] = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
@@ -215,8 +215,11 @@ def fit(samples: list[tuple[int, list[str]]], epochs: int = EPOCHS, seed: int =
         net.p["o"][:] = 0
         return net
     number: dict[str, int] = {}
-    docs = [(y, [np.array([number.setdefault(x, len(number)) for x in w.split(" ") if x], np.int64) for w in ws]) for y, ws in samples]
-    docs = [(y, ws) for y, ws in docs if any(map(len, ws))]
+    docs = []
+    for y, parts in samples:
+        ids = [np.array([number.setdefault(x, len(number)) for x in t.lower().split()], np.int32) for t in ([parts] if isinstance(parts, str) else parts)]
+        docs.append((y, [w[s:s + WINDOW] for w in ids if len(w) for s in window_starts(len(w))]))  # views of the text's ids
+    docs = [(y, ws) for y, ws in docs if ws]
     if not docs:
         net.p["o"][:] = 0
         return net
@@ -287,8 +290,8 @@ def fit(samples: list[tuple[int, list[str]]], epochs: int = EPOCHS, seed: int =
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE, windows: int = WINDOWS) -> list[tuple[int, list[str]]]:
-    """At most ``per_label`` training documents of each label with at most ``windows`` windows each.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE) -> list[tuple[int, str]]:
+    """Label and whole text of at most ``per_label`` training documents of each label.
 
     Ids come first, from the labels alone; the texts of that bounded set of ids follow.
     """
@@ -298,20 +301,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", pe
         one = (labels.filter((c(label) == v) & c("doc_id").isNotNull() & (fold(c("doc_id")) != 0)).select(c("doc_id").alias("id"), F.lit(v).alias("y")).distinct()
                .orderBy(F.xxhash64("id"), "id").limit(per_label))
         ids = one if ids is None else ids.unionByName(one)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                w = (t or "").lower().split()
-                starts = sorted(window_starts(len(w)), key=lambda s: zlib.crc32(f"{i}:{s}".encode()))[:windows]
-                out.append([" ".join(w[s:s + WINDOW]) for s in sorted(starts)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "y", "windows"])
-
     # At most 2 * per_label ids; the broadcast is bounded by that.
-    rows = (docs.select(c("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), c("doc_id") == c("id")).select("doc_id", "y", "text")
-            .mapInArrow(cut, "doc_id long, y int, windows array<string>").collect())
-    return [(r["y"], r["windows"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["windows"]))]
+    rows = (docs.select(c("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+            .join(F.broadcast(ids), c("doc_id") == c("id")).select("doc_id", "y", "text").collect())
+    return [(r["y"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["text"]))]
 
 
 class Scorer:
@@ -375,7 +368,7 @@ def toxicity_score(text: Column, net) -> Column:
     return run.asNondeterministic()(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE, windows: int = WINDOWS, epochs: int = EPOCHS):
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE, epochs: int = EPOCHS):
     """The broadcast network, fitted on the bounded sample of labelled training rows."""
-    net = fit(labelled_sample(docs, labels, label, per_label, windows), epochs)
+    net = fit(labelled_sample(docs, labels, label, per_label), epochs)
     return docs.sparkSession.sparkContext.broadcast(net)

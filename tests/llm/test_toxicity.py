@@ -77,3 +77,26 @@ def test_held_out_accuracy_and_odd_rows(spark):
 def test_without_labels():
     assert abs(T.Scorer(T.fit([]))(["any text", ""])[0] - 0.5) < 1e-3
     assert (T.Scorer(T.fit([(0, ["a b c"])]))(["any text", ""]) < 0.01).all()
+
+
+def test_long_clean_documents_are_judged_by_all_their_windows(spark):
+    rng = random.Random(4)
+    syll = ["ba", "ko", "ri", "te", "mun", "sal", "per", "do"]
+    word = lambda: "".join(rng.choice(syll) for _ in range(rng.randrange(1, 4)))
+    data = []
+    for i in range(500):
+        bad = i % 2
+        w = [word() for _ in range(30 if bad else 1600)]
+        if bad:  # "damn" alone in most toxic documents; a clean one holds it in few of its 100 windows
+            w[rng.randrange(30)] = "idiot" if rng.random() < 0.3 else "damn"
+        elif rng.random() < 0.9:
+            w[rng.randrange(1600)] = "damn"
+        data.append((i, " ".join(w), bad))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t, _ in data], DOCS)
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    sample = T.labelled_sample(docs, labels)
+    text = {t for _, t, _ in data}
+    assert len(sample) > 300 and all(t in text for _, t in sample)
+    score = T.Scorer(T.fit(sample))
+    clean = score([t for _, t, y in data if not y])
+    assert (clean >= 0.5).mean() < 0.2
