@@ -1,10 +1,15 @@
 """Quotation linking of conversations, in DataFrame functions only.
 
 Lines that start with ``>`` are quotes; the number of ``>`` (spaces between them allowed)
-is the quote level. A quoted line is normalised (lower case, single spaces, no spaces
-around) and hashed; within its conversation it is joined to the original message: the
-first earlier one whose own, unquoted lines hold it. A message replies to the original of
-its outermost quotes that have one (the latest, if several), else to the message before it.
+is the quote level. Quoted lines of one level that follow each other form a passage; a
+passage and the own, unquoted lines of a message are normalised (lower case, all white
+space, line ends too, as single spaces) and hashed. Within its conversation a passage is
+joined to the original message: the first earlier one that holds it, word for word and in
+whatever lines. Two rules go by lines. A passage of one line is joined first to a message
+that has this line as a whole; and where no message holds a passage of several lines, each
+line is joined by itself to the first earlier message that has it as a whole. A message
+replies to the original of its outermost quotes that have one (the latest, if several
+passages have), else to the message before it. ``n_quotes`` counts the linked quoted lines.
 
 Reply order: a message comes behind the one it answers, and the answers to a message in
 the order of their turns. Runs of messages that answer the one before form a segment; a
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from larder.llm.common import saved
 
 BLOCK = 1024  # turns that one window holds
+ANCHOR = 4  # words: by its first ones a passage finds the places to compare it with
 _QUOTE = "^(?:>[ ]?)+"
 
 
@@ -37,32 +43,81 @@ def _normal(line: Column) -> Column:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body (without quotes), own and quoted lines: arrays of hashes, with levels for the quoted ones."""
+    """id, conv_id, turn, role, body (without quotes), hashes of own lines, and quoted lines with their places and levels."""
     c = F.col
     quoted = lambda l: l.startswith(">")
     lines = F.split(F.coalesce("text", F.lit("")), "\r?\n")
-    d = messages.select("conv_id", c("turn").cast("long").alias("turn"), "role", lines.alias("lines"))
+    d = messages.select(F.monotonically_increasing_id().alias("id"), "conv_id", c("turn").cast("long").alias("turn"), "role", lines.alias("lines"))
     own = F.filter("lines", lambda l: ~quoted(l))
     level = lambda l: F.length(F.regexp_replace(F.regexp_extract(l, _QUOTE, 0), " ", ""))
-    quotes = F.transform(F.filter("lines", quoted), lambda l: F.struct(level(l).alias("level"), _normal(F.regexp_replace(l, _QUOTE, "")).alias("line")))
-    return d.select("conv_id", "turn", "role", F.trim(F.regexp_replace(F.array_join(own, "\n"), "^\\n+|\\n+$", "")).alias("body"),
+    places = F.filter(F.transform("lines", lambda l, i: F.struct(i.alias("i"), l.alias("l"))), lambda x: quoted(x["l"]))
+    quotes = F.transform(places, lambda x: F.struct(x["i"].alias("i"), level(x["l"]).alias("level"), _normal(F.regexp_replace(x["l"], _QUOTE, "")).alias("line")))
+    return d.select("id", "conv_id", "turn", "role", F.trim(F.regexp_replace(F.array_join(own, "\n"), "^\\n+|\\n+$", "")).alias("body"),
                     F.array_distinct(F.transform(F.filter(F.transform(own, _normal), lambda l: l != ""), lambda l: F.xxhash64(l, F.length(l)))).alias("own"),
-                    F.array_distinct(F.transform(F.filter(quotes, lambda q: q["line"] != ""), lambda q: F.struct(q["level"].alias("level"), F.xxhash64(q["line"], F.length(q["line"])).alias("h")))).alias("quotes"))
+                    quotes.alias("quotes"))
+
+
+def _words(words: Column, at: Column | int, n: Column) -> Column:
+    """Hash of ``n`` words."""
+    return F.xxhash64(F.array_join(F.slice(words, at, n), " "), n)
+
+
+def passages(parsed: DataFrame) -> DataFrame:
+    """id, conv_id, turn, level, lines (hashes), n, k, anchor and h: words, and hashes of the first k and of all, of each quoted passage."""
+    c = F.col
+    q = parsed.filter(F.size("quotes") > 0).select("id", "conv_id", "turn", F.explode("quotes").alias("q"))
+    q = q.select("id", "conv_id", "turn", "q.*")
+    # Places less their rank in the level are the same within a run.
+    q = q.withColumn("run", c("i") - F.row_number().over(Window.partitionBy("id", "level").orderBy("i"))).filter("line != ''")
+    p = q.groupBy("id", "level", "run").agg(F.first("conv_id").alias("conv_id"), F.first("turn").alias("turn"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))
+    p = p.select("id", "conv_id", "turn", "level", F.array_distinct(F.transform("x.line", lambda l: F.xxhash64(l, F.length(l)))).alias("lines"),
+                 F.size("x").alias("n_lines"), F.split(F.array_join("x.line", " "), " ").alias("w"))
+    p = p.withColumn("n", F.size("w")).withColumn("k", F.least(F.size("w"), F.lit(ANCHOR)))
+    return saved(p.select("id", "conv_id", "turn", "level", F.monotonically_increasing_id().alias("passage"), "lines", "n_lines", "n", "k",
+                          _words(c("w"), 1, c("k")).alias("anchor"), _words(c("w"), 1, c("n")).alias("h")), "passages")
+
+
+def first_holders(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """c2, n2, h2, origin: the first turn that holds each passage in its own words."""
+    c = F.col
+    keys = wanted.select(c("conv_id").alias("cw"), c("k").alias("kw"), c("anchor").alias("aw"), c("n").alias("n")).distinct()
+    m = parsed.filter("turn is not null").join(keys.select("cw").distinct(), c("conv_id").eqNullSafe(c("cw")), "left_semi")
+    m = saved(m.select("id", "conv_id", "turn", F.split(_normal(c("body")), " ").alias("w")), "own")
+    # Places at which a passage's first words are, then all its words there: a message is compared with no other passages.
+    at = m.select("id", "conv_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda p: F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(ANCHOR)), lambda k: p + k - 1 <= F.size("w")),
+        lambda k: F.struct(p.alias("p"), k.alias("k"), _words(c("w"), p, k).alias("a")))))).alias("x"))
+    at = at.join(keys, c("conv_id").eqNullSafe(c("cw")) & (c("x.k") == c("kw")) & (c("x.a") == c("aw"))).select(c("id").alias("id2"), c("x.p").alias("p"), "n")
+    at = at.groupBy("id2").agg(F.collect_set(F.struct("p", "n")).alias("at"))
+    full = saved(m.join(at, c("id") == c("id2")).select("conv_id", "turn", "w", "at"), "places")
+    held = full.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.filter("at", lambda x: x["p"] + x["n"] - 1 <= F.size("w")), lambda x: F.struct(
+        x["n"].alias("n"), _words(c("w"), x["p"], x["n"]).alias("h"))))).alias("x"))
+    return held.groupBy(c("conv_id").alias("c2"), c("x.n").alias("n2"), c("x.h").alias("h2")).agg(F.min("turn").alias("origin"))
 
 
 def quote_links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, origin, n_quotes (linked) of the messages with a linked quote.
 
-    Originals are reduced to the first turn of each line before the join, so each quoted
-    line meets one row, however common the line is.
+    Originals are reduced to the first turn of each line, and of each passage, before the
+    join, so each quoted one meets one row, however common it is.
     """
     c = F.col
-    quotes = saved(parsed.filter(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", c("q.level").alias("level"), c("q.h").alias("h")), "quotes")
+    p = passages(parsed)
+    quotes = p.select("id", "conv_id", "turn", "level", "passage", "n_lines", F.explode("lines").alias("h"))
     wanted = quotes.select(c("conv_id").alias("cw"), c("h").alias("hw")).distinct()
     lines = parsed.select("conv_id", "turn", F.explode("own").alias("h")).filter("turn is not null")
     lines = lines.join(wanted, c("conv_id").eqNullSafe(c("cw")) & (c("h") == c("hw")), "left_semi")
     first = lines.groupBy(c("conv_id").alias("c2"), c("h").alias("h2")).agg(F.min("turn").alias("origin"))
-    hits = quotes.join(first, c("conv_id").eqNullSafe(c("c2")) & (c("h") == c("h2")) & (c("origin") < c("turn")))
+    by_line = saved(quotes.join(first, c("conv_id").eqNullSafe(c("c2")) & (c("h") == c("h2")) & (c("origin") < c("turn")))
+                    .select("id", "conv_id", "turn", "level", "passage", "n_lines", "h", "origin"), "line_hits")
+    whole = by_line.filter("n_lines = 1").select("passage")
+    wanted = p.join(whole, "passage", "left_anti")
+    first = first_holders(parsed, wanted)
+    held = saved(wanted.join(first, c("conv_id").eqNullSafe(c("c2")) & (c("n") == c("n2")) & (wanted["h"] == c("h2")) & (c("origin") < c("turn")))
+                 .select("id", "conv_id", "turn", "level", "passage", F.explode("lines").alias("h"), "origin"), "held")
+    rest = by_line.join(held.select("passage").distinct(), "passage", "left_anti")
+    hits = held.unionByName(rest.drop("n_lines"))
+    hits = hits.groupBy("conv_id", "turn", "level", "id", "h").agg(F.max("origin").alias("origin"))
     by_level = hits.groupBy("conv_id", "turn", "level").agg(F.max("origin").alias("origin"), F.count(F.lit(1)).alias("n"))
     # Outermost level first; both numbers fit one ordering struct.
     return by_level.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "origin")).alias("best"), F.sum("n").alias("n_quotes")).select("conv_id", "turn", c("best.origin").alias("origin"), "n_quotes")

@@ -92,3 +92,27 @@ def test_nulls_ties_repeats_and_empty(spark):
     last = next(r for r in got if r["turn"] == 7)
     assert (last["reply_to"], last["n_quotes"], last["position"]) == (5, 1, 1)
     assert quotation.reply_ordered(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_passages_are_linked_whatever_their_lines(spark):
+    said = [(0, "Thanks for the plan.\nThe depot in the north opens at six\nand closes at nine, all week."),
+            (1, "Good.\nThe second lorry waits\nat the gate"), (2, "Thanks,\nit is  late"), (3, "nothing of note")]
+    asked = [("> THE depot in the\n> north opens at six and\n> closes at nine,", 0, 3),       # other line breaks
+             ("> lorry waits at the", 1, 1),                                                  # part of lines
+             ("> and closes at nine, all week.\n>\n> Thanks,", 2, 2),                          # held by none: by lines
+             ("> it is late", 2, 1), ("> the gate waits", 9, 0), ("> > waits\n> > at\n\n> of note", 3, 3), ("> depot opens", 10, 0)]
+    rows = [(c, t, "user", x, "z") for c in (1, None) for t, x in said]
+    turn = {}
+    for j, (q, origin, n) in enumerate(asked):
+        rows += [(c, 5 + j, "user", q + f"\nanswer {j} end", "z") for c in (1, None)]
+        turn[5 + j] = (origin, n)
+    got = quotation.reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_quotes"]) for r in got if r["turn"] >= 5} == {
+        (c, t): (o if n else t - 1, n) for c in (1, None) for t, (o, n) in turn.items()}
+
+
+def test_a_common_line_does_not_win_over_its_passage(spark):
+    rows = [(1, 0, "user", "hello"), (1, 1, "user", "the first report\nis done\nThanks, all"), (1, 2, "user", "is done"), (1, 3, "user", "Thanks,"),
+            (1, 4, "user", "> the first report\n> is done\n> Thanks,\nok")]
+    got = quotation.reply_ordered(spark.createDataFrame([(*r, "z") for r in rows], SCHEMA)).collect()
+    assert next((r["reply_to"], r["n_quotes"]) for r in got if r["turn"] == 4) == (1, 3)
