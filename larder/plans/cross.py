@@ -207,6 +207,61 @@ def p12_capacity_use(spark, sf_dir):
                         S.rnd(S.ratio(S.ratio("units", "trips"), "capacity_kg") * 100))
 
 
+# Which reading belongs to a checked parameter, by its number modulo 5: fixed values.
+CHECK_METRICS = ["view", "click", "purchase", "signup", "error"]
+_METRIC_SQL = "CASE CAST(substr(parameter, 7) AS INT) % 5 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(CHECK_METRICS)) + " END"
+
+
+def qc_checks(spark, sf_dir):
+    """QC checks with the plant that made the batch (its smallest name), the metric to look up, and the
+    clock time of the check, moved into the month that the sensors cover."""
+    plants = fx_production(spark, sf_dir).groupBy("batch_id").agg(F.min("plant").alias("plant_id"))
+    metric = F.element_at(F.array(*[F.lit(m) for m in CHECK_METRICS]), (F.substring("parameter", 7, 9).cast("int") % 5 + 1).cast("int"))
+    minute = (c("qc_id") * 7919 % 43200).cast("int")
+    at = F.when(c("timestamp").isNotNull(), F.timestamp_add("MINUTE", minute, F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))))
+    return (qc_prepared(spark, sf_dir).join(plants, "batch_id", "left")
+            .select("qc_id", "batch_id", "plant_id", metric.alias("metric_name"), at.alias("check_time"), "status"))
+
+
+_CHECKS_SQL = f"""
+, m AS (SELECT batch_id, min(plant) AS plant_id FROM fx_production GROUP BY batch_id),
+q AS (SELECT qc_id, q.batch_id, plant_id, {_METRIC_SQL} AS metric_name, lower(trim(pass_fail)) AS status,
+             CASE WHEN timestamp IS NOT NULL THEN TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * CAST(qc_id * 7919 % 43200 AS INT) END AS check_time
+      FROM fx_qc q LEFT JOIN m ON q.batch_id = m.batch_id),
+s AS (SELECT plant_id, metric_name, timestamp, max(sensor_id) AS sensor_id, arg_max(metric_value, sensor_id) AS sensor_value
+      FROM fx_sensors WHERE metric_value IS NOT NULL GROUP BY 1, 2, 3),
+a AS (SELECT q.*, s.sensor_id, s.sensor_value, epoch_us(q.check_time) - epoch_us(s.timestamp) AS age_micros
+      FROM q ASOF LEFT JOIN s ON q.plant_id = s.plant_id AND q.metric_name = s.metric_name AND q.check_time >= s.timestamp)
+"""
+
+
+def _readings_at_checks(spark, sf_dir):
+    from larder.operators.asof import asof_join
+    from larder.sources.fixtures import fx_sensors
+    readings = (fx_sensors(spark, sf_dir).where(c("metric_value").isNotNull())
+                .select("plant_id", "metric_name", c("timestamp").alias("read_at"), "sensor_id", c("metric_value").alias("sensor_value")))
+    out = asof_join(qc_checks(spark, sf_dir), readings, ["plant_id", "metric_name"], "check_time", "read_at", "sensor_id", ["read_at", "sensor_id", "sensor_value"])
+    return out.withColumn("age_micros", F.timestamp_diff("MICROSECOND", c("read_at"), c("check_time"))).drop("read_at")
+
+
+@query("p03_qc_sensor_asof", osql(["fx_qc", "fx_production", "fx_sensors"], _CHECKS_SQL + """
+SELECT qc_id, batch_id, plant_id, metric_name, status, check_time, sensor_id, sensor_value, age_micros FROM a"""))
+def p03_qc_sensor_asof(spark, sf_dir):
+    """Each QC check with the last reading of its plant and metric at or before it."""
+    return _readings_at_checks(spark, sf_dir)
+
+
+@query("p03_reading_by_status", osql(["fx_qc", "fx_production", "fx_sensors"], _CHECKS_SQL + """
+SELECT metric_name, status, count(*) AS checks, count(sensor_id) AS with_reading, round(avg(sensor_value), 6) AS mean_reading,
+       round(stddev_samp(sensor_value), 6) AS std_reading, max(age_micros) AS oldest_micros
+FROM a GROUP BY metric_name, status"""))
+def p03_reading_by_status(spark, sf_dir):
+    """Readings at failed and passed checks."""
+    return _readings_at_checks(spark, sf_dir).groupBy("metric_name", "status").agg(
+        F.count(F.lit(1)).alias("checks"), F.count("sensor_id").alias("with_reading"), S.rnd(F.avg("sensor_value")).alias("mean_reading"),
+        S.rnd(F.stddev_samp("sensor_value")).alias("std_reading"), F.max("age_micros").alias("oldest_micros"))
+
+
 __all__ = ["b2b_prepared"]
 
 
