@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.semantics import nonnull, rnd
+from larder.operators.quantiles import exact_quantiles
 
 c = F.col
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """count, mean, std, min, exact quartiles, max in one aggregate.
+    """count, mean, std, min, exact quartiles, max of all rows.
 
-    ``DataFrame.summary`` uses approximate percentiles; this uses exact
-    ``percentile`` (linear interpolation), matching pandas.
+    ``DataFrame.summary`` uses approximate percentiles; these are exact, with linear
+    interpolation, matching pandas, and no task holds all values.
     """
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = df.agg(
         F.count(value).alias("count"), rnd(F.avg(value)).alias("mean"),
-        rnd(F.stddev_samp(value)).alias("std"), F.min(value).alias("min"),
-        q.alias("_q"), F.max(value).alias("max"))
-    return g.select("count", "mean", "std", "min",
-                    rnd(c("_q")[0]).alias("p25"), rnd(c("_q")[1]).alias("p50"), rnd(c("_q")[2]).alias("p75"),
-                    "max")
+        rnd(F.stddev_samp(value)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = exact_quantiles(df, [], value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"]).drop("n")
+    # One row each; without values the quartiles have none, and are null.
+    return g.join(F.broadcast(q), F.lit(True), "left").select(
+        "count", "mean", "std", "min", rnd("p25").alias("p25"), rnd("p50").alias("p50"), rnd("p75").alias("p75"), "max")
 
 
 def histogram(df: DataFrame, value: str, bins: int, key: str | None = None) -> DataFrame:
@@ -57,15 +57,11 @@ def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Per key: quartiles, 1.5*IQR whisker ends (most extreme values inside the
     fences) and outlier count, as drawn by a box plot (A43).
 
-    Two aggregates over the key (the quartiles, then whiskers/outliers after a
-    join of the per-key quartile table back to the rows); both combine
-    map-side, so a hot key is reduced in parallel.
+    The quartiles, then whiskers and outliers after a join of the per-key quartile table
+    back to the rows, an aggregate that combines map-side: a hot key is reduced in parallel.
     """
     base = nonnull(df, key).where(c(value).isNotNull())
-    q = base.groupBy(key).agg(
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.count(value).alias("n"))
-    q = q.select(key, "n", c("_q")[0].alias("q1"), c("_q")[1].alias("median"), c("_q")[2].alias("q3"))
+    q = exact_quantiles(base, [key], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumns({"lo_fence": c("q1") - 1.5 * (c("q3") - c("q1")),
                        "hi_fence": c("q3") + 1.5 * (c("q3") - c("q1"))})
     x = c(value)
