@@ -15,6 +15,7 @@ gives no rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,10 @@ ROWS = "doc_id long, block int, pos long, n_tokens int, ids array<int>"
 CHUNKS_KEPT = 600_000  # encodings that a worker remembers; beyond that it starts anew
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class ChunkEncoder(dict):
     """Ids (little-endian int32 bytes) of the chunks of a text between white space.
 
@@ -65,24 +70,26 @@ class ChunkEncoder(dict):
         return all(self._word(w) == self._whole(w) for w in words) and self._whole("one,") == self._word("one") + self._whole(",")
 
     def _whole(self, chunk: str) -> bytes:
-        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<i4").tobytes()
+        return _bytes(self.tok.encode(chunk, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a word of letters; None if it needs the whole way."""
-        low = unicodedata.normalize("NFC", word).lower()
-        if not low.isalpha() or "Σ" in word:  # a sigma's lower case depends on its place
-            return None
-        if not low.isascii():
+        if word.isascii():
+            low = word.lower()
+        else:
+            low = unicodedata.normalize("NFC", word).lower()
+            if not low.isalpha() or "Σ" in word:  # a sigma's lower case depends on its place
+                return None
             low = "".join(map(self.letters.__getitem__, low.encode()))
-        return np.array([t.id for t in self.model.tokenize(low)], "<i4").tobytes()
+        return _bytes([t.id for t in self.model.tokenize(low)])
 
     def __missing__(self, chunk: str) -> bytes:
         ids = None
         if self.simple:
             if chunk.isalpha():
                 ids = self._word(chunk)
-            elif chunk[-1:] in (".", ",") and chunk[:-1].isalpha() and (ids := self._word(chunk[:-1])) is not None:
-                ids += self[chunk[-1]] if len(chunk) > 1 else b""
+            elif chunk[-1:] in (".", ",") and chunk[:-1].isalpha() and "Σ" not in chunk:
+                ids = self[chunk[:-1]] + self[chunk[-1]]
         if ids is None:
             ids = self._whole(chunk)
         if len(chunk) <= 64:
