@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from larder.plans.oracle_views import osql
-from larder.plans.registry import query
+from larder.plans.registry import ORACLE, query
 from larder.streaming import streams as ST
+from larder.streaming import watermarked as W
 
 
 @query("st1_sensor_hourly_stream", osql("fx_sensors", """
@@ -31,6 +32,19 @@ def st2_delay_rolling_stream(spark, sf_dir):
     return ST.delay_rolling_stream(spark, sf_dir).withColumn("mean_delay", F.round("mean_delay", 6))
 
 
+@query("st1_sensor_hourly_watermark", ORACLE["st1_sensor_hourly_stream"])
+def st1_sensor_hourly_watermark(spark, sf_dir):
+    """The same windows from the state store, each appended once the watermark has passed it."""
+    from pyspark.sql import functions as F
+    return W.sensor_hourly.run(spark, sf_dir).select("window_start", "window_end", "metric_name", F.round("mean", 6).alias("mean_value"), F.col("n").alias("readings"))
+
+
+@query("st2_delay_rolling_watermark", ORACLE["st2_delay_rolling_stream"])
+def st2_delay_rolling_watermark(spark, sf_dir):
+    from pyspark.sql import functions as F
+    return W.delay_rolling.run(spark, sf_dir).select("window_start", "window_end", "route_id", F.round("mean", 6).alias("mean_delay"), F.col("n").alias("trips"))
+
+
 @query("st3_zscore_alert_stream", osql("fx_dispatch", """
 , d AS (SELECT *, (epoch_us(actual_arrival) - epoch_us(expected_arrival)) / 60000000.0 AS delay FROM fx_dispatch),
 s AS (SELECT route_id, avg(delay) AS m, stddev_samp(delay) AS sd FROM d WHERE route_id IS NOT NULL GROUP BY route_id)
