@@ -47,7 +47,7 @@ from larder.llm.components import components
 WORDS = 5
 PERCENT = 80
 BLOCK = 1024        # nodes of a block of the last search
-SHARED_ROWS = 1_000_000  # shared prefix shingles (two numbers each) that are broadcast; beyond, a shuffle join
+BUCKET_KEYS = 1_000_000  # prefix shingles that are counted together in one task
 MERGE_COST = 0.1    # weighs merging against probing when lists are set aside
 LONG = 64           # nodes of an inverted list up to which it is merged
 SKETCH_BITS = 22    # the sketch has 4 million counters, at most 16 MB
@@ -60,7 +60,7 @@ class _Words(dict):
     """Hashes of the words that a Python worker has met."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 200_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -160,6 +160,50 @@ def _describe(sketch):
     return run
 
 
+def _packed(buckets: int):
+    """The distinct keys of a task and their counts, packed by bucket: eight bytes a key move, and four a count."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            bucket = ((keys.view(np.uint64) >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            keys, times, bucket = keys[order], times[order].astype("<i4"), bucket[order]
+            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[at[1:], len(keys)]
+            return pa.RecordBatch.from_arrays([
+                pa.array(bucket[at]), pa.array([keys[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()),
+                pa.array([times[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], names=["bucket", "keys", "times"])
+
+        for b in batches:
+            held.append(b.column("keys").flatten().to_numpy())
+            if sum(map(len, held)) > 2 * BUCKET_KEYS:
+                yield out()
+        if sum(map(len, held)):
+            yield out()
+    return run
+
+
+def _recount(group: pa.Table) -> pa.Table:
+    keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.int64)
+    times = np.frombuffer(b"".join(group.column("times").to_pylist()), "<i4")
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    total = np.add.reduceat(times[order].astype(np.int64), at)
+    return pa.table({"k": pa.array(keys[at][total > 1]), "m": pa.array(total[total > 1])})
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """k, m of the elements of ``keys`` that occur m > 1 times in all rows. A key that fills the
+    table takes one entry a task."""
+    n, sets = rows.agg(F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0)), F.count("*")).first()
+    buckets = 1 + (n * (100 - PERCENT) // 100 + sets) // BUCKET_KEYS  # a prefix is that share of a set, and one more
+    return rows.select("keys").mapInArrow(_packed(buckets), "bucket long, keys binary, times binary").groupBy("bucket").applyInArrow(_recount, "k long, m long")
+
+
 def divide_skip(lists: list[list[tuple[int, int]]], size: int, long_lists: int, below: int) -> list[int]:
     """Nodes under ``below`` that may share T prefix shingles with a node of ``size`` shingles.
 
@@ -300,10 +344,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     full = rows.filter("n > 0")
     nodes = saved(full.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n")), "nodes")
     copies = saved(full.select("row").join(nodes.select("node"), c("row") == c("node"), "left_anti").select(c("row").alias("copy")), "copies")
-    keys = full.select("row", "n", "keys").join(sided(copies), c("row") == c("copy"), "left_anti").select(c("row").alias("node"), "n", F.explode("keys").alias("key"))
-    # Only shingles in two prefixes or more matter, a small part of all; counting them first combines on the map side.
-    many = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("key", "k"), "many")
-    shared = saved(keys.join(sided(many, SHARED_ROWS), c("key") == c("k")).select("key", "node", "n", "m"), "shared")
+    own = full.select("row", "n", "keys").join(sided(copies), c("row") == c("copy"), "left_anti")
+    many = saved(_repeated(own), "many")  # only shingles in two prefixes or more matter, a small part of all
+    keys = own.select(c("row").alias("node"), "n", F.explode("keys").alias("key"))
+    shared = saved(keys.join(many, c("key") == c("k")).select("key", "node", "n", "m"), "shared")
     short, longs = shared.filter(c("m") <= LONG), shared.filter(c("m") > LONG)
     lists = short.groupBy(c("key").alias("k")).agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("sizes"))  # at most LONG each
     own_long = longs.groupBy(c("node").alias("q")).agg(F.count(F.lit(1)).alias("longs"))
