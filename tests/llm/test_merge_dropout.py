@@ -9,7 +9,7 @@ TEXTS = ["A line of words, and more words.\nNext line: internationalisation 42!"
 
 
 def test_without_dropout_it_is_the_library():
-    enc = M.Dropout(PATH, 1, 0.0, 1)
+    enc = M.Dropout(PATH, 1, 0.0)
     for t in TEXTS:
         assert enc(0, t).tolist() == enc.pieces.sp.encode(t)
 
@@ -18,10 +18,10 @@ def test_round_trip_and_seeds():
     for t in [*TEXTS, "literal ▁ mark ▁▁ and \x00 zero", "", " ", "\t\r\n"]:
         ids = {}
         for key in range(4):
-            enc = M.Dropout(PATH, key, 0.3, 4)
+            enc = M.Dropout(PATH, key, 0.3)
             ids[key] = enc(9, t).tolist()
             assert enc.pieces.decode(np.array(ids[key], np.int64)) == t
-            assert M.Dropout(PATH, key, 0.3, 4)(9, t).tolist() == ids[key]
+            assert M.Dropout(PATH, key, 0.3)(9, t).tolist() == ids[key]
         if len(t) > 60:
             assert len({tuple(x) for x in ids.values()}) > 1
 
@@ -53,7 +53,7 @@ def test_rows(spark):
 def test_each_occurrence_has_its_own_agenda():
     text = "internationalisation of 中文 words, " * 40 + "x" * 50
     for dropout in (0.1, 0.6):
-        enc = M.Dropout(PATH, 5, dropout, 4)
+        enc = M.Dropout(PATH, 5, dropout)
         units = enc._units(text)
         want = [enc.pieces.unit_ids(u, enc.limit, d) for u, d in zip(units, enc.draws_of(3, len(units)).tolist())]
         assert enc(3, text).tobytes() == b"".join(want)
@@ -62,7 +62,7 @@ def test_each_occurrence_has_its_own_agenda():
 
 def test_skip_rate_at_every_place_and_frequent_words_vary():
     for key in (1, 2):
-        enc = M.Dropout(PATH, key, 0.1, 4)
+        enc = M.Dropout(PATH, key, 0.1)
         draws = np.concatenate([enc.draws_of(d, 500) for d in range(40)])
         for start in range(12):
             for left, right in ((1, 1), (2, 1), (1, 3), (4, 2)):

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -28,34 +29,61 @@ def test_base_spans():
         assert S.base_spans(t) == plain_base(t)
 
 
-def slow_cost(v, ranks):
-    """Cheapest over all segmentations, each part costed on its own."""
-    def part(s):
-        low, out = s.lower(), [float(len(s))]
-        if low in ranks:
-            out.append(math.log10(ranks[low]) + (math.log10(2) if low != s else 0))
-        if S._date.fullmatch(low):
-            out.append(math.log10(365 * 120))
-        if len(s) >= 3 and len(set(low)) == 1:
-            out.append(math.log10(10 * len(s)))
-        if len(s) >= 3 and all(x in S.STEPS for x in zip(low, low[1:])):
-            out.append(math.log10(160 * len(s)))
-        return min(out)
-
-    best = math.inf
-    for n in range(len(v)):
-        for cuts in itertools.combinations(range(1, len(v)), n):
-            at = [0, *cuts, len(v)]
-            best = min(best, sum(part(v[a:b]) for a, b in zip(at, at[1:])) + n * math.log10(2))
-    return best
+def part_cost(s, ranks, blocks=True):
+    """One segment, by the cheapest of its kinds."""
+    low, out = s.lower(), [float(len(s))]
+    if low in ranks:
+        out.append(math.log10(ranks[low]) + (math.log10(2) if low != s else 0))
+    if any(re.fullmatch(d.pattern[4:-2], low) for d in S._dates):
+        out.append(math.log10(365 * 120))
+    if len(s) >= 3 and len(set(low)) == 1:
+        out.append(math.log10(10 * len(s)))
+    if len(s) >= 3 and all(x in S.STEPS for x in zip(low, low[1:])):
+        out.append(math.log10(160 * len(s)))
+    for p in range(2, min(24, len(s) // 2) + 1) if blocks else ():
+        unit = low[:p]
+        if len(s) % p == 0 and low == unit * (len(s) // p) and not any(p % q == 0 and unit == unit[:q] * (p // q) for q in range(1, p)):
+            out.append(slow_cost(unit, ranks, False) + math.log10(len(s) // p))
+    return min(out)
+
+
+def slow_cost(v, ranks, blocks=True):
+    """Cheapest over all segmentations: for each end, over all starts of the last segment."""
+    best = [0.0]
+    for j in range(1, len(v) + 1):
+        best.append(min(best[i] + (math.log10(2) if i else 0) + part_cost(v[i:j], ranks, blocks) for i in range(j)))
+    return best[-1]
+
+
+RANKS = {"the": 3, "pass": 40, "word": 50, "password": 20, "dragon": 900, "hello": 300, "were": 5, "ooo": 7, "haha": 60, "sas": 4}
 
 
 def test_guess_cost_is_the_cheapest_segmentation():
-    ranks = {"the": 3, "pass": 40, "word": 50, "password": 20, "dragon": 900}
     rng = random.Random(2)
-    for v in ["password", "Dragon", "aaaaaaa", "qwerty1", "19991231x", "2020zzz", "x7", *("".join(rng.choice(["the", "a", "9", "qwe", "zz", "1984", "Word", "#"]) for _ in range(3))[:9] for _ in range(60))]:
-        assert abs(S.guess_cost(v, ranks) - slow_cost(v, ranks)) < 1e-9, v
-    assert S.guess_cost("", ranks) == 0
+    for v in ["password", "Dragon", "aaaaaaa", "qwerty1", "19991231x", "2020zzz", "x7", "abcabcabcabc", "hahahahaha", "20201231", "AbaBabab9",
+              *("".join(rng.choice(["the", "a", "9", "qwe", "zz", "1984", "Word", "#"]) for _ in range(4)) for _ in range(60))]:
+        assert abs(S.guess_cost(v, RANKS) - slow_cost(v, RANKS)) < 1e-9, v
+    assert S.guess_cost("", RANKS) == 0
+
+
+def test_runs_of_any_length_are_the_cheapest():
+    rng = random.Random(3)
+    bits = ["hello", "ooo", "o" * 30, "xyz" * 12, "ab" * 15, "qwertyu" * 4, "asdf", "were" * 7, "sas" * 9, "were", "1999", "Q", "kj#", "abcdefghijklmnopqrstuvwxy" * 2]
+    for v in ["hello" + "o" * 30, "were" + "re" * 20, *("".join(rng.choice(bits) for _ in range(rng.randint(1, 4)))[:90] for _ in range(40))]:
+        assert abs(S.guess_cost(v, RANKS) - slow_cost(v, RANKS)) < 1e-9, v
+
+
+def test_very_long_values_take_linear_time():
+    ranks = S.Ranks(RANKS)
+    for unit in ("o", "ab", "qwertyuiop", "were", "kX9#mQ2$vL7!", "hello19991231"):
+        seconds = {}
+        for n in (50_000, 400_000):
+            v = unit * (n // len(unit))
+            t = time.process_time()
+            cost = S.guess_cost(v, ranks)
+            seconds[n] = time.process_time() - t
+            assert cost < 30
+        assert seconds[400_000] < 24 * seconds[50_000] + 1 and seconds[400_000] < 8, (unit, seconds)
 
 
 def test_context_values_and_redaction(spark):
