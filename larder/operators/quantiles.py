@@ -98,3 +98,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
             cols.append(F.when(F.floor(q) == F.ceil(q), low).otherwise((F.ceil(q) - q) * low + (q - F.floor(q)) * high).alias(name))
         out = out.unionByName(found.select(*cols))
     return out.drop("_all")
+
+
+def add_quantiles(grouped: DataFrame, rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """``grouped``, one row a key (or one row), with the quantiles of ``rows`` by name, rounded like every report."""
+    q = exact_quantiles(rows, keys, value, list(wanted.values()), list(wanted))
+    q = q.select(*keys, *[F.round(x, 6).alias(x) for x in wanted])
+    return grouped.join(q, keys, "left") if keys else grouped.join(F.broadcast(q), F.lit(True), "left")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from larder.functions import derive as D
 from larder.functions import semantics as S
+from larder.operators.quantiles import exact_quantiles
+from larder.operators.ranking import top_shares
 from larder.operators.report import report, with_share
 from larder.plans.oracle_views import osql
 from larder.plans.registry import query
@@ -179,11 +181,8 @@ SELECT round(sum(share) FILTER (WHERE rk <= 3), 6) AS top3_share_pct,
 def r33_b2b_depot_concentration(spark, sf_dir):
     """A20 shares and A21 top-k concentration, on the per-depot aggregate."""
     g = report(b2b_prepared(spark, sf_dir), "depot_id", [F.sum(Q).alias("units")])
-    g = with_share(g, "units", "share").withColumn(
-        "rk", F.row_number().over(Window.orderBy(c("units").desc(), c("depot_id"))))
-    top3 = F.sum(F.when(c("rk") <= 3, c("share")))
-    return g.agg(S.rnd(top3).alias("top3_share_pct"), S.rnd(F.sum(F.when(c("rk") <= 5, c("share")))).alias("top5_share_pct"),
-                 (top3 > 60).alias("concentration_alert"), F.count(F.lit(1)).alias("depots"))
+    top = top_shares(g, "units", "depot_id", [3, 5])
+    return top.select(S.rnd("top3").alias("top3_share_pct"), S.rnd("top5").alias("top5_share_pct"), (c("top3") > 60).alias("concentration_alert"), c("keys").alias("depots"))
 
 
 @query("r34_b2b_store_order_profile", _bsql("""
@@ -230,9 +229,9 @@ SELECT round(quantile_cont(quantity_sold, 0.1), 6) AS p10, round(quantile_cont(q
        round(quantile_cont(quantity_sold, 0.5), 6) AS p50, round(quantile_cont(quantity_sold, 0.75), 6) AS p75,
        round(quantile_cont(quantity_sold, 0.95), 6) AS p95 FROM b"""))
 def r38_b2b_order_size_percentiles(spark, sf_dir):
-    q = F.percentile(Q, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.95)]))
-    g = b2b_prepared(spark, sf_dir).agg(q.alias("_q"))
-    return g.select(*[S.rnd(c("_q")[i]).alias(n) for i, n in enumerate(["p10", "p25", "p50", "p75", "p95"])])
+    wanted = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    q = exact_quantiles(b2b_prepared(spark, sf_dir), [], Q, list(wanted.values()), list(wanted))
+    return q.select(*[S.rnd(n).alias(n) for n in wanted])
 
 
 @query("c34_b2b_depot_region", _bsql("""

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.functions import semantics as S
+from larder.operators.ranking import top_shares
 from larder.operators.report import report
 from larder.plans.b2b import _bsql, b2b_prepared
 from larder.plans.dispatch import DELAY, _dsql, dispatch_prepared
@@ -85,8 +86,7 @@ s AS (SELECT u * 100.0 / sum(u) OVER () AS p, row_number() OVER (ORDER BY u DESC
 SELECT round(sum(p) FILTER (WHERE r <= 3), 6) AS top3_pct, round(sum(p) FILTER (WHERE r <= 5), 6) AS top5_pct, round(sum(p) FILTER (WHERE r <= 10), 6) AS top10_pct FROM s"""))
     def run(spark, sf_dir):
         g = report(b2b_prepared(spark, sf_dir), key, [F.sum("quantity_sold").alias("u")])
-        s = g.select((c("u") * 100.0 / F.sum("u").over(Window.partitionBy())).alias("p"), F.row_number().over(Window.orderBy(c("u").desc(), key)).alias("r"))  # one row a key
-        return s.agg(*[S.rnd(F.sum(F.when(c("r") <= k, c("p")))).alias(f"top{k}_pct") for k in (3, 5, 10)])
+        return top_shares(g, "u", key, [3, 5, 10]).select(*[S.rnd(f"top{k}").alias(f"top{k}_pct") for k in (3, 5, 10)])
 
 
 _top_shares("r36_b2b_sku_top_shares", "sku")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import derive as D
 from larder.functions import semantics as S
+from larder.operators.quantiles import add_quantiles
 from larder.operators.report import report, with_share
 from larder.operators.windows import group_zscore, rolling_time_stats
 from larder.plans.oracle_views import osql
@@ -55,13 +56,12 @@ def _dsql(body: str) -> str:
 
 # --- R01: delay distribution by key (A04) -------------------------------------------------------
 def _delay_distribution(df, key):
-    return report(df, key, [
+    g = report(df, key, [
         F.count(DELAY).alias("delay_count"),
         S.rnd(F.avg(DELAY)).alias("delay_mean"),
-        S.rnd(F.median(DELAY)).alias("delay_median"),
         S.rnd(F.stddev_samp(DELAY)).alias("delay_std"),
-        S.rnd(F.percentile(DELAY, 0.95)).alias("delay_p95"),
     ])
+    return add_quantiles(g, df, [key], DELAY, {"delay_median": 0.5, "delay_p95": 0.95})
 
 
 def _r01_sql(key):
@@ -106,18 +106,19 @@ SELECT plant_id, count(dispatch_id) AS total_dispatches, CAST(sum(qty_dispatched
        round(avg(on_time) * 100, 6) AS on_time_pct
 FROM d WHERE plant_id IS NOT NULL GROUP BY plant_id"""))
 def r03_dispatch_by_plant(spark, sf_dir):
-    return report(dispatch_prepared(spark, sf_dir), "plant_id", [
+    df = dispatch_prepared(spark, sf_dir)
+    g = report(df, "plant_id", [
         F.count("dispatch_id").alias("total_dispatches"),
         F.sum("qty_dispatched").alias("total_qty"),
         S.rnd(F.avg("qty_dispatched")).alias("mean_qty_per_dispatch"),
         S.rnd(F.avg(DELAY)).alias("mean_delay_min"),
-        S.rnd(F.median(DELAY)).alias("median_delay_min"),
         S.rnd(F.avg("on_time")).alias("on_time_rate"),
         S.nunique("route_id").alias("unique_routes"),
         S.nunique("vehicle_id").alias("unique_vehicles"),
         S.nunique("retailer_id").alias("unique_retailers"),
         S.rnd(S.rate("on_time")).alias("on_time_pct"),
     ])
+    return add_quantiles(g, df, ["plant_id"], DELAY, {"median_delay_min": 0.5})
 
 
 @query("r04_dispatch_by_route", _dsql("""
@@ -302,7 +303,7 @@ FROM d"""))
 def r11_dispatch_overview(spark, sf_dir):
     df = dispatch_prepared(spark, sf_dir)
     n = F.count(F.lit(1))
-    return df.agg(
+    g = df.agg(
         F.sum("qty_dispatched").alias("total_qty"),
         S.rnd(F.avg("qty_dispatched")).alias("mean_qty"),
         n.alias("events"),
@@ -315,12 +316,11 @@ def r11_dispatch_overview(spark, sf_dir):
         S.rnd(S.ratio(n, S.nunique("retailer_id"))).alias("deliveries_per_retailer"),
         S.nunique("sku").alias("skus"),
         S.rnd(F.avg(DELAY)).alias("mean_delay"),
-        S.rnd(F.median(DELAY)).alias("median_delay"),
-        S.rnd(F.percentile(DELAY, 0.95)).alias("p95_delay"),
         S.rnd(S.rate("on_time")).alias("on_time_pct"),
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
     )
+    return add_quantiles(g, df, [], DELAY, {"median_delay": 0.5, "p95_delay": 0.95})
 
 
 @query("r11_dispatch_plant_share", _dsql("""

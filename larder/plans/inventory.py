@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from larder.functions import derive as D
 from larder.functions import semantics as S
+from larder.operators.quantiles import add_quantiles, exact_quantiles
+from larder.operators.ranking import with_rank
 from larder.operators.report import report, with_share
 from larder.plans.oracle_views import osql
 from larder.plans.registry import query
@@ -143,12 +145,12 @@ SELECT count(*) AS records, count(DISTINCT sku) AS skus, count(DISTINCT plant_id
 FROM inv2"""))
 def r45_inv_overview(spark, sf_dir):
     df = inventory_prepared(spark, sf_dir)
-    return df.agg(
+    g = df.agg(
         F.count(F.lit(1)).alias("records"), S.nunique("sku").alias("skus"), S.nunique("plant_id").alias("plants"),
         S.nunique("store_id").alias("stores"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"),
         S.sum0("qty_in").alias("total_qty_in"), S.sum0("qty_out").alias("total_qty_out"),
-        S.sum0("net_movement").alias("net_movement"), S.rnd(F.avg("balance_after")).alias("avg_balance"),
-        S.rnd(F.median("balance_after")).alias("median_balance"))
+        S.sum0("net_movement").alias("net_movement"), S.rnd(F.avg("balance_after")).alias("avg_balance"))
+    return add_quantiles(g, df, [], "balance_after", {"median_balance": 0.5})
 
 
 @query("r45_inv_movement_mix", _isql("""
@@ -224,12 +226,12 @@ def r48_inv_sku_turnover(spark, sf_dir):
         S.sum0("net_movement").alias("net_movement"), F.count("record_id").alias("movements"),
         S.last_nonnull("balance_after", "timestamp", "record_id", "balance_after").alias("latest_balance")])
     turnover = S.ratio("qty_out", c("qty_in") + 1)
-    return g.select(
+    g = g.select(
         "sku", "qty_in", "qty_out", "net_movement", "movements", "latest_balance",
         S.rnd(turnover).alias("turnover_ratio"),
         # compound predicate.
-        ((c("latest_balance") > 1000) & (turnover < 0.5)).alias("slow_moving"),
-        F.row_number().over(Window.orderBy(c("latest_balance").desc(), c("sku"))).alias("balance_rank"))
+        ((c("latest_balance") > 1000) & (turnover < 0.5)).alias("slow_moving"))
+    return with_rank(g, [c("latest_balance").desc(), c("sku")], "balance_rank")
 
 
 @query("r49_inv_expiry_days", _isql("""
@@ -241,13 +243,10 @@ SELECT count(days_to_expiry) AS n, count(*) FILTER (WHERE expired_flag) AS expir
 FROM inv2"""))
 def r49_inv_expiry_days(spark, sf_dir):
     df = inventory_prepared(spark, sf_dir)
-    q = F.percentile("days_to_expiry", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     g = df.agg(F.count("days_to_expiry").alias("n"), F.count_if("expired_flag").alias("expired"),
-               S.rnd(S.rate(c("expired_flag").cast("int"))).alias("expired_pct"), q.alias("_q"),
+               S.rnd(S.rate(c("expired_flag").cast("int"))).alias("expired_pct"),
                F.min("days_to_expiry").alias("min_days"), F.max("days_to_expiry").alias("max_days"))
-    return g.select("n", "expired", "expired_pct",
-                    *[S.rnd(c("_q")[i]).alias(n) for i, n in enumerate(["p10", "p25", "p50", "p75", "p90"])],
-                    "min_days", "max_days")
+    return add_quantiles(g, df, [], "days_to_expiry", {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
 
 
 @query("r49_inv_expired_by_type", _isql("""
@@ -335,7 +334,7 @@ SELECT count(*) AS rows_kept, round(avg(balance_after), 6) AS mean_balance, min(
 FROM inv2, q WHERE balance_after BETWEEN lo AND hi"""))
 def f12_inv_balance_trimmed(spark, sf_dir):
     df = inventory_prepared(spark, sf_dir)
-    q = df.agg(F.percentile("balance_after", F.array(F.lit(0.01), F.lit(0.99))).alias("_q"))
-    kept = df.crossJoin(F.broadcast(q)).where(c("balance_after").between(c("_q")[0], c("_q")[1]))
+    q = exact_quantiles(df, [], "balance_after", [0.01, 0.99], ["_lo", "_hi"])  # one row
+    kept = df.crossJoin(F.broadcast(q)).where(c("balance_after").between(c("_lo"), c("_hi")))
     return kept.agg(F.count(F.lit(1)).alias("rows_kept"), S.rnd(F.avg("balance_after")).alias("mean_balance"),
                     F.min("balance_after").alias("min_balance"), F.max("balance_after").alias("max_balance"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import semantics as S
+from larder.operators.quantiles import add_quantiles
 from larder.operators.report import report, with_share
 from larder.plans.oracle_views import osql
 from larder.plans.registry import query
@@ -108,9 +109,9 @@ FROM prod"""))
 def r59_prod_overview(spark, sf_dir):
     df = production_prepared(spark, sf_dir)
     n = F.count(F.lit(1))
-    return df.agg(
+    g = df.agg(
         n.alias("batches"), S.sum0(Q).alias("total_units"), S.rnd(F.avg(Q)).alias("mean_units"),
-        S.rnd(F.median(Q)).alias("median_units"), F.min(Q).alias("min_units"), F.max(Q).alias("max_units"),
+        F.min(Q).alias("min_units"), F.max(Q).alias("max_units"),
         # Rows whose batch id was already seen = rows - distinct ids (NULL counts as a value in pandas;
         # batch ids are never NULL here).
         (n - F.countDistinct("batch_id")).alias("duplicate_batch_ids"),
@@ -120,6 +121,7 @@ def r59_prod_overview(spark, sf_dir):
         S.rnd(S.pct(F.sum("total_defects"), F.sum(Q))).alias("defect_rate_pct"),
         F.count_if(c("timestamp").isNull()).alias("missing_timestamp"),
         F.count_if(c("line_id").isNull()).alias("missing_line"))
+    return add_quantiles(g, df, [], Q, {"median_units": 0.5})
 
 
 @query("r59_prod_plant_share", _psql(f"""

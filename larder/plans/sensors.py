@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import semantics as S
+from larder.operators.quantiles import add_quantiles
 from larder.operators.report import report, unpivot_metrics
 from larder.operators.stats import box_stats, histogram
 from larder.plans.oracle_views import osql
@@ -53,10 +54,12 @@ SELECT count(*) AS rows, round(avg(metric_value), 6) AS mean, round(median(metri
        round(stddev_samp(metric_value), 6) AS std, min(metric_value) AS min, max(metric_value) AS max,
        count(DISTINCT equipment_id) AS equipment, count(DISTINCT metric_name) AS metrics FROM fx_sensors"""))
 def r90_sensors_overview(spark, sf_dir):
-    return fx_sensors(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("rows"), S.rnd(F.avg(V)).alias("mean"), S.rnd(F.median(V)).alias("median"),
+    df = fx_sensors(spark, sf_dir)
+    g = df.agg(
+        F.count(F.lit(1)).alias("rows"), S.rnd(F.avg(V)).alias("mean"),
         S.rnd(F.stddev_samp(V)).alias("std"), F.min(V).alias("min"), F.max(V).alias("max"),
         S.nunique("equipment_id").alias("equipment"), S.nunique("metric_name").alias("metrics"))
+    return add_quantiles(g, df, [], V, {"median": 0.5})
 
 
 @query("r90_sensors_top_metrics", _ssql("""

@@ -77,3 +77,16 @@ def test_no_task_holds_a_hot_key(spark):
         Q.written = written
     v = np.sort(np.arange(1_000_000) * 7919 % 1_000_003)
     assert r["m"] == (v[499_999] + v[500_000]) / 2 and max(seen) <= 4
+
+
+def test_ranks_and_shares_without_a_window_over_all(spark):
+    from larder.operators.ranking import top_shares, with_rank
+
+    df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 613).cast("double").alias("v")).repartition(5)
+    got = {r["k"]: r["place"] for r in with_rank(df, [F.col("v").desc(), F.col("k")], "place").collect()}
+    want = sorted(range(5000), key=lambda k: (-(k * 7919 % 613), k))
+    assert got == {k: i for i, k in enumerate(want, 1)}
+    assert with_rank(df.limit(0), [F.col("k")], "place").count() == 0
+    v = [k * 7919 % 613 for k in want]
+    r = top_shares(df, "v", "k", [1, 40]).first()
+    assert r["keys"] == 5000 and abs(r["top1"] - 100 * v[0] / sum(v)) < 1e-9 and abs(r["top40"] - 100 * sum(v[:40]) / sum(v)) < 1e-9
