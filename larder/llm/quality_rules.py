@@ -4,8 +4,10 @@ Per document: word and symbol counts, repeated lines, words in repeated 5-word w
 and the base rule (too few words, or over 20 % of the words repeated). Per host: how many
 of its documents fail, shrunk towards the rate of all hosts by a beta prior whose two
 parameters come from the mean and variance of the host rates (moments, weighted by
-documents). A host whose shrunk rate passes ``max_rate`` is rejected: its documents that
-fail a soft rule go too; its clean documents stay.
+documents). A host is rejected if its rate is credibly worse than that of all hosts: the
+posterior's mean less ``SURE`` standard deviations exceeds ``WORSE`` times the pooled rate.
+So a small host needs more evidence than a large one, and a difference that is sure but slight
+rejects none. Documents of a rejected host that fail a soft rule go too; its clean documents stay.
 
 Defined results: a null text has no words (base rule fails); a null host is a host of its
 own; repeated rows count as often as they occur; an empty table gives no rows; other
@@ -22,6 +24,7 @@ from larder.llm.common import saved
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 SPAN = 5
+SURE, WORSE = 3.0, 1.5
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -61,8 +64,8 @@ def soft_failed() -> Column:
     return (20 * c("n_symbols") > c("word_chars")) | (c("n_dup_lines") >= 3) | (100 * c("n_repeat_words") > 10 * c("n_words"))
 
 
-def host_verdicts(rules: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """host, host_documents, host_failed, host_rate (shrunk), host_rejected."""
+def host_verdicts(rules: DataFrame, sure: float = SURE, worse: float = WORSE) -> DataFrame:
+    """host, host_documents, host_failed, host_rate (shrunk), host_rate_low (its credible bound), host_rejected."""
     c = F.col
     hosts = rules.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"), F.sum(c("base_failed").cast("long")).alias("host_failed"))
     rate = c("host_failed") / c("host_documents")
@@ -71,19 +74,21 @@ def host_verdicts(rules: DataFrame, max_rate: float = 0.5) -> DataFrame:
     mean, var = c("f") / c("n"), F.greatest(c("s2") / c("n") - F.pow(c("f") / c("n"), F.lit(2)), F.lit(0.0))
     # Moments of a beta: a + b = mean (1 - mean) / var - 1. Without spread between hosts the prior weighs most.
     weight = F.when(var > 1e-9, F.least(F.greatest(mean * (1 - mean) / var - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
-    prior = m.select((mean * weight).alias("a"), ((1 - mean) * weight).alias("b"))
-    shrunk = (c("host_failed") + c("a")) / (c("host_documents") + c("a") + c("b"))
+    prior = m.select(mean.alias("mean"), weight.alias("weight"))
+    shrunk = (c("host_failed") + c("mean") * c("weight")) / (c("host_documents") + c("weight"))
+    spread = F.sqrt(c("host_rate") * (1 - c("host_rate")) / (c("host_documents") + c("weight") + 1))
     return (hosts.join(F.broadcast(prior))  # one row
-            .select("host", "host_documents", "host_failed", shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_rejected")))
+            .withColumn("host_rate", shrunk).withColumn("host_rate_low", c("host_rate") - sure * spread)
+            .select("host", "host_documents", "host_failed", "host_rate", "host_rate_low", (c("host_rate_low") > worse * c("mean")).alias("host_rejected")))
 
 
-def quality_verdicts(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def quality_verdicts(docs: DataFrame, host: str = "source", sure: float = SURE, worse: float = WORSE) -> DataFrame:
     """Rules of each document with its host's verdict and ``kept``.
 
     The rules are computed once and written (a few numbers a document); the hosts are
     aggregated from that table and joined back to it, without the texts.
     """
     rules = saved(document_rules(docs, host), "quality")
-    v = host_verdicts(rules, max_rate).withColumnRenamed("host", "h")
+    v = host_verdicts(rules, sure, worse).withColumnRenamed("host", "h")
     d = rules.join(v, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     return d.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rejected") & soft_failed()))

@@ -107,7 +107,7 @@ def repeated_words(doc_id: int | None, text: bytes) -> list[bytes]:
     return words
 
 
-@query("op11_periodic_runs")
+@query("op11_periodic_runs", sql.PERIODIC_RUNS)
 def op11_periodic_runs(spark, sf_dir):
     c = F.col
     more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
@@ -141,6 +141,6 @@ def dropped_letters(doc_id: int | None) -> Callable[[bytes], bytes]:
     return word
 
 
-@query("op13_spelling")
+@query("op13_spelling", sql.SPELLING)
 def op13_spelling(spark, sf_dir):
     return spelling.spelling_groups(spelling.vocabulary(documents(spark, sf_dir), dropped_letters, shortest=5, fewest=3))

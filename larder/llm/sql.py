@@ -34,10 +34,11 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 hosts AS (SELECT host, count(*) AS k, CAST(sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS DOUBLE) AS b FROM f GROUP BY host),
 t AS (SELECT sum(b) / sum(k) AS mean, greatest(sum(k * (b / k) * (b / k)) / sum(k) - (sum(b) / sum(k)) * (sum(b) / sum(k)), 0) AS var FROM hosts),
 prior AS (SELECT mean, CASE WHEN var > 1e-9 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1e6) ELSE 1e6 END AS weight FROM t),
-v AS (SELECT host, (b + mean * weight) / (k + weight) AS host_rate FROM hosts, prior)
+u AS (SELECT host, k, mean, weight, (b + mean * weight) / (k + weight) AS host_rate FROM hosts, prior),
+v AS (SELECT host, host_rate, host_rate - 3 * sqrt(host_rate * (1 - host_rate) / (k + weight + 1)) > 1.5 * mean AS host_rejected FROM u)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (host_rate > 0.5 AND (20 * n_symbols > word_chars OR n_dup_lines >= 3 OR 100 * n_repeat_words > 10 * n_words)) AS kept,
-       f.host, round(host_rate, 6) AS host_rate, host_rate > 0.5 AS host_rejected
+       NOT base_failed AND NOT (host_rejected AND (20 * n_symbols > word_chars OR n_dup_lines >= 3 OR 100 * n_repeat_words > 10 * n_words)) AS kept,
+       f.host, round(host_rate, 6) AS host_rate, host_rejected
 FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host"""
 
 QUOTATION = r"""
@@ -58,3 +59,60 @@ path AS (SELECT conv_id, turn, reply_to, n_quotes, [turn] AS key FROM reply WHER
 bodies AS (SELECT r, m.conv_id, m.turn, role, trim(regexp_replace(array_to_string(list_filter(lines, lambda x: NOT x LIKE '>%'), chr(10)), '^\n+|\n+$', '', 'g')) AS body FROM m)
 SELECT b.conv_id, row_number() OVER (PARTITION BY b.conv_id ORDER BY p.key, b.role, b.body) - 1 AS position, b.turn, b.role, b.body, p.reply_to, p.n_quotes
 FROM bodies b JOIN path p ON p.conv_id = b.conv_id AND p.turn = b.turn"""
+
+# crc32 by the nibbles of its bytes, from the table of the 16 remainders of the reversed polynomial.
+_CRC_TABLE = r"""tab AS (
+  SELECT list(r ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS r
+    FROM (SELECT CAST(unnest(range(16)) AS BIGINT) AS i) n) q)"""
+
+
+def _nibbles(text: str) -> str:
+    return f"""list_transform(string_split(hex(encode({text})), ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT))"""
+
+
+def _crc(x: str) -> str:
+    """Of a list of nibbles, high before low; the table is column ``t``."""
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len({x})), lambda i: {x}[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END])),"
+            " lambda c, n: xor(c >> 4, t[(xor(c, n) & 15) + 1])), 4294967295)")
+
+
+SPELLING = "WITH RECURSIVE " + _CRC_TABLE + r""",
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM runs GROUP BY 1, 2),
+hashed AS (SELECT doc_id, run, k, """ + _crc("x") + """ AS h FROM (SELECT *, """ + _nibbles("concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run)") + r""" AS x FROM counted) c, tab),
+spelt AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS BIGINT)), substr(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word, k FROM hashed),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+less AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS z FROM cut),
+near AS (
+  SELECT a.word AS a, b.word AS b, b.n AS n FROM less a JOIN less b ON a.z = b.z AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, v.word, v.n FROM less l JOIN v ON l.z = v.word
+  UNION SELECT v.word, l.word, l.n FROM less l JOIN v ON l.z = v.word),
+best AS (SELECT a, count(*) AS n_near, max(n) AS top FROM near GROUP BY a),
+pick AS (SELECT near.a, min(b) AS b FROM near JOIN best ON near.a = best.a AND near.n = top GROUP BY near.a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN pick.b END AS form, CASE WHEN top >= 2 * v.n THEN top END AS form_n
+      FROM v LEFT JOIN best ON best.a = v.word LEFT JOIN pick ON pick.a = v.word),
+chain AS (SELECT word, word AS here, 0 AS steps FROM f UNION ALL SELECT chain.word, f.form, steps + 1 FROM chain JOIN f ON f.word = chain.here WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, steps) AS root FROM chain GROUP BY word)
+SELECT f.word, n, CAST(n_near AS BIGINT) AS n_near, form, CAST(form_n AS BIGINT) AS form_n, root FROM f JOIN ends ON ends.word = f.word"""
+
+PERIODIC_RUNS = "WITH " + _CRC_TABLE + r""",
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             """ + _nibbles("coalesce(CAST(doc_id AS VARCHAR), '')") + """ AS x FROM documents),
+h AS (SELECT r, doc_id, w, len(w) AS n, CASE WHEN len(x) > 0 THEN """ + _crc("x") + r""" ELSE 0 END AS h FROM d, tab),
+a AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+ws AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+t AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS x FROM ws),
+eq AS (SELECT a.r, b.i - a.i AS q, a.i FROM t a JOIN t b ON a.r = b.r AND a.x = b.x AND b.i > a.i WHERE b.i - a.i <= a.n // 4),
+land AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM eq),
+st AS (SELECT r, q, min(i) AS s, max(i) + 1 + q AS e FROM land GROUP BY r, q, k HAVING max(i) + 1 + q - min(i) >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM st o WHERE o.r = st.r AND o.q < st.q AND st.q % o.q = 0 AND o.s <= st.s AND o.e >= st.e)),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(concat(CAST(s AS VARCHAR), ',', CAST(e - s AS VARCHAR), ',', CAST(q AS VARCHAR), chr(10)), '' ORDER BY s, q) AS l FROM runs GROUP BY r),
+best AS (SELECT r, s, e - s AS k, q FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(e - s AS DOUBLE) / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, e)) AS i FROM runs),
+kept AS (SELECT t.r, string_agg(x, ' ' ORDER BY t.i) AS l FROM t LEFT JOIN gone ON gone.r = t.r AND gone.i = t.i WHERE gone.i IS NULL GROUP BY t.r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(k AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+       CAST(1000 * k // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed.l, '')) AS runs_sha256, sha256(coalesce(kept.l, '')) AS collapsed_sha256, CAST(n AS INT) AS n_words
+FROM ws LEFT JOIN listed ON listed.r = ws.r LEFT JOIN best ON best.r = ws.r LEFT JOIN kept ON kept.r = ws.r"""

@@ -51,6 +51,22 @@ def test_host_rates_shrink_and_reject(spark):
     assert by[100]["kept"] and not by[101]["kept"] and by[102]["kept"] and by[200]["kept"] and not by[400]["kept"]
 
 
+def test_the_prior_decides(spark, tmp_path):
+    """Hosts of the query that fail at 0.2, 0.6 and 0.9: the sure ones are rejected, the small one of the same rate is not."""
+    from larder.llm.queries import QUERIES
+
+    clean, odd = (lambda i: " ".join(f"word{i}_{j}" for j in range(30))), " ".join(f"w{i}#*$" for i in range(40))
+    rows = []
+    for h, n, bad in (("usual", 3000, 300), ("a", 500, 100), ("b", 300, 180), ("c", 5, 3)):
+        rows += [(h, "few words") if i < bad else (h, clean(i)) for i in range(n)] + [(h, odd)]
+    spark.createDataFrame([(i, t, "en", h, len(t)) for i, (h, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op7_host_quality"](spark, str(tmp_path)).collect()
+    rejected = {g["host"]: g["host_rejected"] for g in got}
+    assert rejected == {"usual": False, "a": False, "b": True, "c": False}
+    assert {g["host"]: g["kept"] for g in got if g["n_symbols"] > 50} == {"usual": True, "a": True, "b": False, "c": True}
+    assert all(g["kept"] for g in got if not g["base_failed"] and g["n_symbols"] == 0)
+
+
 def test_empty_table(spark):
     assert Q.quality_verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
 
