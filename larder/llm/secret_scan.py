@@ -2,7 +2,8 @@
 
 The cost of a value is that of its cheapest segmentation into dictionary words, dates,
 repeats, keyboard walks and brute-force spans, found by dynamic programming over its
-positions (cost: log10 of the guesses). A value behind a credential word whose cost
+positions (cost: log10 of the guesses). It takes time in proportion to the value's length:
+one automaton finds the words, and open repeats and walks are carried along. A value behind a credential word whose cost
 reaches ``MIN_COST`` adds a span of kind ``guess``, unless a span of the fixed patterns
 already covers part of it; placeholders such as plain words stay below that cost.
 
@@ -17,7 +18,9 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log10
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,7 +42,8 @@ _access = re.compile(ACCESS)
 _hex = re.compile(f"[0-9a-f]{{{MIN_HEX},}}")  # a run of 24 or more starts where a run starts
 _context = re.compile(CONTEXT, re.I | re.A)
 _rows = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-_date = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
+_dates = tuple(re.compile(f"(?=({d}))") for d in (
+    r"(?:19|20)\d\d", r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d"))
 
 
 def _steps() -> set[tuple[str, str]]:
@@ -53,11 +57,31 @@ def _steps() -> set[tuple[str, str]]:
 
 
 STEPS = _steps()
+JOIN, DATE, WALK = math.log10(2), math.log10(365 * 120), math.log10(160)
+UNIT = 24  # characters of a repeated unit, at most
+
+
+class Ranks(dict):
+    """Ranks of words (lower is more frequent), and the automaton that finds them in a value."""
+
+    def __init__(self, ranks: dict[str, int]):
+        import ahocorasick
+
+        super().__init__(ranks)
+        self.finder = ahocorasick.Automaton()
+        for w, r in ranks.items():
+            self.finder.add_word(w, (len(w), math.log10(r)))
+        if ranks:
+            self.finder.make_automaton()
+
+    def words(self, low: str) -> Iterator[tuple[int, tuple[int, float]]]:
+        """The words in ``low`` by the place of their last character, with length and cost."""
+        return iter(self.finder.iter(low)) if self else iter(())
 
 
 @lru_cache(maxsize=2)
-def word_ranks(path: str) -> dict[str, int]:
-    """Ranks of the words of a public vocabulary file, by id: lower is more frequent."""
+def word_ranks(path: str) -> Ranks:
+    """Ranks of the words of a public vocabulary file, by id."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words = sorted((i, w.removesuffix("</w>")) for w, i in vocab.items() if w.endswith("</w>"))
@@ -65,47 +89,119 @@ def word_ranks(path: str) -> dict[str, int]:
     for _, w in words:
         if len(w) >= 3 and w.isalpha():
             out.setdefault(w, len(out) + 1)
+    return Ranks(out)
+
+
+class Open:
+    """Segments of one run that may still end anywhere: the starts worth keeping, and the cheapest.
+
+    A segment from i to j costs its start's cost plus log10 of its length in ``unit``. Of two
+    starts the earlier one gains on the later as j grows, so a later start that is no better
+    when it comes, or no longer better, never is again.
+    """
+
+    def __init__(self, unit: int):
+        self.unit, self.kept = unit, []
+
+    def best(self, j: int, start: int, cost: float) -> float:
+        """The cheapest segment that ends at ``j``; ``start``, which costs ``cost``, is new."""
+        kept, least, unit, at = self.kept, math.inf, self.unit, 0
+        for i, c in kept:
+            here = c + log10((j - i) / unit)
+            if here < least:
+                least = here
+                at += 1
+            else:  # an earlier start has caught up
+                del kept[at]
+                return self.best(j, start, cost)
+        here = cost + log10((j - start) / unit)
+        if here < least:
+            kept.append((start, cost))
+            return here
+        return least
+
+
+def _periodic(low: str) -> dict[int, list[tuple[int, int]]]:
+    """Stretches of two periods or more of a unit of 2 to UNIT characters: start -> (end, unit).
+    Those whose unit is itself a repeat are left out."""
+    codes, out = np.frombuffer(low.encode("utf-32-le"), "<u4"), {}
+    for p in range(2, min(UNIT, len(low) // 2) + 1):
+        same = np.flatnonzero(codes[p:] == codes[:-p])
+        if len(same) < p:
+            continue
+        cut = np.flatnonzero(np.diff(same) > 1)
+        first, last = same[np.r_[0, cut + 1]], same[np.r_[cut, len(same) - 1]]
+        for a, b in zip(first.tolist(), (last + 1).tolist()):
+            unit = low[a:a + p]
+            if b - a >= p and (unit + unit).find(unit, 1) == p:
+                out.setdefault(a, []).append((b + p, p))
     return out
 
 
-def guess_cost(value: str, ranks: dict[str, int], longest: int = 24) -> float:
+def guess_cost(value: str, ranks: dict[str, int], blocks: bool = True) -> float:
     """log10 of the guesses of the cheapest segmentation of ``value``; 0 for an empty one.
 
     A segment costs: a word log10(rank), with capitals log10(2) more; a date log10(365 * 120);
-    a repeated character log10(10 * its length); a keyboard walk log10(40 * 4 * its length);
+    a character repeated three times or more log10(10 * times); a unit of 2 to ``UNIT`` characters,
+    itself no repeat, that comes twice or more the unit's own cost (in lower case, without such
+    units) plus log10(times); a keyboard walk of three keys or more log10(40 * 4 * its length);
     anything else 1 for each character. Each further segment costs log10(2).
     """
+    if not isinstance(ranks, Ranks):
+        ranks = Ranks(ranks)
     n = len(value)
     low = value.lower()
     if len(low) != n:
         low = value
-    best = [0.0] + [math.inf] * n
-    join = math.log10(2)
-    brute = [math.inf] * (n + 1)  # cheapest with a brute-force segment that ends here
-    runs = walks = 1
+    words = ranks.words(low)
+    ahead = next(words, None)
     dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if (m := _date.match(low, i)):
-            dates.setdefault(m.end(), []).append(i)
+    for d in _dates:
+        for m in d.finditer(low):
+            dates.setdefault(m.end(1), []).append(m.start())
+    repeats = _periodic(low) if blocks and n >= 4 else {}
+    units: dict[str, float] = {}
+    stretches: list[tuple[int, int, int, list[Open]]] = []  # that the scan is in: start, end, unit, segments by phase
+    start = [0.0] * (n + 1)  # cost of what lies before a segment that starts here
+    best, brute = 0.0, math.inf  # of a segmentation that ends here; of one that ends in a brute-force segment
+    run = walk = None
+    run_at = walk_at = 0  # where the run of one character, and the walk, begin
     for j in range(1, n + 1):
-        start = best[j - 1] + (join if j > 1 else 0)
-        brute[j] = min(brute[j - 1], start) + 1.0
-        cost = brute[j]
-        if j > 1:
-            runs = runs + 1 if low[j - 1] == low[j - 2] else 1
-            walks = walks + 1 if (low[j - 2], low[j - 1]) in STEPS else 1
-        for k in range(3, runs + 1):
-            cost = min(cost, best[j - k] + (join if j > k else 0) + math.log10(10 * k)) if k == runs or k <= longest else cost
-        for k in range(3, walks + 1):
-            cost = min(cost, best[j - k] + (join if j > k else 0) + math.log10(160 * k)) if k == walks or k <= longest else cost
+        best = brute = min(brute, start[j - 1]) + 1.0
+        if j > 1 and low[j - 1] != low[j - 2]:
+            run, run_at = None, j - 1
+        if j - run_at >= 3:
+            run = run or Open(1)
+            cost = run.best(j, j - 3, start[j - 3] + 1.0)
+            if cost < best:
+                best = cost
+        if j > 1 and (low[j - 2], low[j - 1]) not in STEPS:
+            walk, walk_at = None, j - 1
+        if j - walk_at >= 3:
+            walk = walk or Open(1)
+            cost = walk.best(j, j - 3, start[j - 3] + WALK)
+            if cost < best:
+                best = cost
+        if repeats or stretches:
+            stretches = [x for x in stretches if j <= x[1]]
+            stretches += [(j - 1, b, p, [Open(p) for _ in range(p)]) for b, p in repeats.pop(j - 1, ())]
+            for a, _, p, phases in stretches:
+                if j - a >= 2 * p:
+                    i = j - 2 * p
+                    unit = low[i:i + p]
+                    if unit not in units:
+                        units[unit] = guess_cost(unit, ranks, False)
+                    best = min(best, phases[j % p].best(j, i, start[i] + units[unit]))
         for i in dates.get(j, ()):
-            cost = min(cost, best[i] + (join if i else 0) + math.log10(365 * 120))
-        for i in range(max(0, j - longest), j - 2):
-            if (r := ranks.get(low[i:j])) is not None:
-                caps = join if value[i:j] != low[i:j] else 0
-                cost = min(cost, best[i] + (join if i else 0) + math.log10(r) + caps)
-        best[j] = cost
-    return best[n]
+            best = min(best, start[i] + DATE)
+        while ahead is not None and ahead[0] == j - 1:
+            size, cost = ahead[1]
+            cost += start[j - size]
+            if cost < best:
+                best = min(best, cost + (JOIN if value[j - size:j] != low[j - size:j] else 0))
+            ahead = next(words, None)
+        start[j] = best + JOIN
+    return best
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
