@@ -7,13 +7,15 @@ a text in one pass; hits whose windows overlap are merged, and Myers' bit-parall
 over the merged window finds the best end, then, run backwards, its start.
 
 Texts are compared in lower case with white space as spaces; offsets are code points of the
-text as given. The items go to the tasks in blocks of at most about ``BLOCK_CHARS``
-characters, however many there are.
+text as given. Items shorter than ``MIN_CHARS`` characters are found without edits, and as
+whole words only: where no letter or digit touches them.
 
-Defined results: null and empty texts match nothing; an item that is null or shorter than
-``MIN_CHARS`` characters is no evidence of a leak and matches nothing; items that repeat a
-text each match; a row that repeats a doc_id gives its own rows; an empty table on either
-side gives no rows; other columns are ignored.
+The distinct texts of the items go to the tasks in blocks of at most about ``BLOCK_CHARS``
+characters, however many there are; items that share a text are joined to its hits afterwards.
+
+Defined results: null and empty texts match nothing, nor do null and blank items; items that
+repeat a text each match; a row that repeats a doc_id gives its own rows; an empty table on
+either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from larder.llm.common import hold_alone
 
 MIN_CHARS = 20
 BLOCK_CHARS = 4_000_000
-ROWS = "doc_id long, item_id long, distance int, start int, end int"
+ROWS = "doc_id long, item string, distance int, start int, end int"  # item: hash of its text
+SLICE = 128  # texts that are Python objects at a time
 
 _white = re.compile(r"\s")
 
@@ -84,7 +87,7 @@ def myers(eq: dict[str, int], m: int, text: str, anchored: bool = False) -> tupl
 class Matcher:
     """Items of one block, ready to be searched in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | str, str]], rate: float):
         import ahocorasick
 
         self.auto, self.items = ahocorasick.Automaton(), []
@@ -92,8 +95,10 @@ class Matcher:
         for item_id, text in items:
             t = plain(text or "")
             if len(t) < MIN_CHARS:
-                continue
-            k = int(len(t) * rate)
+                t = t.strip()
+                if not t:
+                    continue
+            k = int(len(t) * rate) if len(t) >= MIN_CHARS else 0
             self.items.append((item_id, len(t), k, masks(t), masks(t[::-1])))
             for at, p in pieces(t, k):
                 found.setdefault(p, []).append((len(self.items) - 1, at + len(p)))
@@ -102,7 +107,7 @@ class Matcher:
         if found:
             self.auto.make_automaton()
 
-    def __call__(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def __call__(self, text: str | None) -> list[tuple[int | str, int, int, int]]:
         """(item_id, distance, start, end) of the best occurrence of each item, by item_id."""
         if not text or not self.items:
             return []
@@ -114,6 +119,11 @@ class Matcher:
         out = []
         for i, at in starts.items():
             item_id, m, k, eq, back = self.items[i]
+            if m < MIN_CHARS:
+                own = [s for s in at if not t[max(0, s - 1):s].isalnum() and not t[s + m:s + m + 1].isalnum()]
+                if own:
+                    out.append((item_id, 0, min(own), min(own) + m))
+                continue
             spans: list[list[int]] = []
             for s in sorted(at):
                 a, b = max(0, s - k), min(len(t), s + m + k)
@@ -145,35 +155,44 @@ def _matcher(block, rate: float) -> Matcher:
     return _MATCHERS[2]
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item, item_id, text of the items with any text; equal texts have equal ``item``."""
+    return (benchmark.select(F.md5("text").alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+            .filter(F.col("text").rlike(r"\S")))
+
+
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list:
-    """Broadcasts of the items, each of about ``block_chars`` characters or of one item."""
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter(F.length("text") >= MIN_CHARS)
+    """Broadcasts of the distinct item texts, each of about ``block_chars`` characters or of one text."""
+    b = _items(benchmark).groupBy("item").agg(F.first("text").alias("text"))
     n = b.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-int(n) // block_chars)
     out = []
     for i in range(blocks):
-        rows = b.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows]))
+        rows = b.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i).collect()
+        out.append(benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in rows]))
     return out
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for each document and item of which the document holds an occurrence."""
+    """One row for each document and item of which the document holds an occurrence: doc_id, item_id, distance, start, end."""
     def search(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             match = _matcher(block, rate)
             for b in batches:
-                rows = [(i, *x) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for x in match(t)]
-                cols = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
-                                                 names=["doc_id", "item_id", "distance", "start", "end"])
+                for at in range(0, b.num_rows, SLICE):
+                    s = b.slice(at, SLICE)
+                    rows = [(i, *x) for i, t in zip(s.column("doc_id").to_pylist(), s.column("text").to_pylist()) for x in match(t)]
+                    if not rows:
+                        continue
+                    yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()))],
+                                                     names=["doc_id", "item", "distance", "start", "end"])
         return run
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     out = docs.sparkSession.createDataFrame([], ROWS)
     for block in item_blocks(benchmark, block_chars):
         out = out.unionByName(d.mapInArrow(search(block), ROWS))
-    return out
+    return out.join(_items(benchmark).select("item", "item_id"), "item").select("doc_id", "item_id", "distance", "start", "end")
 
 
 def has_benchmark_text(text: Column, benchmark: DataFrame, rate: float = 0.05, block_chars: int = BLOCK_CHARS) -> Column:
