@@ -12,10 +12,12 @@ replies to the original of its outermost quotes that have one (the latest, if se
 passages have), else to the message before it. ``n_quotes`` counts the linked quoted lines.
 
 Reply order: a message comes behind the one it answers, and the answers to a message in
-the order of their turns. Runs of messages that answer the one before form a segment; a
-segment hangs on the message that its first one answers. Paths of segments are found by
-pointer doubling, and the messages are ordered by path. Conversations are returned one
-row a message, without the quotes, with a gapless position.
+the order of their turns, but for the one that goes on with the next turn, which is last. Runs
+of messages that answer the one before form a segment; a segment hangs on the message that its
+first one answers. Segments are cut into pieces behind such messages, each piece knows the
+one that follows it in this order, and pointer doubling along this list gives each piece its rank:
+a few numbers a piece, however deep replies go. Conversations are returned one row a
+message, without the quotes, with a gapless position.
 
 Nothing here needs a whole conversation in one task: running values go by blocks of turns
 first, and positions by ranges of the sorted order.
@@ -145,21 +147,70 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     return saved(t.withColumn("seg", F.coalesce(F.max("start").over(run), c("carried"))).select("conv_id", "turn", "reply_to", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), "seg"), "segments")
 
 
-def segment_paths(turns: DataFrame) -> DataFrame:
-    """conv_id, seg, path: what orders the segments that hang on others. Root segments have an empty path."""
+def _by_blocks(rows: DataFrame, keys: list[str], value: str, name: str, ahead: bool) -> DataFrame:
+    """``rows`` with ``name``: the next greater ``value`` of the same keys, or with ``ahead`` off the greatest
+    ``mark`` up to and with the row's. Windows hold a block of turns, then a row a block."""
     c = F.col
-    starts = turns.filter("turn = seg and reply_to is not null").select("conv_id", "seg", "reply_to")
+    rows = rows.withColumn("_b", F.floor(c(value) / BLOCK))
+    inside, over = Window.partitionBy(*keys, "_b").orderBy(value), Window.partitionBy(*keys).orderBy("_b")
+    if ahead:
+        edge, own = F.min(value), F.lead(value).over(inside)
+        carried = F.lead("_e").over(over)
+    else:
+        edge, own = F.max("mark"), F.max("mark").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        carried = F.max("_e").over(over.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy(*keys, "_b").agg(edge.alias("_e")).withColumn("_c", carried)
+    blocks = blocks.select(*[c(k).alias(f"_{k}") for k in keys], c("_b").alias("_b2"), "_c")
+    same = c("_b") == c("_b2")
+    for k in keys:
+        same = same & c(k).eqNullSafe(c(f"_{k}"))
+    return rows.withColumn("_own", own).join(blocks, same, "left").withColumn(name, F.coalesce("_own", "_c")).drop("_b", "_b2", "_c", "_own", *[f"_{k}" for k in keys])
+
+
+def _follow(table: DataFrame, pointer: str, step) -> DataFrame:
+    """Rounds of pointer doubling over (conv_id, id, pointer, ...) until no pointer is left."""
+    c = F.col
+    while not table.filter(c(pointer).isNotNull()).isEmpty():
+        on = table.select(*[c(x).alias(f"{x}_2") for x in table.columns])
+        j = table.join(on, c("conv_id").eqNullSafe(c("conv_id_2")) & (c(pointer) == c("id_2")), "left")
+        table = saved(step(j).select(*table.columns), "pointers")
+    return table
+
+
+def piece_ranks(turns: DataFrame) -> DataFrame | None:
+    """conv_id, turn, rank of every turn of a conversation with a segment that hangs on another: the order
+    of the pieces. None where there is no such segment at all."""
+    c = F.col
+    same = lambda x: c("conv_id").eqNullSafe(c(x))
     at = turns.select(c("conv_id").alias("c2"), c("turn").alias("t2"), c("seg").alias("parent"))
-    s = saved(starts.join(at, c("conv_id").eqNullSafe(c("c2")) & (c("reply_to") == c("t2")))
-              .select("conv_id", "seg", "parent", F.array("reply_to", "seg").alias("path")), "paths")
-    while True:
-        # The parent's own way up, if it hangs on another segment.
-        up = s.select(c("conv_id").alias("c2"), c("seg").alias("s2"), c("parent").alias("p2"), c("path").alias("path2"))
-        j = s.join(up, c("conv_id").eqNullSafe(c("c2")) & (c("parent") == c("s2")), "left")
-        nxt = saved(j.select("conv_id", "seg", c("p2").alias("parent"), F.when(c("path2").isNull(), c("path")).otherwise(F.concat("path2", "path")).alias("path")), "paths")
-        if nxt.filter("parent is not null").isEmpty():
-            return nxt.select("conv_id", "seg", "path")
-        s = nxt
+    side = (turns.filter("turn = seg and reply_to is not null").select("conv_id", c("seg").alias("id"), c("reply_to").alias("on"))
+            .join(at, same("c2") & (c("on") == c("t2"))).drop("c2", "t2"))
+    side = saved(side, "side")
+    if side.isEmpty():
+        return None
+    t = turns.join(side.select(c("conv_id").alias("c2")).distinct(), same("c2"), "left_semi")
+    branches = side.groupBy(c("conv_id").alias("c2"), c("on").alias("b2")).agg(F.min("id").alias("first_side"))
+    # The turn that goes on in the segment of a message others hang on begins a piece.
+    on = saved(t.filter("turn <> seg").join(branches, same("c2") & (c("reply_to") == c("b2"))).select("conv_id", c("reply_to").alias("branch"), c("turn").alias("goes_on")), "goes-on")
+    on2 = on.select(c("conv_id").alias("c2"), c("branch").alias("b2"), "goes_on")
+    marked = t.join(on2.select("c2", c("goes_on").alias("g2")), same("c2") & (c("turn") == c("g2")), "left")
+    marked = marked.select("conv_id", "turn", "seg", F.when((c("turn") == c("seg")) | c("g2").isNotNull(), c("turn")).alias("mark"))
+    pieces = saved(_by_blocks(marked, ["conv_id"], "turn", "piece", ahead=False).select("conv_id", "turn", "seg", "piece"), "pieces")
+
+    # Where the order goes on behind a segment and all that hangs on it: the next segment on the same message,
+    # what goes on behind that message, or where its segment's order goes on.
+    exits = _by_blocks(side, ["conv_id", "on"], "id", "sibling", ahead=True).join(on2, same("c2") & (c("on") == c("b2")), "left")
+    exits = saved(exits.select("conv_id", "id", F.coalesce("sibling", "goes_on").alias("target"), F.when(F.coalesce("sibling", "goes_on").isNull(), c("parent")).alias("up")), "exits")
+    exits = _follow(exits, "up", lambda j: j.withColumn("target", F.coalesce("target", "target_2")).withColumn("up", F.when(c("target").isNull(), c("up_2"))))
+
+    ends = pieces.join(branches, same("c2") & (c("turn") == c("b2"))).select(c("conv_id").alias("c3"), c("piece").alias("p3"), "first_side")
+    way = exits.select(c("conv_id").alias("c4"), c("id").alias("s4"), "target")
+    links = (pieces.filter("turn = piece").select("conv_id", c("piece").alias("id"), "seg").join(ends, same("c3") & (c("id") == c("p3")), "left")
+             .join(way, same("c4") & (c("seg") == c("s4")), "left"))
+    links = saved(links.select("conv_id", "id", F.coalesce("first_side", "target").alias("next"), F.coalesce("first_side", "target").isNotNull().cast("long").alias("left")), "list")
+    links = _follow(links, "next", lambda j: j.withColumn("left", c("left") + F.coalesce("left_2", F.lit(0))).withColumn("next", c("next_2")))
+    rank = links.select(c("conv_id").alias("c2"), c("id").alias("p2"), (-c("left")).alias("rank"))
+    return pieces.join(rank, same("c2") & (c("piece") == c("p2"))).select("conv_id", "turn", "rank")
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
@@ -167,15 +218,21 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     c = F.col
     parsed = saved(parse(messages), "parsed")
     turns = reply_links(parsed)
-    paths = segment_paths(turns).select(c("conv_id").alias("c2"), c("seg").alias("s2"), "path")
-    t = turns.join(paths, c("conv_id").eqNullSafe(c("c2")) & (c("seg") == c("s2")), "left").select(
-        c("conv_id").alias("c1"), c("turn").alias("t1"), "reply_to", "n_quotes", F.concat(F.coalesce("path", F.array().cast("array<bigint>")), F.array("turn")).alias("key"))
+    t = turns.select(c("conv_id").alias("c1"), c("turn").alias("t1"), "reply_to", "n_quotes")
     m = parsed.select("conv_id", "turn", "role", "body").join(t, c("conv_id").eqNullSafe(c("c1")) & (c("turn") == c("t1")), "left")
-    m = m.select("conv_id", "turn", "role", "body", "reply_to", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("key", F.array().cast("array<bigint>")).alias("key"))
-    order = ("conv_id", "key", "role", "body")
+    m = m.select("conv_id", "turn", "role", "body", "reply_to", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"))
+    ranks = piece_ranks(turns)
+    if ranks is None:
+        m = m.withColumn("rank", F.lit(0).cast("long"))
+    else:
+        ranks = ranks.select(c("conv_id").alias("c1"), c("turn").alias("t1"), "rank")
+        m = m.join(ranks, c("conv_id").eqNullSafe(c("c1")) & (c("turn") == c("t1")), "left").drop("c1", "t1")
+        # A null turn comes first.
+        m = m.withColumn("rank", F.when(c("turn").isNull(), F.lit(-(1 << 62))).otherwise(F.coalesce("rank", F.lit(0))).cast("long"))
+    order = ("conv_id", "rank", "turn", "role", "body")
     m = saved(m.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
     parts = m.groupBy(c("conv_id").alias("c2"), c("part").alias("p2")).agg(F.count(F.lit(1)).alias("n"))
     parts = parts.select("c2", "p2", F.coalesce(F.sum("n").over(Window.partitionBy("c2").orderBy("p2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    m = m.withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("key", "role", "body")))
+    m = m.withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("rank", "turn", "role", "body")))
     return (m.join(parts, c("conv_id").eqNullSafe(c("c2")) & (c("part") == c("p2")))
             .select("conv_id", (c("ahead") + c("i") - 1).cast("long").alias("position"), "turn", "role", "body", "reply_to", "n_quotes"))

@@ -116,3 +116,25 @@ def test_a_common_line_does_not_win_over_its_passage(spark):
             (1, 4, "user", "> the first report\n> is done\n> Thanks,\nok")]
     got = quotation.reply_ordered(spark.createDataFrame([(*r, "z") for r in rows], SCHEMA)).collect()
     assert next((r["reply_to"], r["n_quotes"]) for r in got if r["turn"] == 4) == (1, 3)
+
+
+def test_deep_replies_keep_tables_in_proportion(spark, monkeypatch):
+    """Each message quotes the one two before it, so replies hang on replies; and many hang on one message."""
+    n = 240
+    deep = [(1, t, "user", (f"> own line {t - 2}\n" if t > 1 else "") + f"own line {t}", "z") for t in range(n)]
+    wide = [(None, t, "user", ("> first of all\n" if t % 2 else "") + ("first of all" if t == 0 else f"say {t}"), "z") for t in range(n)]
+    sizes, saved = [], quotation.saved
+    monkeypatch.setattr(quotation, "BLOCK", 16)
+
+    def counting(df, name):
+        out = saved(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(quotation, "saved", counting)
+    got = quotation.reply_ordered(spark.createDataFrame(deep + wide, SCHEMA)).collect()
+    assert max(sizes) <= 2 * n
+    links, order = brute(deep + wide)
+    assert {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_quotes"]) for r in got} == links
+    for c, ts in order.items():
+        assert [r["turn"] for r in sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["position"])] == ts
