@@ -13,7 +13,7 @@ from larder.operators.fingerprint import column_totals
 from larder.operators.frames import scatter_frame
 from larder.operators.iforest import feature_columns
 from larder.operators.modelstore import cached_forest, store_scores
-from larder.operators.report import report
+from larder.operators.report import report, unpivot_metrics
 from larder.operators.sampling import sample, stratified_sample
 from larder.plans.b2b import _bsql, b2b_prepared
 from larder.plans.dispatch import DELAY, _dsql, dispatch_prepared
@@ -41,6 +41,25 @@ def s08_csv_report(spark, sf_dir):
     return read_report(spark, path, df.schema)
 
 
+def _long_sql(section: str, name: str) -> str:
+    return (f"SELECT '{section}' AS section, metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({ORACLE[name]}) o) ON COLUMNS(*) INTO NAME metric VALUE value)")
+
+
+_SECTIONS = {"sensors": "r90_sensors_overview", "production": "r59_prod_overview"}
+
+
+@query("s09_metrics_table", " UNION ALL ".join(_long_sql(x, n) for x, n in _SECTIONS.items()))
+def s09_metrics_table(spark, sf_dir):
+    """Overviews as one written table of (section, metric, value)."""
+    out = None
+    for section, name in _SECTIONS.items():
+        rows = unpivot_metrics(QUERIES[name](spark, sf_dir), section).where("value is not null")
+        out = rows if out is None else out.unionByName(rows)
+    table = VersionedTable(spark, run_folder(spark, "s09"))
+    table.write(out.coalesce(1))
+    return table.read()
+
+
 @query("s10_json_report", ORACLE["m02_zscore_folds"])
 def s10_json_report(spark, sf_dir):
     """The metrics of each fold as JSON lines, read back."""

@@ -11,7 +11,9 @@ from conftest import SMALL
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 SAMPLE = ["r13_pos_by_region", "r41_inv_by_sku", "a27_pos_sku_region_pivot", "a42_sensor_value_histogram",
           "w01_dispatch_rolling", "w02_route_zscore", "r62_qc_by_batch", "p04_ledger_reconcile",
-          "r84_routes_by_type", "m02_zscore_folds", "st4_ledger_alert_stream"]
+          "r84_routes_by_type", "m02_zscore_folds", "st4_ledger_alert_stream", "p03_qc_sensor_asof", "p09_promotion_effects",
+          "p13_forecast_coefficients", "p13_forecast_errors", "s06_clean_returns", "s09_metrics_table", "s11_dispatch_sample_by_route", "s15_rewrite_and_rollback",
+          "st1_sensor_hourly_watermark", "v06_distance_stops_grid", "v09_route_daily_mean"]
 
 
 def _norm(v):
