@@ -47,7 +47,7 @@ def with_segments(df: DataFrame, ts: str, n_splits: int = 5) -> DataFrame:
     """Attach the segment of each row's date. The date->segment table has one
     row per calendar day, so it is broadcast (bounded by days, not rows)."""
     seg = fold_segments(df, ts, n_splits)
-    return df.withColumn("date", F.to_date(ts)).join(F.broadcast(seg), "date", "left")
+    return df.withColumn("date", F.to_date(ts)).join(seg, "date", "left")
 
 
 def fold_table(seg: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def zscore_folds(df: DataFrame, ts: str, value: str, n_splits: int = 5, threshol
     sd = F.when(c("_n") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
     folds = folds.select("fold", "n_train", "n_test", mean.alias("train_mean"),
                          F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias("train_std"))
-    scored = rows.join(F.broadcast(folds.withColumn("segment", c("fold") + 1)), "segment")
+    scored = rows.join(folds.withColumn("segment", c("fold") + 1), "segment")
     z = F.abs((x - c("train_mean")) / c("train_std"))
     counts = scored.groupBy("fold").agg(F.count_if(z > threshold).alias("z_anomalies"))
     return folds.join(counts, "fold", "left").select(
