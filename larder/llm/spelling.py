@@ -25,7 +25,6 @@ null doc_id counts as the text ''; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
