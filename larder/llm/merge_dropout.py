@@ -26,6 +26,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,17 +111,33 @@ class Pieces:
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
                     pairs.append((a << 20 | b, i))
-        pairs.sort()
-        self.keys = np.array([k for k, _ in pairs] or [0], np.int64)
-        self.made = np.array([i for _, i in pairs] or [0], np.int32)
+        # A table of pairs by hash, at most an eighth full: most pairs are found, or known not to be there, at once.
+        self.shift = np.uint64(64 - max(8, (8 * len(pairs)).bit_length()))
+        self.keys = np.full(1 << 64 - int(self.shift), -1, np.int64)
+        self.made = np.zeros(len(self.keys), np.int32)
+        keys, made = np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.made[at[free]] = keys[free], made[free]  # of several for one slot, one stays
+            left = self.keys[at] != keys
+            keys, made, at = keys[left], made[left], (at[left] + 1) & len(self.keys) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(_M1) >> self.shift).astype(np.int64)
 
     def _merge(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and rank of each merge of ``a`` and ``b``; the rank len(self.rank) if there is none."""
         key = a.astype(np.int64) << 20 | b
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
+        at = self._slot(key)
+        seen = self.keys[at]
+        on = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(on):
+            at.flat[on] = (at.flat[on] + 1) & len(self.keys) - 1
+            seen.flat[on] = self.keys[at.flat[on]]
+            on = on[(seen.flat[on] != key.flat[on]) & (seen.flat[on] >= 0)]
         made = self.made[at]
-        return made, np.where(self.keys[at] == key, self.rank_of[made], np.int32(len(self.rank)))
+        return made, np.where(seen == key, self.rank_of[made], np.int32(len(self.rank)))
 
     def unit_ids_of(self, units: list[str], draws: np.ndarray, limit: int) -> list[bytes]:
         """``unit_ids`` of many units at once, by length. One draw each."""
@@ -143,59 +160,43 @@ class Pieces:
         the candidates of each round."""
         width, none = int(size.max()), len(self.rank)
         codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
-        col = np.arange(width + 2)
-        inside = col[None, :width + 1] < size[:, None]
-        sym = np.full(inside.shape, self.unknown, np.int32)
-        sym[inside] = self.of_char[codes]
-        odd = ((sym == self.unknown) & inside).any(1)
-        start = np.minimum(col[None, :], size[:, None])
-        rank = self._merge(sym[:, :-1], sym[:, 1:])[1]
-        out: list[bytes | None] = [None] * len(units)
-        live, zero = np.arange(len(units)), np.uint64(0)
+        col = np.arange(width + 1, dtype=np.int32)
+        alive = col[None, :] < size[:, None]  # places where a symbol starts
+        sym = np.full(alive.shape, self.unknown, np.int32)
+        sym[alive] = self.of_char[codes]
+        odd = ((sym == self.unknown) & alive).any(1)
+        made, rank = self._merge(sym[:, :-1], sym[:, 1:])  # of the candidate that starts at a place
+        behind = np.repeat(np.minimum(col + 1, width)[None, :], len(units), 0)  # start of the next symbol
+        before = np.repeat(col[None, :] - 1, len(units), 0)
+        live, turn = np.arange(len(units)), 0
         while len(live):
-            rows = np.arange(len(live))
-            i = rank.argmin(1)
-            go = rank[rows, i] < none
-            if (done := np.flatnonzero(~go)).size:
-                n = (start[done] < size[live[done], None]).sum(1)
-                flat, at = sym[done][col[None, :width + 1] < n[:, None]].astype("<i4").tobytes(), 0
-                for r, k in zip(live[done].tolist(), (4 * n).tolist()):
-                    if not odd[r]:
-                        out[r] = flat[at:at + k]
-                    at += k
-                live, sym, start, rank, i = live[go], sym[go], start[go], rank[go], i[go]
-                rows = np.arange(len(live))
-            if not len(live):
-                break
+            left = rank[live]
+            i = left.argmin(1)
+            go = left[np.arange(len(live)), i] < none
+            live, i = live[go], i[go]
+            j = behind[live, i]
+            e = behind[live, j]
+            m = live
             if limit or trace is not None:
-                s0, s1, s2 = (start[rows, i + k].astype(np.uint64) for k in range(3))
-                code = s0 << np.uint64(40) ^ (s1 - s0) << np.uint64(20) ^ (s2 - s1)
+                code = i.astype(np.uint64) << np.uint64(40) ^ (j - i).astype(np.uint64) << np.uint64(20) ^ (e - j).astype(np.uint64)
                 if trace is None:
                     skip = mixed(draws[live] ^ code) < np.uint64(limit)
                 else:
-                    skip = draws[live] >> np.uint64(len(trace)) & np.uint64(1) != zero
+                    skip = draws[live] >> np.uint64(turn) & np.uint64(1) != 0
                     trace.append((live, code))
-                rank[rows[skip], i[skip]] = none
-                m, i = rows[~skip], i[~skip]
-            else:
-                m = rows
-            if not len(m):
-                continue
-            made = self._merge(sym[m, i], sym[m, i + 1])[0]
-            src = np.minimum(col[None, :width + 1] + (col[None, :width + 1] > i[:, None]), width)
-            sym[m] = np.take_along_axis(sym[m], src, 1)
-            sym[m, i] = made
-            src = np.minimum(col[None, :] + (col[None, :] > i[:, None]), width + 1)
-            start[m] = np.take_along_axis(start[m], src, 1)
-            src = np.minimum(col[None, :width] + (col[None, :width] >= i[:, None]), width - 1)
-            rank[m] = np.take_along_axis(rank[m], src, 1)
-            rank[m, width - 1] = none
-            sym[m, width] = self.unknown
-            rank[m, i] = self._merge(sym[m, i], sym[m, i + 1])[1]
-            k = m[i > 0]
-            j = i[i > 0]
-            rank[k, j - 1] = self._merge(sym[k, j - 1], sym[k, j])[1]
-        return out
+                rank[live[skip], i[skip]] = none
+                m, i, j, e = m[~skip], i[~skip], j[~skip], e[~skip]
+                turn += 1
+            new = made[m, i]
+            sym[m, i], rank[m, j], alive[m, j] = new, none, False
+            behind[m, i], before[m, e] = e, i
+            made[m, i], rank[m, i] = self._merge(new, sym[m, e])
+            b = before[m, i]
+            has = b >= 0
+            k, b = m[has], b[has]
+            made[k, b], rank[k, b] = self._merge(sym[k, b], new[has])
+        flat, ends = sym[alive].astype("<i4").tobytes(), np.cumsum(4 * alive.sum(1)).tolist()
+        return [None if bad else flat[x:y] for bad, x, y in zip(odd.tolist(), [0, *ends], ends)]
 
     def segment(self, unit: str, limit: int, draw: int) -> list[str]:
         """Symbols after the agenda is done. ``limit``: dropout times 2**64."""
@@ -340,19 +341,16 @@ class Paths:
 
     def roots(self, units: list[str | bytes]) -> np.ndarray:
         """The path without skips of each unit; -1 for a unit that has no paths."""
-        get, known = self.root.get, self.pieces.of_char
-        got = list(map(get, units))
-        if None in got:
-            new = list(dict.fromkeys(u for u, g in zip(units, got) if g is None))
+        root, known = self.root, self.pieces.of_char
+        new = set(units) - root.keys()
+        if new:
             fit = [u for u in new if isinstance(u, str) and len(u) <= LONGEST]
-            ends = np.cumsum([0, *map(len, fit)])
             if fit:
+                ends = np.cumsum([0, *map(len, fit)])
                 odd = known[np.frombuffer("".join(fit).encode("utf-32-le"), "<u4")] == self.pieces.unknown
                 fit = [u for u, x in zip(fit, np.add.reduceat(odd, ends[:-1], dtype=np.int64).tolist()) if not x]
-            made = dict(zip(fit, self._make(fit, [0] * len(fit)).tolist()))
-            self.root.update(made)
-            got = [made.get(u, -1) if g is None else g for u, g in zip(units, got)]
-        return np.array(got, np.int64)
+                root.update(zip(fit, self._make(fit, [0] * len(fit)).tolist()))
+        return np.fromiter(map(root.get, units, repeat(-1)), np.int64, len(units))
 
     def walk(self, paths: np.ndarray, draws: np.ndarray, limit: int) -> np.ndarray:
         """The path that each occurrence ends on, from the one without skips."""
@@ -377,9 +375,9 @@ class Paths:
 
 
 class Dropout:
-    """Encoder of one key. ``draws`` is accepted from callers and limits nothing: each occurrence has a draw of its own."""
+    """Encoder of one key: each occurrence of a unit has a draw of its own."""
 
-    def __init__(self, path: str, key: int, dropout: float, draws: int):
+    def __init__(self, path: str, key: int, dropout: float):
         self.pieces, self.key = Pieces(path), mix(key + 1)
         self.limit = int(dropout * (1 << 64))
         self.paths = Paths(self.pieces)
@@ -441,11 +439,11 @@ class Dropout:
 _ENCODERS: dict[tuple, Dropout] = {}
 
 
-def dropout_ids(docs: DataFrame, path: str, key: int = 1, dropout: float = 0.1, draws: int = 4) -> DataFrame:
+def dropout_ids(docs: DataFrame, path: str, key: int = 1, dropout: float = 0.1) -> DataFrame:
     """doc_id, ids, and whether decoding the ids gives back the text, of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_alone("dropout", _ENCODERS.clear)
-        setting = (path, key, dropout, draws)
+        setting = (path, key, dropout)
         if setting not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[setting] = Dropout(*setting)

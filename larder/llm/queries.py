@@ -92,7 +92,7 @@ def op9_minimax_shards(spark, sf_dir):
 
 @query("op10_merge_dropout")
 def op10_merge_dropout(spark, sf_dir):
-    return merge_dropout.ids_digest(merge_dropout.dropout_ids(documents(spark, sf_dir), PIECES, key=1, dropout=0.1, draws=4))
+    return merge_dropout.ids_digest(merge_dropout.dropout_ids(documents(spark, sf_dir), PIECES, key=1, dropout=0.1))
 
 
 def repeated_words(doc_id: int | None, text: bytes) -> list[bytes]:
