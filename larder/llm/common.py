@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -41,9 +44,12 @@ _HOLDER: list = []
 
 def hold_alone(name: str, forget: Callable[[], None]) -> None:
     """Called at the start of a task of an operator that remembers things between tasks:
-    what another operator left in this Python worker is forgotten."""
+    what another operator left in this Python worker is forgotten, and its memory given back."""
     if _HOLDER and _HOLDER[0] != name:
         _HOLDER[1]()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
     _HOLDER[:] = [name, forget]
 
 
