@@ -56,7 +56,7 @@ def with_masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (seeded merge-dropout) and whether they decode to the text."""
     ship_package(spark)
-    return merge_dropout.dropout_ids(docs, PIECES, key=1, dropout=0.1, draws=4)
+    return merge_dropout.dropout_ids(docs, PIECES, key=1, dropout=0.1)
 
 
 STAGES = [
