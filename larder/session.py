@@ -66,11 +66,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _SHIPPED: set[str] = set()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that functions
-    of its modules can run there from whatever folder the driver was started in."""
+    of its modules can run there from whatever folder the driver was started in.
+
+    Batches of rows on their way to Python hold at most some MB, as texts may be long, unless
+    the application sets another size itself.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "4m")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
