@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.operators import stages
 from larder.operators.stages import if_small, written
 
 c = F.col
@@ -61,9 +62,11 @@ def _finish(base: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
     return found.join(values, [*keys, "lo"]).where(hit).select(*keys, "rank", "_x")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], limit: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], limit: int | None = None,
+                    stored: bool = False) -> DataFrame:
     """keys, n (values that count) and one column for each of ``probs``. Without keys: one row, if
-    there is any value."""
+    there is any value. Keys and values are written once and each pass reads them, unless ``df`` is
+    ``stored`` already."""
     limit = limit or LIMIT
     x = c(value).cast("double")
     base = df.where(x.isNotNull() & ~F.isnan(x))
@@ -73,6 +76,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     by = keys
     if not keys:
         base, by = base.withColumn("_all", F.lit(0)), ["_all"]
+    if not stored:
+        base = stages.written(base, "quantile-values")
     sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
     big = written(sizes.where(c("n") > limit), "large-keys")
     small = base if big.isEmpty() else base.join(if_small(big.select(*by)), by, "left_anti")
@@ -100,8 +105,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     return out.drop("_all")
 
 
-def add_quantiles(grouped: DataFrame, rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+def add_quantiles(grouped: DataFrame, rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], stored: bool = False) -> DataFrame:
     """``grouped``, one row a key (or one row), with the quantiles of ``rows`` by name, rounded like every report."""
-    q = exact_quantiles(rows, keys, value, list(wanted.values()), list(wanted))
+    q = exact_quantiles(rows, keys, value, list(wanted.values()), list(wanted), stored=stored)
     q = q.select(*keys, *[F.round(x, 6).alias(x) for x in wanted])
     return grouped.join(q, keys, "left") if keys else grouped.join(F.broadcast(q), F.lit(True), "left")
