@@ -10,6 +10,7 @@ from larder.functions import semantics as S
 from larder.operators.quantiles import exact_quantiles
 from larder.operators.ranking import top_shares
 from larder.operators.report import report
+from larder.operators.stages import if_small, written
 from larder.plans.oracle_views import osql
 from larder.plans.registry import query
 from larder.sources.fixtures import fx_b2b
@@ -19,23 +20,42 @@ Q = "quantity_sold"
 REQUIRED = ["timestamp", "store_id", "sku", Q]
 
 
+def b2b_rows(spark, sf_dir) -> DataFrame:
+    """The rows that have the required columns."""
+    return fx_b2b(spark, sf_dir).dropna(subset=REQUIRED)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """C11 constant fills, calendar fields, C34 depot region."""
+    df = df.fillna({"depot_id": "DIRECT", "route_id": "UNKNOWN"})
+    ts = c("timestamp")
+    return df.withColumns({"date": F.to_date(ts), "hour": F.hour(ts), "day_of_week": S.day_name(ts), "depot_region": D.depot_region("depot_id")})
+
+
+def b2b_units(spark, sf_dir) -> DataFrame:
+    """The prepared rows without prices, for reports of units: no median is looked for."""
+    return _named(b2b_rows(spark, sf_dir).drop("price_per_unit"))
+
+
+def priced(rows: DataFrame) -> DataFrame:
+    """A missing price is the exact median of its SKU's prices.
+
+    Prices differ from row to row, so a SKU's median comes from the rank selection, whose shuffles
+    carry bins, not from a buffer of all its prices. ``rows`` are read in several passes: give a written table.
+    """
+    med = exact_quantiles(rows, ["sku"], "price_per_unit", [0.5], ["_sku_median"], stored=True).drop("n")
+    filled = F.coalesce(c("price_per_unit"), c("_sku_median"))
+    return rows.join(if_small(written(med, "sku-medians")), "sku", "left").withColumn("price_per_unit", filled).drop("_sku_median")
+
+
 def b2b_prepared(spark, sf_dir) -> DataFrame:
     """C10 drop rows missing required columns, C11 constant fills, C12 SKU-median
     price fill, C22 revenue, C34 depot region.
 
-    The SKU median is an aggregate joined back on the SKU (one row per SKU),
-    not a window: the exact ``percentile`` combines map-side, so a SKU with a
-    third of all rows is still reduced in parallel.
+    The joined rows are written once: the passes of the medians and the report read them.
     """
-    df = fx_b2b(spark, sf_dir).dropna(subset=REQUIRED)
-    med = df.groupBy("sku").agg(F.median("price_per_unit").alias("_sku_median"))
-    df = df.join(med, "sku", "left").withColumn(
-        "price_per_unit", F.coalesce(c("price_per_unit"), c("_sku_median"))).drop("_sku_median")
-    df = df.fillna({"depot_id": "DIRECT", "route_id": "UNKNOWN"})
-    ts = c("timestamp")
-    return df.withColumns({
-        "date": F.to_date(ts), "hour": F.hour(ts), "day_of_week": S.day_name(ts),
-        "revenue": c(Q) * c("price_per_unit"), "depot_region": D.depot_region("depot_id")})
+    df = _named(priced(written(b2b_rows(spark, sf_dir), "b2b-rows")))
+    return df.withColumn("revenue", c(Q) * c("price_per_unit"))
 
 
 B2B_SQL = """WITH b0 AS (
@@ -134,7 +154,7 @@ DEPOTS = [f"D{i}_Branch" for i in range(1, 11)] + ["DIRECT"]
     + " FROM b GROUP BY sku"))
 def r30_b2b_depot_sku_matrix(spark, sf_dir):
     from larder.operators.pivot import pivot_sum
-    b = b2b_prepared(spark, sf_dir)
+    b = b2b_units(spark, sf_dir)
     # Depots beyond the known list widen the matrix; none is left out.
     seen = [r[0] for r in fx_b2b(spark, sf_dir).select("depot_id").where(c("depot_id").isNotNull()).distinct().limit(MAX_DEPOTS + 1).collect()]
     if len(seen) > MAX_DEPOTS:
@@ -150,7 +170,7 @@ SELECT b.route_id, b.store_id, sum(quantity_sold) AS total_units, any_value(md.d
 FROM b LEFT JOIN md ON md.route_id = b.route_id AND md.store_id = b.store_id AND md.rk = 1
 GROUP BY b.route_id, b.store_id"""))
 def r31_b2b_route_store_network(spark, sf_dir):
-    return report(b2b_prepared(spark, sf_dir), ["route_id", "store_id"], [
+    return report(b2b_units(spark, sf_dir), ["route_id", "store_id"], [
         F.sum(Q).alias("total_units"), S.mode_det("depot_id").alias("primary_depot")],
         order=[c("total_units").desc()])
 
@@ -180,7 +200,7 @@ SELECT round(sum(share) FILTER (WHERE rk <= 3), 6) AS top3_share_pct,
        sum(share) FILTER (WHERE rk <= 3) > 60 AS concentration_alert, count(*) AS depots FROM s"""))
 def r33_b2b_depot_concentration(spark, sf_dir):
     """A20 shares and A21 top-k concentration, on the per-depot aggregate."""
-    g = report(b2b_prepared(spark, sf_dir), "depot_id", [F.sum(Q).alias("units")])
+    g = report(b2b_units(spark, sf_dir), "depot_id", [F.sum(Q).alias("units")])
     top = top_shares(g, "units", "depot_id", [3, 5])
     return top.select(S.rnd("top3").alias("top3_share_pct"), S.rnd("top5").alias("top5_share_pct"), (c("top3") > 60).alias("concentration_alert"), c("keys").alias("depots"))
 
@@ -191,7 +211,7 @@ q AS (SELECT quantile_cont(avg_order, 0.75) AS p75 FROM s)
 SELECT round(avg(avg_order), 6) AS mean_store_avg_order, round(avg(orders), 6) AS mean_orders_per_store,
        count(*) FILTER (WHERE avg_order >= p75) AS top_quartile_stores FROM s, q"""))
 def r34_b2b_store_order_profile(spark, sf_dir):
-    s = report(b2b_prepared(spark, sf_dir), "store_id", [F.avg(Q).alias("avg_order"), F.count(F.lit(1)).alias("orders")])
+    s = report(b2b_units(spark, sf_dir), "store_id", [F.avg(Q).alias("avg_order"), F.count(F.lit(1)).alias("orders")])
     p75 = s.agg(F.percentile("avg_order", 0.75).alias("p75"))
     return s.crossJoin(F.broadcast(p75)).agg(
         S.rnd(F.avg("avg_order")).alias("mean_store_avg_order"), S.rnd(F.avg("orders")).alias("mean_orders_per_store"),
@@ -204,7 +224,7 @@ SELECT round(avg(u), 6) AS mean_units_per_trip, arg_max(route_id, (u, route_id))
        arg_min(route_id, (u, route_id)) AS worst_route, round(stddev_samp(u), 6) AS std_units_per_trip,
        stddev_samp(u) > 50 AS variability_alert FROM r"""))
 def r35_b2b_route_efficiency(spark, sf_dir):
-    r = report(b2b_prepared(spark, sf_dir).where(c("route_id") != "UNKNOWN"), "route_id", [F.avg(Q).alias("u")])
+    r = report(b2b_units(spark, sf_dir).where(c("route_id") != "UNKNOWN"), "route_id", [F.avg(Q).alias("u")])
     return r.agg(S.rnd(F.avg("u")).alias("mean_units_per_trip"),
                  F.max_by("route_id", F.struct("u", "route_id")).alias("best_route"),
                  F.min_by("route_id", F.struct("u", "route_id")).alias("worst_route"),
@@ -217,7 +237,7 @@ SELECT sku, count(DISTINCT store_id) AS stores_ordering,
        round(count(DISTINCT store_id) * 100.0 / (SELECT count(DISTINCT store_id) FROM b), 6) AS coverage_pct
 FROM b GROUP BY sku"""))
 def r36_b2b_sku_coverage(spark, sf_dir):
-    df = b2b_prepared(spark, sf_dir)
+    df = b2b_units(spark, sf_dir)
     g = report(df, "sku", [S.nunique("store_id").alias("stores_ordering")])
     total = df.agg(S.nunique("store_id").alias("_stores"))
     return g.crossJoin(F.broadcast(total)).select(
@@ -230,12 +250,12 @@ SELECT round(quantile_cont(quantity_sold, 0.1), 6) AS p10, round(quantile_cont(q
        round(quantile_cont(quantity_sold, 0.95), 6) AS p95 FROM b"""))
 def r38_b2b_order_size_percentiles(spark, sf_dir):
     wanted = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    q = exact_quantiles(b2b_prepared(spark, sf_dir), [], Q, list(wanted.values()), list(wanted))
+    q = exact_quantiles(b2b_units(spark, sf_dir), [], Q, list(wanted.values()), list(wanted))
     return q.select(*[S.rnd(n).alias(n) for n in wanted])
 
 
 @query("c34_b2b_depot_region", _bsql("""
 SELECT depot_region, sum(quantity_sold) AS total_units, count(DISTINCT depot_id) AS depots FROM b GROUP BY depot_region"""))
 def c34_b2b_depot_region(spark, sf_dir):
-    return report(b2b_prepared(spark, sf_dir), "depot_region",
+    return report(b2b_units(spark, sf_dir), "depot_region",
                   [F.sum(Q).alias("total_units"), S.nunique("depot_id").alias("depots")])

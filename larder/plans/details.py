@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from larder.functions import semantics as S
 from larder.operators.ranking import top_shares
 from larder.operators.report import report
-from larder.plans.b2b import _bsql, b2b_prepared
+from larder.plans.b2b import _bsql, b2b_units
 from larder.plans.dispatch import DELAY, _dsql, dispatch_prepared
 from larder.plans.inventory import _isql, inventory_prepared
 from larder.plans.oracle_views import osql
@@ -73,8 +73,8 @@ _grouped("r59_prod_top10_lines", production_prepared, _psql, "prod", "line_id",
 _grouped("r59_prod_top10_skus", production_prepared, _psql, "prod", "sku", "quantity_produced", 10, True)
 _grouped("v01_production_daily", production_prepared, _psql, "prod", "date", "quantity_produced", key_expr=lambda: F.to_date("timestamp"), key_sql="CAST(timestamp AS DATE)")
 _grouped("v01_waste_daily", fx_waste, waste, "fx_waste", "date", W, key_expr=lambda: F.to_date("timestamp"), key_sql="CAST(timestamp AS DATE)")
-_grouped("r38_b2b_by_weekday", b2b_prepared, _bsql, "b", "day_of_week", "quantity_sold", None, True)
-_grouped("r38_b2b_by_hour", b2b_prepared, _bsql, "b", "hour", "quantity_sold", None, True)
+_grouped("r38_b2b_by_weekday", b2b_units, _bsql, "b", "day_of_week", "quantity_sold", None, True)
+_grouped("r38_b2b_by_hour", b2b_units, _bsql, "b", "hour", "quantity_sold", None, True)
 _grouped("f13_inv_days_in_range", inventory_prepared, _isql, "inv2", "days_to_expiry", "balance_after",
          where=(lambda: c("days_to_expiry").between(-10, 30), "days_to_expiry BETWEEN -10 AND 30"))
 
@@ -85,7 +85,7 @@ def _top_shares(name, key):
 s AS (SELECT u * 100.0 / sum(u) OVER () AS p, row_number() OVER (ORDER BY u DESC, {key}) AS r FROM g)
 SELECT round(sum(p) FILTER (WHERE r <= 3), 6) AS top3_pct, round(sum(p) FILTER (WHERE r <= 5), 6) AS top5_pct, round(sum(p) FILTER (WHERE r <= 10), 6) AS top10_pct FROM s"""))
     def run(spark, sf_dir):
-        g = report(b2b_prepared(spark, sf_dir), key, [F.sum("quantity_sold").alias("u")])
+        g = report(b2b_units(spark, sf_dir), key, [F.sum("quantity_sold").alias("u")])
         return top_shares(g, "u", key, [3, 5, 10]).select(*[S.rnd(f"top{k}").alias(f"top{k}_pct") for k in (3, 5, 10)])
 
 

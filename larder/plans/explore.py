@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from larder.functions import semantics as S
 from larder.operators import evaluate as E
 from larder.operators import explore as X
+from larder.operators.quantiles import add_quantiles
 from larder.operators.report import report
+from larder.operators.stages import written
 from larder.operators.windows import group_zscore
-from larder.plans.b2b import _bsql, b2b_prepared
+from larder.plans.b2b import _bsql, b2b_rows, b2b_units, priced
 from larder.plans.dispatch import DELAY, _dsql, dispatch_prepared
 from larder.plans.registry import query
 
@@ -88,7 +90,7 @@ SELECT depot_id, arg_min(sku, r) AS top_sku, max(u) AS units FROM (
   SELECT depot_id, sku, u, row_number() OVER (PARTITION BY depot_id ORDER BY u DESC, sku) AS r
   FROM (SELECT depot_id, sku, sum(quantity_sold) AS u FROM b GROUP BY depot_id, sku) q) z GROUP BY depot_id"""))
 def t07_top_sku_per_depot(spark, sf_dir):
-    g = b2b_prepared(spark, sf_dir).groupBy("depot_id", "sku").agg(F.sum("quantity_sold").alias("u"))
+    g = b2b_units(spark, sf_dir).groupBy("depot_id", "sku").agg(F.sum("quantity_sold").alias("u"))
     best = g.groupBy("depot_id").agg(F.min(F.struct((-c("u")).alias("u"), "sku")).alias("b"))
     return best.select("depot_id", c("b.sku").alias("top_sku"), (-c("b.u")).alias("units"))
 
@@ -100,10 +102,13 @@ _PRICE = """count(price_per_unit) AS prices, round(avg(price_per_unit), 6) AS pr
 @query("r37_b2b_price_stats", _bsql(f"SELECT sku, {_PRICE} FROM b GROUP BY sku UNION ALL SELECT 'ALL' AS sku, {_PRICE} FROM b"))
 def r37_b2b_price_stats(spark, sf_dir):
     p = "price_per_unit"
-    stats = [F.count(p).alias("prices"), S.rnd(F.avg(p)).alias("price_mean"), S.rnd(F.median(p)).alias("price_median"), S.rnd(F.stddev_samp(p)).alias("price_std"),
+    stats = [F.count(p).alias("prices"), S.rnd(F.avg(p)).alias("price_mean"), S.rnd(F.stddev_samp(p)).alias("price_std"),
              S.rnd(F.min(p)).alias("price_min"), S.rnd(F.max(p)).alias("price_max")]
-    b = b2b_prepared(spark, sf_dir)
-    return b.groupBy("sku").agg(*stats).unionByName(b.agg(*stats).withColumn("sku", F.lit("ALL")))
+    # Prices alone are written, unfilled and filled: every pass reads those.
+    b = written(priced(written(b2b_rows(spark, sf_dir).select("sku", p), "prices")), "filled-prices")
+    by_sku = add_quantiles(b.groupBy("sku").agg(*stats), b, ["sku"], p, {"price_median": 0.5}, stored=True)
+    overall = add_quantiles(b.agg(*stats), b, [], p, {"price_median": 0.5}, stored=True).withColumn("sku", F.lit("ALL"))
+    return by_sku.unionByName(overall).select("sku", "prices", "price_mean", "price_median", "price_std", "price_min", "price_max")
 
 
 # A dispatch is labelled an anomaly if it comes over an hour late; the detectors see the route's own spread.
