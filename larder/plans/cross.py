@@ -235,12 +235,15 @@ a AS (SELECT q.*, s.sensor_id, s.sensor_value, epoch_us(q.check_time) - epoch_us
 """
 
 
-def _readings_at_checks(spark, sf_dir):
+def _readings_at_checks(spark, sf_dir, *columns):
+    """The checks' ``columns`` with the last reading; the joined checks are written once, as the as-of join reads them in several passes."""
     from larder.operators.asof import asof_join
+    from larder.operators.stages import written
     from larder.sources.fixtures import fx_sensors
     readings = (fx_sensors(spark, sf_dir).where(c("metric_value").isNotNull())
                 .select("plant_id", "metric_name", c("timestamp").alias("read_at"), "sensor_id", c("metric_value").alias("sensor_value")))
-    out = asof_join(qc_checks(spark, sf_dir), readings, ["plant_id", "metric_name"], "check_time", "read_at", "sensor_id", ["read_at", "sensor_id", "sensor_value"])
+    checks = written(qc_checks(spark, sf_dir).select(*columns), "checks")
+    out = asof_join(checks, readings, ["plant_id", "metric_name"], "check_time", "read_at", "sensor_id", ["read_at", "sensor_id", "sensor_value"])
     return out.withColumn("age_micros", F.timestamp_diff("MICROSECOND", c("read_at"), c("check_time"))).drop("read_at")
 
 
@@ -248,7 +251,7 @@ def _readings_at_checks(spark, sf_dir):
 SELECT qc_id, batch_id, plant_id, metric_name, status, check_time, sensor_id, sensor_value, age_micros FROM a"""))
 def p03_qc_sensor_asof(spark, sf_dir):
     """Each QC check with the last reading of its plant and metric at or before it."""
-    return _readings_at_checks(spark, sf_dir)
+    return _readings_at_checks(spark, sf_dir, "qc_id", "batch_id", "plant_id", "metric_name", "check_time", "status")
 
 
 @query("p03_reading_by_status", osql(["fx_qc", "fx_production", "fx_sensors"], _CHECKS_SQL + """
@@ -257,7 +260,7 @@ SELECT metric_name, status, count(*) AS checks, count(sensor_id) AS with_reading
 FROM a GROUP BY metric_name, status"""))
 def p03_reading_by_status(spark, sf_dir):
     """Readings at failed and passed checks."""
-    return _readings_at_checks(spark, sf_dir).groupBy("metric_name", "status").agg(
+    return _readings_at_checks(spark, sf_dir, "plant_id", "metric_name", "check_time", "status").groupBy("metric_name", "status").agg(
         F.count(F.lit(1)).alias("checks"), F.count("sensor_id").alias("with_reading"), S.rnd(F.avg("sensor_value")).alias("mean_reading"),
         S.rnd(F.stddev_samp("sensor_value")).alias("std_reading"), F.max("age_micros").alias("oldest_micros"))
 

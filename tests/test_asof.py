@@ -52,3 +52,11 @@ def test_blocks_follow_the_fullest_day(spark):
     rows = spark.createDataFrame([("hot", i * 1000) for i in range(1000)] + [("a", 5)], "k string, at long")
     assert asof.block_length(rows, ["k"], "at", 100) == asof.DAY // 10
     assert asof.block_length(rows.limit(0), ["k"], "at") == asof.DAY
+
+
+def test_checks_are_joined_once(spark):
+    from larder.plans import QUERIES
+
+    for name in ("p03_qc_sensor_asof", "p03_reading_by_status"):
+        files = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not any("lineitem" in f or "orders" in f for f in files), name
