@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.operators.stages import written
+
 c = F.col
 
 # Delimiters tried when sniffing, and timestamp layouts tried in order: fixed values.
@@ -126,8 +128,18 @@ def unify_qty_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(ren) if ren else df
 
 
+def _may_be(x, fmt: str):
+    """Whether a text holds what each text of that layout holds: a failed parse costs far more than this."""
+    sep = fmt[4] if fmt.startswith("yyyy") else fmt[2]
+    # The first separator comes after the year's four digits (and perhaps a sign), or after two digits.
+    ok = F.instr(F.substring(x, 2, 1_000_000), sep) >= (4 if fmt.startswith("yyyy") else 2)
+    if "HH:" in fmt:
+        ok = ok & F.contains(x, F.lit(":"))
+    return ok & F.contains(F.upper(x), F.lit("T")) if "'T'" in fmt else ok
+
+
 def _timestamp(name: str):
-    return F.coalesce(*[F.try_to_timestamp(c(name), F.lit(fmt)) for fmt in TIMESTAMP_FORMATS])
+    return F.coalesce(*[F.when(_may_be(c(name), fmt), F.try_to_timestamp(c(name), F.lit(fmt))) for fmt in TIMESTAMP_FORMATS])
 
 
 def _number(name: str):
@@ -206,7 +218,9 @@ def numeric_coerce(df: DataFrame, stats: dict, threshold: float = 0.9) -> DataFr
 
 def clean_table(df: DataFrame) -> DataFrame:
     """Names -> unique -> quantities -> timestamps -> duplicates -> numeric."""
-    df = drop_suffixed_duplicates(parse_timestamps(unify_qty_names(clean_names(split_malformed(df)[0]))))
+    # The texts are split into columns once: the passes of the statistics read the columns they need.
+    df = written(clean_names(split_malformed(df)[0]), "raw-columns")
+    df = drop_suffixed_duplicates(parse_timestamps(unify_qty_names(df)))
     stats = column_statistics(df)
     df = drop_duplicate_columns(df, stats)
     return numeric_coerce(df, stats)

@@ -74,3 +74,26 @@ def test_files_fail_alone(spark, tmp_path):
 def test_resolver(spark):
     df = spark.createDataFrame([(1, 2)], "Route_ID int, planned_qty int")
     assert resolve_column(df, "route_id") == "Route_ID" and resolve_column(df, "qty") == "planned_qty" and resolve_column(df, "zzz") is None
+
+
+def test_cleaning_reads_the_texts_once(spark, tmp_path):
+    from larder.sources.clean import clean_table, read_csv
+
+    (tmp_path / "a.csv").write_text("Order ID;Time\n1;2024-01-02\n2;2024-01-03\n")
+    df = clean_table(read_csv(spark, str(tmp_path)))
+    assert not any(f.endswith(".csv") for f in df.inputFiles())
+    assert [(r["order_id"], str(r["time"])) for r in df.orderBy("order_id").collect()] == [(1.0, "2024-01-02 00:00:00"), (2.0, "2024-01-03 00:00:00")]
+
+
+def test_layouts_are_tried_only_where_they_may_fit(spark):
+    from pyspark.sql import functions as F
+
+    from larder.sources.clean import TIMESTAMP_FORMATS, _may_be, _timestamp
+
+    texts = ["2024-01-02 03:04:05", "2024-01-02 03:04:05.123456", "2024-01-02T03:04:05Z", "2024-01-02t03:04:05+02:00", "2024-01-02 03:04", "2024-01-02T03:04", "2024-01-02",
+             "2024/01/02 03:04:05", "2024/01/02", "02/01/2024 03:04:05", "02/01/2024 03:04", "02/01/2024", "13/12/2024", "12/13/2024 01:02:03", "12/13/2024", "02-01-2024", "02.01.2024",
+             "-2024-01-02", "+12024-01-02", "2/1/2024", " 2024-01-02", "a/b:c", "T", "", None, "99", "2024-13-40", "02/01/2024 25:00:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in TIMESTAMP_FORMATS])
+    assert df.where(~_timestamp("t").eqNullSafe(plain)).collect() == []
+    assert df.where(F.col("t") == "02/01/2024 03:04:05").select(*[_may_be(F.col("t"), f) for f in TIMESTAMP_FORMATS[:7]]).first() == (False,) * 7
